@@ -51,8 +51,8 @@ def _bm25(prefix: str, items: str) -> dict[str, tuple[str, str]]:
         ),
         f"{prefix}_post": (
             f"{prefix}_doc",
-            f"""SELECT id, term, len(any_value(tokens)) AS dl, count(*) AS tf
-            FROM (SELECT id, tokens, unnest(tokens) AS term FROM {prefix}_doc) GROUP BY id, term""",
+            f"""SELECT id, term, dl, count(*) AS tf
+            FROM (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM {prefix}_doc) GROUP BY ALL""",
         ),
         f"{prefix}_raw": (
             f"{prefix}_post {prefix}_size",
@@ -69,8 +69,9 @@ def _bm25(prefix: str, items: str) -> dict[str, tuple[str, str]]:
         ),
         f"{prefix}_match": (
             f"{prefix}_term {prefix}_post {prefix}_size question_term",
-            f"""SELECT query_id, id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE
-                * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avgdl FROM {prefix}_size)))), 6) AS score
+            f"""SELECT query_id, id, round(sum(round(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE
+                * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avgdl FROM {prefix}_size)))
+                * 1000000000::DOUBLE)::BIGINT)::DOUBLE / 1000000000::DOUBLE, 6) AS score
             FROM question_term JOIN {prefix}_term USING (term) JOIN {prefix}_post USING (term)
             GROUP BY query_id, id""",
         ),
@@ -165,16 +166,16 @@ PARTS: dict[str, tuple[str, str]] = {
     ),
     "centre": (
         "",
-        """SELECT label AS query_id, list(x ORDER BY at) AS q
-        FROM (SELECT label, at, avg(x) AS x
-              FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS at FROM embeddings)
+        """SELECT label AS query_id, list(x ORDER BY d) AS q
+        FROM (SELECT label, d, avg(x) AS x
+              FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS d FROM embeddings)
               GROUP BY ALL) GROUP BY label""",
     ),
     "middle": (
         "",
-        """SELECT list(x ORDER BY at) AS q
-        FROM (SELECT at, avg(x) AS x
-              FROM (SELECT unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS at FROM embeddings) GROUP BY ALL)""",
+        """SELECT list(x ORDER BY d) AS q
+        FROM (SELECT d, avg(x) AS x
+              FROM (SELECT unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS d FROM embeddings) GROUP BY ALL)""",
     ),
     "share": (
         "",
@@ -249,7 +250,12 @@ def _label(p: str, threshold: float) -> str:
 
 
 _TOKENS_OUT = "len({0})::INTEGER AS n_tokens, md5(array_to_string({0}, ' ')) AS tokens_md5"
-_TRIM = "array_to_string(list_slice(regexp_extract_all(text, '" + TOKEN + "'), 1, {0}), '')"
+
+
+def _trim(limit: str) -> str:
+    return f"array_to_string(list_slice(regexp_extract_all(text, '{TOKEN}'), 1, {limit}), '')"
+
+
 
 ORACLE_SQL: dict[str, str] = {
     "scan_filter_suffix": "SELECT page_id, url, suffix(url, '.html') AS accepted FROM pages",
@@ -349,11 +355,11 @@ ORACLE_SQL: dict[str, str] = {
             md5({_STRIPPED.replace('text', 'prompt', 1)}) AS answer_md5 FROM prompt""",
     ),
     "token_count": f"SELECT doc_id, {N_TOKENS.format('text')}::INTEGER AS n_tokens FROM documents",
-    "token_trim": f"SELECT doc_id, md5({_TRIM.format(100)}) AS text_md5 FROM documents",
+    "token_trim": f"SELECT doc_id, md5({_trim('100')}) AS text_md5 FROM documents",
     "context_budget": _query(
         "budgeted",
         f"""SELECT query_id, pos, id, least(tokens, 512 - before)::BIGINT AS tokens,
-            md5(CASE WHEN tokens <= 512 - before THEN text ELSE {_TRIM.format('512 - before')} END) AS text_md5
+            md5(CASE WHEN tokens <= 512 - before THEN text ELSE {_trim('512 - before')} END) AS text_md5
         FROM budgeted WHERE before < 512""",
     ),
     "ingest_fixed": _query(

@@ -12,7 +12,7 @@ from passages.functions import classify as labels
 from passages.functions import text as tx
 from passages.operators import chunk, context, embed, fuse, lexical, rerank, vector
 from passages.plans import answers, ingest
-from passages.sources import collection, files, pages
+from passages.sources import collection, files, pages, tables
 
 DIM = 64
 MODEL_WINDOW = 470
@@ -22,11 +22,12 @@ LIBRARY = RetrievalConfig(
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return tables.read_table(spark, f"{sf}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "source")
+    scan = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return tables.spread(scan, "doc_id")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:

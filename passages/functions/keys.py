@@ -1,4 +1,4 @@
-"""Stable keys: chunk ids and hashed word buckets."""
+"""Stable keys."""
 
 from __future__ import annotations
 
@@ -11,14 +11,3 @@ def chunk_id(source: Column, doc_id: Column, chunk_no: Column, text: Column) ->
     return F.sha2(
         F.concat_ws("|", source, doc_id.cast("string"), chunk_no.cast("string"), text), 256
     )
-
-
-def signed_buckets(words: Column, size: int) -> Column:
-    """Per word, +(bucket + 1) or -(bucket + 1), both taken from the word's md5 digest."""
-
-    def code(word: Column) -> Column:
-        digest = F.md5(word)
-        bucket = F.conv(F.substring(digest, 1, 7), 16, 10).cast("int") % size + 1
-        return F.when(F.substring(digest, 8, 1) >= "8", -bucket).otherwise(bucket)
-
-    return F.transform(words, code)

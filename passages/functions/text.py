@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The patterns that define tokens and the clean-up of reranker input.
-NOT_ALPHANUMERIC = "[^a-zA-Z0-9]"
+ASCII_WORD = "[a-zA-Z0-9]+"
 TOKEN = r"[ \t\n\r]*(?:[\p{L}\p{N}_]+|[^ \t\n\r\p{L}\p{N}_])"
 TIGHT_PUNCTUATION = r"(?<=[\p{L}\p{N}_])([?.,!])(?![\s\p{Z}])"
 CAMEL_HUMP = "([a-z0-9])([A-Z])"
@@ -16,8 +16,7 @@ SPACES = r"(?U)\s+"
 
 def document_tokens(text: Column) -> Column:
     """Lower-case ASCII words; every other character separates (accented letters too)."""
-    words = F.split(F.lower(F.regexp_replace(text, NOT_ALPHANUMERIC, " ")), " +")
-    return F.filter(words, lambda w: w != "")
+    return F.transform(F.regexp_extract_all(text, F.lit(ASCII_WORD), F.lit(0)), F.lower)
 
 
 def query_tokens(text: Column, normalize: bool = False) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passages.config import EMBED_BATCH, VECTOR_SIZE
-from passages.functions.keys import signed_buckets
 from passages.functions.text import document_tokens
 
 Model = Callable[[list], Sequence]
@@ -53,26 +53,36 @@ def batch_infer(
     return df.mapInPandas(run, schema)
 
 
+def _bucket_and_sign(words: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """From a word's md5 digest: hex digits 1-7 give the bucket, digit 8 the sign."""
+    digests = [hashlib.md5(w.encode()).hexdigest() for w in words.to_pylist()]
+    buckets = np.array([int(d[:7], 16) % size for d in digests], dtype=np.int64)
+    signs = np.array([-1.0 if d[7] >= "8" else 1.0 for d in digests])
+    return buckets, signs
+
+
 def hash_embedding(text: Column, size: int = VECTOR_SIZE) -> Column:
     """Signed feature hashing into `size` dimensions, scaled to length one.
 
-    Words and their buckets are computed in the JVM; one vectorised pass per Arrow batch adds
-    them up. The vector stays on its row, so nothing is shuffled. No words: the zero vector.
+    Words are cut in the JVM; one vectorised pass per Arrow batch hashes its distinct words and
+    adds them up. The vector stays on its row, so nothing is shuffled. No words: the zero vector.
     """
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def add_up(codes: pa.Array) -> pa.Array:
-        n = len(codes)
-        lengths = codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        cells = np.repeat(np.arange(n, dtype=np.int64), lengths) * size + np.abs(flat) - 1
-        sums = np.bincount(cells, weights=np.sign(flat), minlength=n * size).reshape(n, size)
+    def add_up(words: pa.Array) -> pa.Array:
+        n = len(words)
+        lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        distinct = words.flatten().dictionary_encode()
+        buckets, signs = _bucket_and_sign(distinct.dictionary, size)
+        which = distinct.indices.to_numpy()
+        cells = np.repeat(np.arange(n, dtype=np.int64), lengths) * size + buckets[which]
+        sums = np.bincount(cells, weights=signs[which], minlength=n * size).reshape(n, size)
         norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         scaled = np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0)
-        values = pa.array(scaled.astype(np.float32).ravel())
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size, dtype=np.int32)), values)
+        starts = pa.array(np.arange(0, n * size + 1, size, dtype=np.int32))
+        return pa.ListArray.from_arrays(starts, pa.array(scaled.astype(np.float32).ravel()))
 
-    return add_up(signed_buckets(document_tokens(text), size))
+    return add_up(document_tokens(text))
 
 
 def embed_texts(

@@ -24,6 +24,9 @@ K1 = 1.5
 B = 0.75
 FLOOR_SHARE = 0.25
 
+# Contributions are added as whole numbers of 1e-9, so a sum does not depend on its order.
+UNITS = 1_000_000_000
+
 # Entries of one dense piece of the (documents x vocabulary) array inside a task.
 MATRIX_CELLS = 4_000_000
 
@@ -96,11 +99,11 @@ def bm25_scores(
     )
     avgdl = index.stats.select("avgdl").scalar()
     saturation = F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl)
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / saturation
+    part = F.round(F.col("weight") * F.col("tf") * (K1 + 1) / saturation * UNITS).cast("long")
     return (
         postings.join(wanted, ["term", "_salt"])
         .groupBy("query_id", "id")
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+        .agg(F.round(F.sum(part) / UNITS, SCORE_DIGITS).alias("score"))
     )
 
 
