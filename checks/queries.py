@@ -432,7 +432,7 @@ def ingest_report(spark, sf):
     texts = web.where("accepted").select(
         F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.col("url").alias("source")
     )
-    done = ingest.embedded_chunks(docs.unionByName(texts), INGEST, too_long)
+    done = ingest.judged_chunks(docs.unionByName(texts), INGEST, too_long)
     return ingest.ingest_report(found, done)
 
 

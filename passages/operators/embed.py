@@ -96,10 +96,10 @@ def nonzero_buckets(df: DataFrame, key: str, vector_col: str = "embedding") -> D
     return df.select(key, F.posexplode(vector_col).alias("bucket", "value")).where("value <> 0")
 
 
-def null_failed_batches(
-    chunks: DataFrame, failed: Column, position: Column, out: str, batch_size: int = EMBED_BATCH
+def batch_validity(
+    chunks: DataFrame, failed: Column, position: Column, batch_size: int = EMBED_BATCH
 ) -> DataFrame:
-    """Null `out` for every chunk whose batch holds a failed item.
+    """Adds `valid`: false for every chunk whose batch holds a failed item.
 
     `position` counts the chunks of one source from 0, and batches restart per source. One
     batch is at most `batch_size` rows, so the window never gathers a whole source.
@@ -107,9 +107,8 @@ def null_failed_batches(
     batch = W.partitionBy("source", "_batch")
     return (
         chunks.withColumn("_batch", F.floor(position / batch_size))
-        .withColumn("_failed", F.bool_or(F.coalesce(failed, F.lit(False))).over(batch))
-        .withColumn(out, F.when(~F.col("_failed"), F.col(out)))
-        .drop("_batch", "_failed")
+        .withColumn("valid", ~F.bool_or(F.coalesce(failed, F.lit(False))).over(batch))
+        .drop("_batch")
     )
 
 

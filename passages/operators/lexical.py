@@ -59,8 +59,11 @@ def build_lexical_index(points: DataFrame) -> LexicalIndex:
 
 def term_stats(docs: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf). Counts are combined before the shuffle, so a hot term is a few rows."""
+    # The explicit filter keeps this part of the plan the same for the lookup and for the mean,
+    # so that it runs once.
     counted = (
         docs.select(F.explode(F.array_distinct("tokens")).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )

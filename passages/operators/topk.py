@@ -31,6 +31,7 @@ QUERIES_PER_MATRIX = 256
 CORPUS_BLOCK_ROWS = 50_000
 
 Scorer = Callable[[pa.Table, pa.Table], np.ndarray]
+Usable = Callable[[pa.Table], pa.Table]
 
 
 def round_scores(scores: np.ndarray) -> np.ndarray:
@@ -51,7 +52,11 @@ def best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(above | (level & (np.cumsum(level, axis=0) <= room)))
 
 
-def _local_best(corpus: pa.Table, queries: pa.Table, scorer: Scorer, k: int) -> Iterator[pa.RecordBatch]:
+def _local_best(
+    corpus: pa.Table, queries: pa.Table, scorer: Scorer, k: int, usable: Usable | None
+) -> Iterator[pa.RecordBatch]:
+    if usable is not None:
+        corpus, queries = usable(corpus), usable(queries)
     if corpus.num_rows == 0:
         return
     by_id = pc.sort_indices(corpus["id"]).to_numpy()
@@ -94,37 +99,50 @@ def fits_broadcast(cells: int | None) -> bool:
 
 
 def top_k(
-    corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, query_cells: int | None
+    corpus: DataFrame,
+    queries: DataFrame,
+    scorer: Scorer,
+    k: int,
+    query_cells: int | None,
+    usable: Usable | None = None,
 ) -> DataFrame:
     """Best k corpus rows per query.
 
     corpus has `id`, queries has `query_id`; the other columns are for `scorer`, which gives
     a (corpus rows x queries) array, larger is better. `query_cells` is the counted number of
-    array entries in the query table and decides between broadcast and blocks.
+    array entries in the query table and decides between broadcast and blocks. `usable` drops
+    rows that cannot be scored; it runs in the task, where the vector is at hand already.
     """
     if k <= 0:
         return rank_hits(
             corpus.sparkSession.createDataFrame([], partial_schema(corpus, queries)), 0
         )
     if fits_broadcast(query_cells):
-        return rank_hits(_scan(corpus, queries, scorer, k), k)
-    return rank_hits(_blocks(corpus, queries, scorer, k, query_cells), k)
+        return rank_hits(_scan(corpus, queries, scorer, k, usable), k)
+    return rank_hits(_blocks(corpus, queries, scorer, k, query_cells, usable), k)
 
 
-def _scan(corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int) -> DataFrame:
+def _scan(
+    corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, usable: Usable | None
+) -> DataFrame:
     schema = partial_schema(corpus, queries)
     table = queries.toArrow()
     shared = corpus.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _local_best(pa.Table.from_batches([batch]), shared.value, scorer, k)
+            yield from _local_best(pa.Table.from_batches([batch]), shared.value, scorer, k, usable)
 
     return corpus.mapInArrow(run, schema)
 
 
 def _blocks(
-    corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, query_cells: int
+    corpus: DataFrame,
+    queries: DataFrame,
+    scorer: Scorer,
+    k: int,
+    query_cells: int,
+    usable: Usable | None,
 ) -> DataFrame:
     query_blocks = -(-query_cells // BROADCAST_CELLS)
     corpus_blocks = max(1, -(-corpus.select("id").count() // CORPUS_BLOCK_ROWS))
@@ -137,10 +155,17 @@ def _blocks(
 
     left = numbered(corpus, "id", "_c", corpus_blocks, "_q", query_blocks)
     right = numbered(queries, "query_id", "_q", query_blocks, "_c", corpus_blocks)
-    return meet(left, right, ["_c", "_q"], scorer, k)
+    return meet(left, right, ["_c", "_q"], scorer, k, usable)
 
 
-def meet(left: DataFrame, right: DataFrame, place: list[str], scorer: Scorer, k: int) -> DataFrame:
+def meet(
+    left: DataFrame,
+    right: DataFrame,
+    place: list[str],
+    scorer: Scorer,
+    k: int,
+    usable: Usable | None = None,
+) -> DataFrame:
     """Best k of each corpus group per query of the query group with the same `place`.
 
     The caller has cut the groups to bounded sizes.
@@ -150,7 +175,7 @@ def meet(left: DataFrame, right: DataFrame, place: list[str], scorer: Scorer, k:
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
 
     def run(corpus: pa.Table, queries: pa.Table) -> pa.Table:
-        batches = list(_local_best(corpus, queries, scorer, k))
+        batches = list(_local_best(corpus, queries, scorer, k, usable))
         if batches:
             return pa.Table.from_batches(batches)
         return pa.table(

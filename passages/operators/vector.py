@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -53,6 +54,16 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+def of_length(width: int) -> topk.Usable:
+    """Drops rows whose vector is missing or has another length."""
+
+    def usable(table: pa.Table) -> pa.Table:
+        fits = pc.equal(pc.list_value_length(table["embedding"]), width)
+        return table.filter(pc.fill_null(fits, False))
+
+    return usable
+
+
 def dense_scorer(width: int, metric: str) -> topk.Scorer:
     """Corpus vectors against query vectors; a distance is negated, larger is better."""
 
@@ -85,10 +96,14 @@ def knn_join(
     Rows whose vector is missing or has another length cannot be compared and are left out.
     """
     vectors.check_metric(metric)
-    fit = F.size("embedding") == dim
-    wanted = queries.where(fit).select("query_id", "embedding")
-    corpus = points.where(fit).select("id", "embedding")
-    hits = topk.top_k(corpus, wanted, dense_scorer(dim, metric), k, query_cells(queries, dim))
+    hits = topk.top_k(
+        points.select("id", "embedding"),
+        queries.select("query_id", "embedding"),
+        dense_scorer(dim, metric),
+        k,
+        query_cells(queries, dim),
+        of_length(dim),
+    )
     return _as_metric(hits, metric)
 
 

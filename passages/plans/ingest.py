@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passages.config import ASK, EMBED_BATCH, INGEST, VECTOR_SIZE, RetrievalConfig
 from passages.operators.chunk import chunk_fixed, chunk_recursive, fixed_chunk_count, with_chunk_ids
-from passages.operators.embed import embed_texts, null_failed_batches, valid_embeddings
+from passages.operators.embed import batch_validity, embed_texts
 from passages.operators.order import running_offset
 from passages.operators.vector import known_source
 from passages.sources import collection
@@ -38,31 +38,35 @@ def numbered_chunks(docs: DataFrame, config: RetrievalConfig = INGEST) -> DataFr
     )
 
 
-def embedded_chunks(
-    docs: DataFrame,
-    config: RetrievalConfig = INGEST,
-    fails: Failure | None = None,
-    dim: int = VECTOR_SIZE,
+def judged_chunks(
+    docs: DataFrame, config: RetrievalConfig = INGEST, fails: Failure | None = None
 ) -> DataFrame:
-    """Fixed chunks with `embedding`, null where the batch of a chunk failed.
+    """Fixed chunks with `valid`, false where the embedding batch of a chunk would fail.
 
-    `fails` tells from a chunk text that the model would refuse it.
+    `fails` tells from a chunk text that the model refuses it. Without it no batch fails, and
+    the chunks are made in one pass.
     """
     if fails is None:
         chunks = with_chunk_ids(chunk_fixed(_named(docs), config.chunk_size, config.chunk_overlap))
-        return embed_texts(chunks, size=dim)
+        return chunks.withColumn("valid", F.lit(True))
     chunks = numbered_chunks(docs, config)
-    marked = null_failed_batches(
-        chunks.withColumn("_sent", F.col("text")), fails(F.col("text")), F.col("position"), "_sent", EMBED_BATCH
-    )
-    embedded = embed_texts(marked, "_sent", size=dim)
-    return embedded.withColumn("embedding", F.when(F.col("_sent").isNotNull(), F.col("embedding"))).drop(
-        "_sent", "position"
-    )
+    return batch_validity(chunks, fails(F.col("text")), F.col("position"), EMBED_BATCH).drop("position")
 
 
-def as_points(chunks: DataFrame) -> DataFrame:
-    return valid_embeddings(chunks).select(
+def embedded_chunks(
+    docs: DataFrame,
+    config: RetrievalConfig = INGEST,
+    fails: Failure | None = None,
+    dim: int = VECTOR_SIZE,
+) -> DataFrame:
+    """Fixed chunks with `embedding`, null where the batch of a chunk failed."""
+    embedded = embed_texts(judged_chunks(docs, config, fails), size=dim)
+    return embedded.withColumn("embedding", F.when(F.col("valid"), F.col("embedding")))
+
+
+def as_points(chunks: DataFrame, dim: int = VECTOR_SIZE) -> DataFrame:
+    """Chunks with an id, embedded. The built-in embedder has a vector for every text."""
+    return embed_texts(chunks, size=dim).select(
         F.col("chunk_id").alias("id"), "embedding", "text", "source"
     )
 
@@ -73,8 +77,11 @@ def ingest_fixed(
     fails: Failure | None = None,
     dim: int = VECTOR_SIZE,
 ) -> DataFrame:
-    """Fixed chunks, embedded, failed ones dropped: the points to store."""
-    return as_points(embedded_chunks(docs, config, fails, dim))
+    """Fixed chunks, failed ones dropped, embedded: the points to store.
+
+    What would fail is known before, so the dropped chunks are not embedded at all.
+    """
+    return as_points(judged_chunks(docs, config, fails).where("valid"), dim)
 
 
 def recursive_points(
@@ -82,7 +89,7 @@ def recursive_points(
 ) -> DataFrame:
     """Recursive chunks, embedded: the points of the index build."""
     chunks = chunk_recursive(_named(docs), config.chunk_size, config.chunk_overlap)
-    return as_points(embed_texts(with_chunk_ids(chunks), size=dim))
+    return as_points(with_chunk_ids(chunks), dim)
 
 
 def build_index(
@@ -121,11 +128,11 @@ SKIPPED, NO_TEXT, NO_EMBEDDING, STORED = "skipped", "no text", "no valid embeddi
 def ingest_report(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """(source, n_chunks, n_valid, status) for every file.
 
-    files(source, accepted) lists what was found, chunks the embedded chunks of all accepted
-    ones. Counts are combined before the shuffle, so a large file costs no more than a small one.
+    files(source, accepted) lists what was found, chunks(source, valid) the judged chunks of all
+    accepted ones. Counts are combined before the shuffle, so a large file costs no more than a small one.
     """
     counts = chunks.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.count("embedding").alias("n_valid")
+        F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.col("valid")).alias("n_valid")
     )
     found = files.groupBy("source").agg(F.bool_or("accepted").alias("accepted"))
     n_chunks, n_valid = (F.coalesce(c, F.lit(0)) for c in ("n_chunks", "n_valid"))
