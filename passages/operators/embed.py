@@ -93,7 +93,9 @@ def embed_texts(
 
 def nonzero_buckets(df: DataFrame, key: str, vector_col: str = "embedding") -> DataFrame:
     """Sparse view of the vectors: one row (key, bucket, value) per non-zero entry."""
-    return df.select(key, F.posexplode(vector_col).alias("bucket", "value")).where("value <> 0")
+    entries = F.transform(vector_col, lambda x, i: F.struct(i.alias("bucket"), x.alias("value")))
+    nonzero = F.filter(entries, lambda e: e["value"] != 0)
+    return df.select(key, F.inline(nonzero))
 
 
 def batch_validity(
