@@ -76,7 +76,8 @@ def hash_embedding(text: Column, size: int = VECTOR_SIZE) -> Column:
         buckets, signs = _bucket_and_sign(distinct.dictionary, size)
         which = distinct.indices.to_numpy()
         cells = np.repeat(np.arange(n, dtype=np.int64), lengths) * size + buckets[which]
-        sums = np.bincount(cells, weights=signs[which], minlength=n * size).reshape(n, size)
+        sums = np.bincount(cells, weights=signs[which], minlength=n * size)
+        sums = sums.astype(np.float64).reshape(n, size)
         norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         scaled = np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0)
         starts = pa.array(np.arange(0, n * size + 1, size, dtype=np.int32))
