@@ -30,14 +30,15 @@ def batch_infer(
     """Run a model over `in_col` in batches of `batch_size`; a failed batch gives nulls.
 
     `build_model` is called once per task and returns list -> list. A batch that raises, or
-    returns the wrong number of results, costs its own rows only; later batches go on.
+    returns the wrong number of results, costs its own rows only; later batches go on. Only
+    `in_col` goes to Python.
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, out_type)])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(out_type)
+    def infer(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = build_model()
-        for frame in frames:
-            items = frame[in_col].tolist()
+        for column in columns:
+            items = column.tolist()
             results: list = []
             for start in range(0, len(items), batch_size):
                 batch = items[start : start + batch_size]
@@ -48,9 +49,10 @@ def batch_infer(
                 except Exception:
                     answer = [None] * len(batch)
                 results.extend(answer)
-            yield frame.assign(**{out_col: pd.Series(results, index=frame.index, dtype=object)})
+            yield pd.Series(results, dtype=object)
 
-    return df.mapInPandas(run, schema)
+    # Not to be repeated by the optimizer: a model call is dear and may differ next time.
+    return df.withColumn(out_col, infer.asNondeterministic()(in_col))
 
 
 def _bucket_and_sign(words: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -27,8 +27,8 @@ FLOOR_SHARE = 0.25
 # Contributions are added as whole numbers of 1e-9, so a sum does not depend on its order.
 UNITS = 1_000_000_000
 
-# Entries of one dense piece of the (documents x vocabulary) array inside a task.
-MATRIX_CELLS = 4_000_000
+# Contributions that a task holds at a time.
+SPREAD_CELLS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -83,31 +83,39 @@ def query_terms(queries: DataFrame, normalize: bool = False) -> DataFrame:
     return words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def _word_cells(queries: DataFrame, normalize: bool) -> int | None:
+    words = query_tokens(F.col("query"), normalize)
+    return queries.agg(F.sum(F.size(words) + 1)).first()[0]
+
+
 def bm25_scores(
-    queries: DataFrame, index: LexicalIndex, normalize: bool = False, salt: int = 16
+    queries: DataFrame, index: LexicalIndex, normalize: bool = False, salt: int = 64
 ) -> DataFrame:
     """(query_id, id, score) for every document that shares a word with the query.
 
-    Documents that are not listed score zero. Terms of the queries meet postings in a
-    salted join, so that the postings of a frequent word are dealt out to `salt` tasks.
+    Documents that are not listed score zero. Query words that a count shows to be few are
+    broadcast, and other words leave the postings before anything is shuffled. A larger query
+    table meets the postings in a join on the word and a salt, which deals the postings of a
+    frequent word out to `salt` tasks.
     """
+    bounded = topk.fits_broadcast(_word_cells(queries, normalize))
     words = query_terms(queries, normalize).join(index.terms.select("term", "idf"), "term")
     wanted = words.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
-    wanted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    postings = (
-        index.docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .groupBy("id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
-    )
+    tokens = index.docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if bounded:
+        asked = query_terms(queries, normalize).select("term").distinct()
+        tokens = tokens.join(F.broadcast(asked), "term", "left_semi")
+    postings = tokens.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    if bounded:
+        met = postings.join(F.broadcast(wanted), "term")
+    else:
+        dealt = postings.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
+        copies = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
+        met = dealt.join(wanted.withColumn("_salt", copies), ["term", "_salt"])
     avgdl = index.stats.select("avgdl").scalar()
     saturation = F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl)
     part = F.round(F.col("weight") * F.col("tf") * (K1 + 1) / saturation * UNITS).cast("long")
-    return (
-        postings.join(wanted, ["term", "_salt"])
-        .groupBy("query_id", "id")
-        .agg(F.round(F.sum(part) / UNITS, SCORE_DIGITS).alias("score"))
-    )
+    return met.groupBy("query_id", "id").agg(F.round(F.sum(part) / UNITS, SCORE_DIGITS).alias("score"))
 
 
 def _weighted_queries(queries: DataFrame, index: LexicalIndex, normalize: bool) -> DataFrame:
@@ -124,7 +132,7 @@ def _weighted_queries(queries: DataFrame, index: LexicalIndex, normalize: bool)
     )
 
 
-def _columns(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+def _entries(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     """Owner row of each list entry, and the entries."""
     joined = lists.combine_chunks()
     lengths = joined.value_lengths().to_numpy(zero_copy_only=False)
@@ -132,33 +140,46 @@ def _columns(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
 
 
 def bm25_scorer(corpus: pa.Table, queries: pa.Table) -> np.ndarray:
-    """(documents x queries) BM25 scores of one batch against one block of queries."""
-    query_no, terms = _columns(queries["terms"])
+    """(documents x queries) BM25 scores of one batch against one block of queries.
+
+    Only words of the block are counted, and each count is spread over the queries that hold
+    the word, so the work follows the matches and not the size of the vocabulary.
+    """
+    n, m = corpus.num_rows, queries.num_rows
+    scores = np.zeros(n * m)
+    query_no, terms = _entries(queries["terms"])
     vocabulary = pc.unique(terms)
-    n, width = corpus.num_rows, len(vocabulary)
-    scores = np.zeros((n, queries.num_rows))
-    if width == 0:
-        return scores
-    weights = np.zeros((width, queries.num_rows))
-    weights[pc.index_in(terms, vocabulary).to_numpy(), query_no] = (
-        queries["weights"].combine_chunks().flatten().to_numpy()
-    )
-    doc_no, words = _columns(corpus["tokens"])
+    term_no = pc.index_in(terms, vocabulary).to_numpy()
+    by_term = np.argsort(term_no, kind="stable")
+    holders = query_no[by_term]
+    weights = queries["weights"].combine_chunks().flatten().to_numpy()[by_term]
+    first = np.searchsorted(term_no[by_term], np.arange(len(vocabulary) + 1))
+
+    doc_no, words = _entries(corpus["tokens"])
     lengths = np.bincount(doc_no, minlength=n)
     found = pc.index_in(words, vocabulary)
     known = found.is_valid().to_numpy(zero_copy_only=False)
-    column = found.drop_null().to_numpy()
-    row = doc_no[known]
+    cells = doc_no[known] * len(vocabulary) + found.drop_null().to_numpy()
+    cells, tf = np.unique(cells, return_counts=True)
+    if len(cells) == 0:
+        return scores.reshape(n, m)
+    doc, term = np.divmod(cells, len(vocabulary))
     base = K1 * (1 - B + B * lengths / queries["avgdl"][0].as_py())
-    step = max(1, MATRIX_CELLS // width)
-    edges = np.searchsorted(row, np.arange(0, n + step, step))
-    for piece, start in enumerate(range(0, n, step)):
-        stop = min(start + step, n)
-        inside = slice(edges[piece], edges[piece + 1])
-        cells = (row[inside] - start) * width + column[inside]
-        tf = np.bincount(cells, minlength=(stop - start) * width).reshape(stop - start, width)
-        scores[start:stop] = (tf * (K1 + 1) / (tf + base[start:stop, None])) @ weights
-    return scores
+    saturated = tf * (K1 + 1) / (tf + base[doc])
+
+    fan_out = first[term + 1] - first[term]
+    total = np.concatenate([[0], np.cumsum(fan_out)])
+    start = 0
+    while start < len(cells):
+        # As many counts as spread to SPREAD_CELLS entries, at least one.
+        stop = max(start + 1, np.searchsorted(total, total[start] + SPREAD_CELLS, side="right") - 1)
+        count = np.repeat(np.arange(start, stop), fan_out[start:stop])
+        entry = np.arange(total[stop] - total[start]) + total[start] - total[count] + first[term[count]]
+        scores += np.bincount(
+            doc[count] * m + holders[entry], saturated[count] * weights[entry], minlength=n * m
+        )
+        start = stop
+    return scores.reshape(n, m)
 
 
 def bm25_hits(
@@ -169,11 +190,10 @@ def bm25_hits(
     Documents without a match score zero and fill up to k in id order, so every document is
     a candidate for every query; a word may also weigh less than zero in a tiny corpus.
     """
-    cells = queries.agg(
-        F.sum(F.size(query_tokens(F.col("query"), normalize)) + 1).alias("cells")
-    ).first()["cells"]
     weighted = _weighted_queries(queries, index, normalize)
-    return topk.top_k(index.docs, weighted, bm25_scorer, k, cells)
+    return topk.top_k(
+        index.docs, weighted, bm25_scorer, k, _word_cells(queries, normalize)
+    )
 
 
 def lexical_search(

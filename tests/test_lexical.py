@@ -1,9 +1,10 @@
 import math
 import re
 
+import pyarrow as pa
 import pytest
 
-from passages.operators import topk
+from passages.operators import lexical, topk
 from passages.operators.fuse import splice
 from passages.operators.lexical import (
     LexicalIndex,
@@ -63,8 +64,10 @@ def found(hits):
     return out
 
 
+@pytest.mark.parametrize("bound", [topk.BROADCAST_CELLS, 6])
 @pytest.mark.parametrize("normalize", [False, True])
-def test_scores_of_matching_documents(spark, data, normalize):
+def test_scores_of_matching_documents(spark, data, normalize, bound, monkeypatch):
+    monkeypatch.setattr(topk, "BROADCAST_CELLS", bound)
     texts, asked = data
     rows = bm25_scores(
         questions(spark, asked), build_lexical_index(items(spark, texts)), normalize
@@ -135,3 +138,24 @@ def test_splice_is_slice_assignment(spark, rng):
             whole = list(left)
             whole[k:k] = right
             assert [spliced[q][i] for i in range(len(whole))] == whole
+
+
+@pytest.mark.parametrize("cells", [1, 7, 10_000])
+def test_scores_do_not_depend_on_the_piece_size(monkeypatch, rng, cells):
+    monkeypatch.setattr(lexical, "SPREAD_CELLS", cells)
+    docs = [rng.choices("abcde", k=rng.randint(0, 9)) for _ in range(30)] + [[]]
+    asked = [(["a", "c"], [1.5, -0.5]), ([], []), (["z", "b"], [9.0, 0.25])]
+    corpus = pa.table({"id": list(range(31)), "tokens": pa.array(docs, pa.list_(pa.string()))})
+    queries = pa.table(
+        {
+            "terms": pa.array([t for t, _ in asked], pa.list_(pa.string())),
+            "weights": pa.array([w for _, w in asked], pa.list_(pa.float64())),
+            "avgdl": [4.0] * 3,
+        }
+    )
+    scores = lexical.bm25_scorer(corpus, queries)
+    for i, doc in enumerate(docs):
+        base = 1.5 * (0.25 + 0.75 * len(doc) / 4.0)
+        for q, (terms, weights) in enumerate(asked):
+            plain = sum(w * doc.count(t) * 2.5 / (doc.count(t) + base) for t, w in zip(terms, weights))
+            assert scores[i, q] == pytest.approx(plain)
