@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passages.config import ASK, VECTOR_SIZE, RetrievalConfig
+from passages.functions.text import strip
 from passages.operators.context import answer_records, build_prompts, fit_budget, gather
 from passages.operators.embed import Model, batch_infer
 from passages.operators.fuse import hybrid_search
@@ -17,6 +18,12 @@ from passages.operators.lexical import LexicalIndex
 from passages.operators.rerank import classify, rerank
 
 
+def split_blank(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): a question of white space only cannot be answered."""
+    blank = F.coalesce(strip(F.col("query")), F.lit("")) == ""
+    return queries.where(~blank), queries.where(blank)
+
+
 def retrieve(
     queries: DataFrame,
     points: DataFrame,

@@ -122,22 +122,27 @@ def load_index(
 
 
 # What became of a file.
-SKIPPED, NO_TEXT, NO_EMBEDDING, STORED = "skipped", "no text", "no valid embedding", "stored"
+SKIPPED, ERROR, NO_TEXT = "skipped", "error", "no text"
+NO_EMBEDDING, STORED = "no valid embedding", "stored"
 
 
 def ingest_report(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """(source, n_chunks, n_valid, status) for every file.
 
-    files(source, accepted) lists what was found, chunks(source, valid) the judged chunks of all
+    files(source, accepted, and failed if there was a reader) lists what was found, chunks(source, valid) the judged chunks of all
     accepted ones. Counts are combined before the shuffle, so a large file costs no more than a small one.
     """
     counts = chunks.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.col("valid")).alias("n_valid")
     )
-    found = files.groupBy("source").agg(F.bool_or("accepted").alias("accepted"))
+    failed = F.bool_or("failed") if "failed" in files.columns else F.lit(False)
+    found = files.groupBy("source").agg(
+        F.bool_or("accepted").alias("accepted"), failed.alias("failed")
+    )
     n_chunks, n_valid = (F.coalesce(c, F.lit(0)) for c in ("n_chunks", "n_valid"))
     status = (
         F.when(~F.col("accepted"), SKIPPED)
+        .when(F.col("failed"), ERROR)
         .when(n_chunks == 0, NO_TEXT)
         .when(n_valid == 0, NO_EMBEDDING)
         .otherwise(STORED)

@@ -9,7 +9,7 @@ from passages.functions.text import token_count
 from passages.operators.context import answer_records, build_prompts, fit_budget, gather
 from passages.operators.lexical import build_lexical_index
 from passages.operators.rerank import classify, rerank, reranked_indices, train_classifier
-from passages.plans.answers import answer_queries, retrieve
+from passages.plans.answers import answer_queries, retrieve, split_blank
 from passages.plans.ingest import ingest_fixed
 from passages.sources.answers import read_answers, write_answers
 
@@ -146,3 +146,10 @@ def test_the_budget_is_opt_in(points, ask):
     kept = retrieve(ask, points, None, tight)
     sums = kept.groupBy("query_id").agg(F.sum(token_count(F.col("text"))).alias("n")).collect()
     assert len(sums) == 2 and all(r.n == tight.context_budget == 30 for r in sums)
+
+
+def test_blank_questions_are_set_aside(spark):
+    ask = spark.createDataFrame([(1, "why"), (2, " \n"), (3, None)], "query_id long, query string")
+    kept, rejected = split_blank(ask)
+    assert [r.query_id for r in kept.collect()] == [1]
+    assert {r.query_id for r in rejected.collect()} == {2, 3}

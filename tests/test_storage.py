@@ -11,7 +11,7 @@ from passages.plans.ingest import (
     load_index,
 )
 from passages.sources import collection
-from passages.sources.files import scan_files, split_by_suffix
+from passages.sources.files import empty_files, read_texts, scan_files, split_by_suffix
 from passages.sources.pages import concat_pages
 from passages.sources.tables import spread
 from passages.streaming.ingest import stream_ingest
@@ -106,6 +106,25 @@ def test_scan_files(spark, tmp_path):
     assert kept == {"a.pdf": True, "b.PDF": False, "c": False}
 
 
+def test_files_to_report(spark, tmp_path):
+    for name, data in (("good one.pdf", b"some words"), ("bad+.pdf", b"\xff"), ("none.pdf", b""), ("blank.pdf", b" ")):
+        (tmp_path / name).write_bytes(data)
+
+    def build():
+        return lambda contents: [c.decode().strip() for c in contents]
+
+    scan = scan_files(spark, str(tmp_path))
+    assert [r.path.rsplit("/", 1)[1] for r in empty_files(scan).collect()] == ["none.pdf"]
+    texts = read_texts(scan, build)
+    files = texts.select("source", F.lit(True).alias("accepted"), "failed")
+    report = ingest_report(files, judged_chunks(texts.select("doc_id", "text", "source")))
+    assert {tuple(r) for r in report.collect()} == {
+        ("good one.pdf", 1, 1, "stored"),
+        ("bad+.pdf", 0, 0, "error"),
+        ("blank.pdf", 0, 0, "no text"),
+    }
+
+
 def test_concat_pages(spark, rng):
     rows = [(d, n, f"<{d}.{n}>") for d in range(3) for n in range(0, 900, d + 1)]
     shuffled = rng.sample(rows, len(rows))
