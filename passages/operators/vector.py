@@ -171,8 +171,9 @@ def knn_lsh(
     place = ["_table", "_bucket"]
     corpus_b, wanted_b = buckets(corpus, "id"), buckets(wanted, "query_id")
     met = _part_counts(corpus_b, "_cn").join(_part_counts(wanted_b, "_qn"), place)
-    corpus_p = _dealt(corpus_b.join(met, place), "id", "_c", "_cn", "_q", "_qn")
-    wanted_p = _dealt(wanted_b.join(met, place), "query_id", "_q", "_qn", "_c", "_cn")
+    bounded = queries.select("query_id").count() * tables <= topk.BROADCAST_HITS
+    corpus_p = _dealt(_met(corpus_b, met, "id", bounded), "id", "_c", "_cn", "_q", "_qn")
+    wanted_p = _dealt(_met(wanted_b, met, "query_id", bounded), "query_id", "_q", "_qn", "_c", "_cn")
     near = topk.meet(
         corpus_p, wanted_p, [*place, "_c", "_q"], dense_scorer(dim, "cosine"), k
     )
@@ -190,6 +191,20 @@ def _part_counts(placed: DataFrame, out: str) -> DataFrame:
     return placed.groupBy("_table", "_bucket").agg(parts.alias(out))
 
 
+def _met(placed: DataFrame, met: DataFrame, key: str, bounded: bool, salt: int = 64) -> DataFrame:
+    """Rows in buckets that both sides use, with the part numbers of their bucket.
+
+    There are at most (queries x tables) such buckets: few are broadcast, so that rows in other
+    buckets never leave their task; many are joined with a salt, for the crowded ones.
+    """
+    place = ["_table", "_bucket"]
+    if bounded:
+        return placed.join(F.broadcast(met), place)
+    copies = met.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    salted = placed.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salt)).cast("int"))
+    return salted.join(copies, [*place, "_salt"])
+
+
 def _dealt(df: DataFrame, key: str, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
     return df.select(
         key,

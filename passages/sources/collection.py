@@ -10,13 +10,18 @@ data folder and then appends the version that names it; readers see the old or t
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.config import SCROLL_LIMIT, VECTOR_SIZE
 from passages.functions.vectors import check_metric
 from passages.operators.vector import known_source, split_by_dim
 from passages.schemas import COLLECTION_META, POINTS
+from passages.session import cut_lineage
+
+
+# Bound of the ids that may travel to all tasks.
+BROADCAST_IDS = 500_000
 
 
 def _meta(spark: SparkSession, path: str):
@@ -77,10 +82,10 @@ def upsert(points: DataFrame, path: str, batch: int) -> DataFrame:
     return rejected
 
 
-def latest_points(log: DataFrame, order: Column | str = "ingest_batch") -> DataFrame:
+def latest_points(log: DataFrame) -> DataFrame:
     """The last written row of each id; versions are reduced before the shuffle."""
     fields = [c for c in log.columns if c != "id"]
-    newest = F.max_by(F.struct(*fields), order)
+    newest = F.max_by(F.struct(*fields), "ingest_batch")
     return log.groupBy("id").agg(newest.alias("_last")).select("id", "_last.*")
 
 
@@ -94,11 +99,22 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     """(id, embedding, text, source, ingest_batch), one row per id.
 
     A compacted collection without later batches is read as it is; the partition folders
-    answer that question, so it costs no scan.
+    answer that question, so it costs no scan. Otherwise the ids that were written more than
+    once are found from the id column alone, and while a count shows that they are few, only
+    their rows are compared; all other rows stay where they are read.
     """
     log, compacted = _log(spark, path)
     later = log.where(F.col("ingest_batch") > compacted).select("ingest_batch").limit(1)
-    return log if compacted >= 0 and later.isEmpty() else latest_points(log)
+    if compacted >= 0 and later.isEmpty():
+        return log
+    repeated = cut_lineage(
+        log.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    )
+    if repeated.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        return latest_points(log)
+    few = F.broadcast(repeated)
+    newest = latest_points(log.join(few, "id", "left_semi"))
+    return log.join(few, "id", "left_anti").unionByName(newest)
 
 
 def compact(spark: SparkSession, path: str) -> None:

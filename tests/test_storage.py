@@ -36,7 +36,9 @@ def stored(spark, path):
     return found
 
 
-def test_upsert_latest_wins_and_retries_change_nothing(spark, path):
+@pytest.mark.parametrize("bound", [collection.BROADCAST_IDS, 0])
+def test_upsert_latest_wins_and_retries_change_nothing(spark, path, bound, monkeypatch):
+    monkeypatch.setattr(collection, "BROADCAST_IDS", bound)
     assert not collection.collection_exists(spark, path)
     with pytest.raises(ValueError):
         collection.read_points(spark, path)

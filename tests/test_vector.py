@@ -129,8 +129,10 @@ def test_lsh_recall(spark):
     assert kept / (5 * len(exact)) >= 0.9
 
 
-def test_lsh_cuts_crowded_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("hits_bound", [topk.BROADCAST_HITS, 10])
+def test_lsh_cuts_crowded_buckets(spark, monkeypatch, hits_bound):
     # One bucket holds copies of a vector; k best of it by id, whatever its number of parts.
+    monkeypatch.setattr(topk, "BROADCAST_HITS", hits_bound)
     monkeypatch.setattr(topk, "CORPUS_BLOCK_ROWS", 16)
     same = [1.0] + [0.0] * (DIM - 1)
     corpus = [same] * 200 + [[0.0, 1.0] + [0.0] * (DIM - 2)] * 3
