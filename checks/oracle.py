@@ -64,14 +64,14 @@ def _bm25(prefix: str, items: str) -> dict[str, tuple[str, str]]:
         f"{prefix}_term": (
             f"{prefix}_raw",
             f"""SELECT term, df,
-                CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM {prefix}_raw) ELSE raw END AS idf
+                round(CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM {prefix}_raw) ELSE raw END, 9) AS idf
             FROM {prefix}_raw""",
         ),
         f"{prefix}_match": (
             f"{prefix}_term {prefix}_post {prefix}_size question_term",
-            f"""SELECT query_id, id, round(sum(round(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE
+            f"""SELECT query_id, id, floor((sum(round(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE
                 * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avgdl FROM {prefix}_size)))
-                * 1000000000::DOUBLE)::BIGINT)::DOUBLE / 1000000000::DOUBLE, 6) AS score
+                * 1000000000::DOUBLE)::BIGINT)::DOUBLE + 500) / 1000::DOUBLE) / 1000000::DOUBLE AS score
             FROM question_term JOIN {prefix}_term USING (term) JOIN {prefix}_post USING (term)
             GROUP BY query_id, id""",
         ),

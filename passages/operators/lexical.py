@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.functions.text import document_tokens, query_tokens
-from passages.functions.vectors import SCORE_DIGITS
 from passages.operators import topk
 from passages.operators.vector import known_source
 
@@ -24,8 +23,15 @@ K1 = 1.5
 B = 0.75
 FLOOR_SHARE = 0.25
 
-# Contributions are added as whole numbers of 1e-9, so a sum does not depend on its order.
-UNITS = 1_000_000_000
+# The mean of the vocabulary depends on the order of its sum in the last digits; a rounded idf
+# does not, so an index that is built again gives the same scores.
+IDF_DIGITS = 9
+
+# Contributions are added as whole numbers of 1e-9, so a sum does not depend on its order; a
+# score is the sum rounded to whole numbers of 1e-6.
+PART_UNITS = 1_000_000_000
+SCORE_UNITS = 1_000_000
+PARTS_PER_SCORE = PART_UNITS // SCORE_UNITS
 
 # Contributions that a task holds at a time.
 SPREAD_CELLS = 4_000_000
@@ -70,9 +76,8 @@ def term_stats(docs: DataFrame, stats: DataFrame) -> DataFrame:
     n = stats.select("n").scalar()
     raw = counted.withColumn("_raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg((F.avg("_raw") * FLOOR_SHARE).alias("floor")).scalar()
-    return raw.select(
-        "term", "df", F.when(F.col("_raw") < 0, floor).otherwise(F.col("_raw")).alias("idf")
-    )
+    idf = F.when(F.col("_raw") < 0, floor).otherwise(F.col("_raw"))
+    return raw.select("term", "df", F.round(idf, IDF_DIGITS).alias("idf"))
 
 
 def query_terms(queries: DataFrame, normalize: bool = False) -> DataFrame:
@@ -114,8 +119,9 @@ def bm25_scores(
         met = dealt.join(wanted.withColumn("_salt", copies), ["term", "_salt"])
     avgdl = index.stats.select("avgdl").scalar()
     saturation = F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl)
-    part = F.round(F.col("weight") * F.col("tf") * (K1 + 1) / saturation * UNITS).cast("long")
-    return met.groupBy("query_id", "id").agg(F.round(F.sum(part) / UNITS, SCORE_DIGITS).alias("score"))
+    part = F.round(F.col("weight") * F.col("tf") * (K1 + 1) / saturation * PART_UNITS).cast("long")
+    total = F.floor((F.sum(part) + PARTS_PER_SCORE // 2) / PARTS_PER_SCORE)
+    return met.groupBy("query_id", "id").agg((total / SCORE_UNITS).alias("score"))
 
 
 def _weighted_queries(queries: DataFrame, index: LexicalIndex, normalize: bool) -> DataFrame:
@@ -175,10 +181,11 @@ def bm25_scorer(corpus: pa.Table, queries: pa.Table) -> np.ndarray:
         stop = max(start + 1, np.searchsorted(total, total[start] + SPREAD_CELLS, side="right") - 1)
         count = np.repeat(np.arange(start, stop), fan_out[start:stop])
         entry = np.arange(total[stop] - total[start]) + total[start] - total[count] + first[term[count]]
-        scores += np.bincount(
-            doc[count] * m + holders[entry], saturated[count] * weights[entry], minlength=n * m
-        )
+        parts = saturated[count] * weights[entry] * PART_UNITS
+        parts = np.copysign(np.floor(np.abs(parts) + 0.5), parts)
+        scores += np.bincount(doc[count] * m + holders[entry], parts, minlength=n * m)
         start = stop
+    scores = np.floor((scores + PARTS_PER_SCORE // 2) / PARTS_PER_SCORE) / SCORE_UNITS
     return scores.reshape(n, m)
 
 
