@@ -53,7 +53,6 @@ COLLECTION_META = T.StructType(
         T.StructField("data_dir", T.StringType()),
         T.StructField("dim", T.IntegerType()),
         T.StructField("metric", T.StringType()),
-        T.StructField("compacted_through", T.LongType()),
     ]
 )
 

@@ -35,7 +35,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     recomputation of everything before it.
     """
     context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None)
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if folder and context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     if context.getCheckpointDir() is None:

@@ -3,8 +3,10 @@
     <path>/meta     one row per version: data folder, dimension, metric
     <path>/<data>   points, partitioned by ingest_batch
 
-Writing a batch again replaces that batch, so a retry changes nothing. Compaction writes a new
-data folder and then appends the version that names it; readers see the old or the new one.
+Writing a batch again replaces that batch, so a retry changes nothing; batch numbers give the
+order in which writes count. Compaction writes a new data folder, all of it in batch -1, and then
+appends the version that names it: readers see the old folder or the new one, and a batch that is
+written again later adds to the compacted rows and cannot replace them.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from passages.schemas import COLLECTION_META, POINTS
 from passages.session import cut_lineage
 
 
+# The batch of compacted rows; every other number is later.
+BASE_BATCH = -1
+
 # Bound of the ids that may travel to all tasks.
 BROADCAST_IDS = 500_000
 
@@ -49,8 +54,9 @@ def ensure_collection(
     check_metric(metric)
     meta = _meta(spark, path)
     if meta is None:
-        spark.createDataFrame([], POINTS).write.mode("append").parquet(f"{path}/points-0")
-        _append_meta(spark, path, 0, "points-0", dim, metric, -1)
+        empty = spark.createDataFrame([], POINTS)
+        empty.write.mode("append").partitionBy("ingest_batch").parquet(f"{path}/points-0")
+        _append_meta(spark, path, 0, "points-0", dim, metric)
     elif (meta.dim, meta.metric) != (dim, metric):
         raise ValueError(f"{path} holds {meta.dim} x {meta.metric}, not {dim} x {metric}")
 
@@ -67,8 +73,9 @@ def upsert(points: DataFrame, path: str, batch: int) -> DataFrame:
 
     Rows whose vector has another length than the collection are not written.
     """
-    spark = points.sparkSession
-    meta = _existing(spark, path)
+    if batch <= BASE_BATCH:
+        raise ValueError("batch numbers start at 0")
+    meta = _existing(points.sparkSession, path)
     accepted, rejected = split_by_dim(points, meta.dim)
     (
         accepted.select(
@@ -89,10 +96,8 @@ def latest_points(log: DataFrame) -> DataFrame:
     return log.groupBy("id").agg(newest.alias("_last")).select("id", "_last.*")
 
 
-def _log(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    meta = _existing(spark, path)
-    log = spark.read.schema(POINTS).parquet(f"{path}/{meta.data_dir}")
-    return log, meta.compacted_through
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(POINTS).parquet(f"{path}/{_existing(spark, path).data_dir}")
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
@@ -103,9 +108,8 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     once are found from the id column alone, and while a count shows that they are few, only
     their rows are compared; all other rows stay where they are read.
     """
-    log, compacted = _log(spark, path)
-    later = log.where(F.col("ingest_batch") > compacted).select("ingest_batch").limit(1)
-    if compacted >= 0 and later.isEmpty():
+    log = _log(spark, path)
+    if log.where(F.col("ingest_batch") > BASE_BATCH).select("ingest_batch").isEmpty():
         return log
     repeated = cut_lineage(
         log.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
@@ -120,20 +124,16 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 def compact(spark: SparkSession, path: str) -> None:
     """Rewrite the latest rows into a new folder and point the collection to it."""
     meta = _existing(spark, path)
-    log, _ = _log(spark, path)
-    newest = log.agg(F.max("ingest_batch")).first()[0]
-    if newest is None:
-        return
     version = meta.version + 1
     folder = f"points-{version}"
     (
-        latest_points(log)
-        .withColumn("ingest_batch", F.lit(newest))
+        read_points(spark, path)
+        .withColumn("ingest_batch", F.lit(BASE_BATCH))
         .write.mode("overwrite")
         .partitionBy("ingest_batch")
         .parquet(f"{path}/{folder}")
     )
-    _append_meta(spark, path, version, folder, meta.dim, meta.metric, newest)
+    _append_meta(spark, path, version, folder, meta.dim, meta.metric)
 
 
 def all_documents(points: DataFrame) -> DataFrame:

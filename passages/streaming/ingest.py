@@ -20,12 +20,12 @@ def stream_ingest(
     fails: Failure | None = None,
     dim: int = VECTOR_SIZE,
     max_files: int | None = None,
-    first_batch: int = 0,
+    first_batch: int = 1,
 ) -> StreamingQuery:
     """Ingest the document Parquet files that came in since the last run, then stop.
 
-    A micro-batch writes the collection batch of its own number, so a replay after a failure
-    replaces what the failed try had written.
+    Micro-batch n writes the collection batch first_batch + n, so a replay after a failure
+    replaces what the failed try had written. Other writers keep to numbers below first_batch.
     """
     collection.ensure_collection(spark, path, dim)
     reader = spark.readStream.schema(DOCUMENTS)

@@ -64,8 +64,13 @@ def test_compaction_keeps_the_view(spark, path):
     assert {k: t for k, (t, _) in stored(spark, path).items()} == before
     plan = collection.read_points(spark, path)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan
+    # A batch that is written once more replaces none of the compacted rows.
+    collection.upsert(batch(spark, [("a", [1.0], "z"), ("2", [1.0], "z")]), path, 2)
+    assert {k: t for k, (t, _) in stored(spark, path).items()} == before
     collection.upsert(batch(spark, [("a", [1.0], "later")]), path, 3)
     assert stored(spark, path)["a"] == ("later", 3)
+    collection.compact(spark, path)
+    assert {k: t for k, (t, _) in stored(spark, path).items()} == before | {"a": "later"}
 
 
 def test_settings_are_fixed_and_dimension_is_checked(spark, path):
