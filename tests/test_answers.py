@@ -148,6 +148,14 @@ def test_the_budget_is_opt_in(points, ask):
     assert len(sums) == 2 and all(r.n == tight.context_budget == 30 for r in sums)
 
 
+def test_no_pairs_are_formed(spark, points, ask):
+    config = RetrievalConfig(vector_k=3, use_lexical=True, lexical_k=2, use_rerank=True)
+    records = answer_queries(ask, points, build_lexical_index(points), config)
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert plan.count("MapInArrow") == 2
+
+
 def test_blank_questions_are_set_aside(spark):
     ask = spark.createDataFrame([(1, "why"), (2, " \n"), (3, None)], "query_id long, query string")
     kept, rejected = split_blank(ask)

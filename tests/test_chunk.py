@@ -14,7 +14,12 @@ from passages.operators.chunk import (
 
 
 def windows(text, size, overlap):
-    return [text[i : i + size] for i in range(0, len(text), size - overlap)]
+    """Drop size - overlap characters after each window, until nothing is left."""
+    found = []
+    while text:
+        found.append(text[:size])
+        text = text[size - overlap :]
+    return found
 
 
 def docs(spark, texts):

@@ -182,6 +182,23 @@ def test_failed_batches_span_the_documents_of_a_source(spark):
     assert kept.count() == 150 - 64
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ingest_moves_no_text_unless_batches_can_fail(spark):
+    docs = spark.createDataFrame(TEXTS, DOC)
+    assert "Exchange" not in plan_of(ingest_fixed(docs))
+    # The numbering and the batches move text; three more move block totals.
+    assert plan_of(ingest_fixed(docs, fails=refused)).count("Exchange hashpartitioning") == 5
+
+
+def test_unused_embeddings_are_not_computed(spark):
+    stored = ingest_fixed(spark.createDataFrame(TEXTS, DOC))
+    assert "ArrowEvalPython" in plan_of(stored)
+    assert "ArrowEvalPython" not in plan_of(collection.all_documents(stored))
+
+
 def test_load_index_builds_once(spark, path):
     docs = spark.createDataFrame(TEXTS, DOC)
     with pytest.raises(ValueError):

@@ -1,4 +1,5 @@
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -26,7 +27,9 @@ def run(spark, column):
 
 
 def test_document_tokens(spark):
-    plain = [re.sub(r"[^a-zA-Z0-9]", " ", s).lower().split() for s in SAMPLES]
+    plain = [
+        "".join(c if c.isascii() and c.isalnum() else " " for c in s).lower().split() for s in SAMPLES
+    ]
     assert run(spark, tx.document_tokens(F.col("s"))) == plain
 
 
@@ -35,18 +38,25 @@ def test_query_tokens(spark):
     assert run(spark, tx.query_tokens(F.col("s"), True)) == run(spark, tx.document_tokens(F.col("s")))
 
 
-def spaced(s):
-    return re.sub(r"(?<=\w)([?.,!])(?!\s)", r" \1", s)
+def spaced(text):
+    out = ""
+    for before, c, after in zip(" " + text, text, text[1:] + "x"):
+        tight = (before.isalnum() or before == "_") and not after.isspace()
+        out += " " + c if c in "?.,!" and tight else c
+    return out
 
 
-def dropped(s):
-    for c in "_-#":
-        s = s.replace(c, " ")
-    return s.replace(".html", "").replace(".", " ")
+def dropped(text):
+    blanks = text.translate({ord(c): " " for c in "_-#"})
+    return "".join(blanks.split(".html")).translate({ord("."): " "})
 
 
-def camel(s):
-    return " ".join(" ".join(re.sub("([a-z0-9])([A-Z])", r"\1 \2", w).split()) for w in s.split())
+def camel(text):
+    out = ""
+    for before, c in zip(" " + text, text):
+        hump = c in string.ascii_uppercase and before in string.ascii_lowercase + string.digits
+        out += " " + c if hump else c
+    return " ".join(out.split())
 
 
 def test_clean_up_steps(spark):
