@@ -27,9 +27,12 @@ from passages.functions.vectors import SCORE_DIGITS
 # Bounds of what may travel whole: entries of the query block and rows of the result.
 BROADCAST_CELLS = 8_000_000
 BROADCAST_HITS = 500_000
-QUERIES_PER_MATRIX = 256
 CORPUS_BLOCK_ROWS = 50_000
 
+# Sides of one score matrix in a task.
+ROWS_PER_MATRIX = 10_000
+QUERIES_PER_MATRIX = 256
+
 Scorer = Callable[[pa.Table, pa.Table], np.ndarray]
 Usable = Callable[[pa.Table], pa.Table]
 
@@ -57,21 +60,21 @@ def _local_best(
 ) -> Iterator[pa.RecordBatch]:
     if usable is not None:
         corpus, queries = usable(corpus), usable(queries)
-    if corpus.num_rows == 0:
-        return
-    by_id = pc.sort_indices(corpus["id"]).to_numpy()
-    for start in range(0, queries.num_rows, QUERIES_PER_MATRIX):
-        block = queries.slice(start, QUERIES_PER_MATRIX)
-        scores = round_scores(scorer(corpus, block))[by_id]
-        rows, columns = best_rows(scores, k)
-        yield pa.RecordBatch.from_arrays(
-            [
-                block["query_id"].take(pa.array(columns)).combine_chunks(),
-                corpus["id"].take(pa.array(by_id[rows])).combine_chunks(),
-                pa.array(scores[rows, columns], pa.float64()),
-            ],
-            names=["query_id", "id", "score"],
-        )
+    for top in range(0, corpus.num_rows, ROWS_PER_MATRIX):
+        part = corpus.slice(top, ROWS_PER_MATRIX)
+        by_id = pc.sort_indices(part["id"]).to_numpy()
+        for start in range(0, queries.num_rows, QUERIES_PER_MATRIX):
+            block = queries.slice(start, QUERIES_PER_MATRIX)
+            scores = round_scores(scorer(part, block))[by_id]
+            rows, columns = best_rows(scores, k)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    block["query_id"].take(pa.array(columns)).combine_chunks(),
+                    part["id"].take(pa.array(by_id[rows])).combine_chunks(),
+                    pa.array(scores[rows, columns], pa.float64()),
+                ],
+                names=["query_id", "id", "score"],
+            )
 
 
 def partial_schema(corpus: DataFrame, queries: DataFrame) -> T.StructType:

@@ -77,6 +77,14 @@ def test_no_hits_for_k_zero(spark, data):
     assert knn_join(queries(spark, wanted), points(spark, corpus), 0, "cosine", DIM).count() == 0
 
 
+def test_small_matrices_give_the_same(spark, data, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS_PER_MATRIX", 7)
+    monkeypatch.setattr(topk, "QUERIES_PER_MATRIX", 2)
+    corpus, wanted = data
+    hits = knn_join(queries(spark, wanted), points(spark, corpus).coalesce(1), 5, "cosine", DIM)
+    assert found(hits) == brute(corpus, wanted, 5, "cosine")
+
+
 @pytest.mark.parametrize("metric", ["cosine", "euclid"])
 def test_blocks_beyond_the_broadcast_bound(spark, data, metric, monkeypatch):
     monkeypatch.setattr(topk, "BROADCAST_CELLS", 3 * DIM)
