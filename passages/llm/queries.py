@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passages.llm import quality
+from passages.llm import decontaminate, mixing, quality
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op7_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_report(table(spark, sf, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_quality_rules,)
+    f.__name__: f for f in (op5_decontamination, op7_source_mix, op9_quality_rules)
 }
