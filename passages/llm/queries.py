@@ -5,26 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passages.llm import decontaminate, mixing, quality
+from passages.llm import chat, decontaminate, html, mixing, quality, sharding
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op4_kd_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op6_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    # A conversation whose texts are made of control strings.
+    sly = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").cast("int").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    records = chat.records_of_turns(rows.unionByName(sly))
+    return chat.chat_digests(chat.format_turns(chat.canonical_turns(records)))
+
+
 def op7_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf, "documents"))
 
 
+def op8_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return html.extract(pages).select(
+        "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars")
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_report(table(spark, sf, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_decontamination, op7_source_mix, op9_quality_rules)
+    f.__name__: f
+    for f in (
+        op4_kd_shards,
+        op5_decontamination,
+        op6_chat_format,
+        op7_source_mix,
+        op8_main_text,
+        op9_quality_rules,
+    )
 }
