@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm import chat, decontaminate, html, mixing, quality, sharding
+from passages.llm import chat, decontaminate, html, mixing, ngram_join, quality, sharding
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf, "documents"))
+
+
 def op4_kd_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf, "documents"))
 
@@ -53,6 +57,7 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_ngram_join,
         op4_kd_shards,
         op5_decontamination,
         op6_chat_format,
