@@ -515,14 +515,10 @@ def whole_sets(docs: DataFrame, rule: Rule, levels, wanted) -> DataFrame:
             with np.errstate(over="ignore"):
                 for _, numbers, sizes in ordered_sets(batch.column("text"), grams, levels.value):
                     a, b = digests(numbers, sizes)
-                    place = a >> np.uint64(64 - FILTER_BITS)
-                    inside = (wanted.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+                    maybe = passes(wanted.value, a).tolist()
+                    keys = zip(a.tolist(), b.tolist())
                     keep = np.array(
-                        [
-                            bool(ok) and _is_new(seen, key, n)
-                            for ok, key, n in zip(inside, zip(a.tolist(), b.tolist()), sizes.tolist())
-                        ],
-                        bool,
+                        [ok and _is_new(seen, key, n) for ok, key, n in zip(maybe, keys, sizes.tolist())], bool
                     )
                     if keep.any():
                         yield pa.RecordBatch.from_arrays(
@@ -537,6 +533,12 @@ def whole_sets(docs: DataFrame, rule: Rule, levels, wanted) -> DataFrame:
     return narrow.mapInArrow(run, "a long, b long, numbers array<long>")
 
 
+def passes(bits: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Whether the filter has the first bits of each a."""
+    place = a >> np.uint64(64 - FILTER_BITS)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def filter_bits(rows: DataFrame) -> np.ndarray:
     """2^FILTER_BITS bits, set at the first bits of column a of any row."""
     parts = 64

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm import chat, decontaminate, html, mixing, ngram_join, quality, sharding
+from passages.llm import chat, decontaminate, html, line_dedup, mixing, ngram_join, quality, sharding
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_report(table(spark, sf, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_source_mix,
         op8_main_text,
         op9_quality_rules,
+        op10_line_dedup,
     )
 }
