@@ -1,22 +1,64 @@
-"""documents, stage by stage, to a training mix in shards."""
+"""documents, stage by stage, to a training mix in shards.
+
+Each stage works on all that the one before kept; between stages the rows lie in Parquet.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from passages.llm import quality
+from passages.llm import decontaminate, mixing, ngram_join, quality, sharding
+from passages.llm.storage import stored
+
+#: Near duplicates: five words, similarity 0.8.
+NEAR = ngram_join.Rule(width=5, percent=80)
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
     return quality.quality_filter(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest doc_id, of each group of near duplicates."""
+    return ngram_join.one_of_each(docs, NEAR)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix_documents(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix with the shard of every row."""
+    return sharding.shard_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", source_mix),
+    ("sharding", shards),
+]
+
+#: SQL cannot express string tiling, seeded block selection and the hashes of the cuts.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for place, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if place < len(STAGES) - 1:
+            docs = stored(docs)
     return docs

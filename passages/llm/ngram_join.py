@@ -47,6 +47,7 @@ PROFILE = 256
 BLOCK_NUMBERS = 1_000_000
 BLOCK_SETS = 1_024
 FILTER_BITS = 25
+BROADCAST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -614,3 +615,10 @@ def similar_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n_shingles") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
     )
+
+
+def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The documents without those that are not the smallest of their component; all columns stay."""
+    gone = stored(similar_documents(docs, rule).where("component_id != doc_id").select("doc_id").distinct())
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")

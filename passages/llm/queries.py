@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm import chat, decontaminate, html, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup
+from passages.llm import chat, decontaminate, html, licenses, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf, "documents"), with_text=False)
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_join,
+        op2_license_scan,
         op3_suffix_dedup,
         op4_kd_shards,
         op5_decontamination,
