@@ -11,9 +11,9 @@ DOC_TOKENS = (
     "list_filter(string_split_regex(lower(regexp_replace({0}, '[^a-zA-Z0-9]', ' ', 'g')), ' +'),"
     " lambda w: w <> '')"
 )
+WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 QUERY_TOKENS = r"list_filter(string_split_regex(lower({0}), '[\s\p{{Z}}]+'), lambda w: w <> '')"
 N_TOKENS = "len(regexp_extract_all({0}, '" + TOKEN.replace("{", "{{").replace("}", "}}") + "'))"
-MODEL_WINDOW = 470
 
 
 def _words(source: str, key: str, tokens: str) -> str:
@@ -27,7 +27,7 @@ def _embedding(prefix: str, source: str, key: str, text: str) -> dict[str, tuple
             source,
             f"""SELECT {key}, ('0x' || substring(md5(term), 1, 7))::BIGINT % 768 AS bucket,
                 sum(CASE WHEN substring(md5(term), 8, 1) >= '8' THEN -1 ELSE 1 END)::DOUBLE AS s
-            FROM ({_words(source, key, DOC_TOKENS.format(text))}) GROUP BY ALL""",
+            FROM ({_words(source, key, WORDS.format(text))}) GROUP BY ALL""",
         ),
         f"{prefix}_vec": (
             f"{prefix}_sum",
@@ -107,8 +107,8 @@ PARTS: dict[str, tuple[str, str]] = {
     ),
     "judged": (
         "chunk",
-        f"""SELECT *, NOT bool_or({N_TOKENS.format('text')} > {MODEL_WINDOW})
-              OVER (PARTITION BY source, place // 64) AS valid
+        """SELECT *, max(CASE WHEN md5(text)[1:2] = '00' THEN 'ValueError: refused' END)
+              OVER (PARTITION BY source, place // 64) AS error
         FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_no) - 1 AS place FROM chunk)""",
     ),
     "web_chunk": (
@@ -164,13 +164,6 @@ PARTS: dict[str, tuple[str, str]] = {
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
         FROM (SELECT *, {N_TOKENS.format('text')} AS tokens FROM hit)""",
     ),
-    "centre": (
-        "",
-        """SELECT label AS query_id, list(x ORDER BY d) AS q
-        FROM (SELECT label, d, avg(x) AS x
-              FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS d FROM embeddings)
-              GROUP BY ALL) GROUP BY label""",
-    ),
     "middle": (
         "",
         """SELECT list(x ORDER BY d) AS q
@@ -222,8 +215,9 @@ def _nearest(score: str, direction: str) -> str:
     return f"""SELECT query_id, rank, id, score FROM (
         SELECT query_id, id, score,
             row_number() OVER (PARTITION BY query_id ORDER BY score {direction}, id)::INTEGER AS rank
-        FROM (SELECT query_id, vec_id AS id, round({score}, 6) AS score
-              FROM centre CROSS JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)))
+        FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round({score}, 6) AS score
+              FROM (SELECT vec_id, embedding::DOUBLE[] AS q FROM embeddings) a
+              CROSS JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b))
         WHERE rank <= 5"""
 
 
@@ -291,11 +285,16 @@ ORACLE_SQL: dict[str, str] = {
     "embed_hash": _query(
         "item_vec", "SELECT id AS doc_id, bucket::INTEGER AS bucket, round(v, 6) AS value FROM item_vec"
     ),
-    "embed_batch_failure": _query("judged", "SELECT id AS chunk_id, source, valid FROM judged"),
+    "embed_model": """SELECT doc_id, length(text)::DOUBLE AS v0, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS v1,
+            (length(text) - length(replace(text, chr(10), '')))::DOUBLE AS v2,
+            ('0x' || md5(text)[1:2])::INTEGER::DOUBLE AS v3, NULL::VARCHAR AS error
+        FROM documents""",
+    "embed_batch_failure": _query(
+        "judged", "SELECT id AS chunk_id, source, error IS NULL AS valid, error FROM judged"
+    ),
     "valid_embeddings": _query(
-        "judged chunk_vec",
-        """SELECT id AS chunk_id, count(bucket)::INTEGER AS n_nonzero
-        FROM judged LEFT JOIN chunk_vec USING (id) WHERE valid GROUP BY id""",
+        "judged",
+        "SELECT id AS chunk_id, 4 AS dim, length(text)::DOUBLE AS v0 FROM judged WHERE error IS NULL",
     ),
     "vector_topk": _query(
         "middle",
@@ -305,9 +304,9 @@ ORACLE_SQL: dict[str, str] = {
               FROM embeddings CROSS JOIN middle)
         ORDER BY score DESC, vec_id LIMIT 10""",
     ),
-    "knn_join": _query("centre", _nearest("list_cosine_similarity(e, q)", "DESC")),
-    "knn_dot": _query("centre", _nearest("list_dot_product(e, q)", "DESC")),
-    "knn_euclid": _query("centre", _nearest("list_distance(e, q)", "ASC")),
+    "knn_join": _query("", _nearest("list_cosine_similarity(e, q)", "DESC")),
+    "knn_dot": _query("", _nearest("list_dot_product(e, q)", "DESC")),
+    "knn_euclid": _query("", _nearest("list_distance(e, q)", "ASC")),
     "dim_check": "SELECT vec_id AS id, len(embedding[1:64 - label]) = 64 AS accepted FROM embeddings",
     "semantic_search": _query(
         "semantic chunk",
@@ -363,25 +362,24 @@ ORACLE_SQL: dict[str, str] = {
         FROM budgeted WHERE before < 512""",
     ),
     "ingest_fixed": _query(
-        "judged chunk_vec",
+        "chunk chunk_vec",
         """SELECT id, any_value(source) AS source, md5(any_value(text)) AS text_md5, 768 AS dim,
             count(bucket)::INTEGER AS n_nonzero
-        FROM judged LEFT JOIN chunk_vec USING (id) WHERE valid GROUP BY id""",
+        FROM chunk LEFT JOIN chunk_vec USING (id) GROUP BY id""",
     ),
     "ingest_report": _query(
         "chunk web_chunk",
-        f"""SELECT source, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_valid, 0) AS n_valid,
-            CASE WHEN NOT accepted THEN 'skipped' WHEN coalesce(n_chunks, 0) = 0 THEN 'no text'
-              WHEN n_valid = 0 THEN 'no valid embedding' ELSE 'stored' END AS status
-        FROM (SELECT source, bool_or(accepted) AS accepted
-              FROM (SELECT source, true AS accepted FROM documents
-                    UNION ALL SELECT url, suffix(url, '.html') FROM pages) GROUP BY source)
-        LEFT JOIN (SELECT source, count(*) AS n_chunks, count(*) FILTER (WHERE valid) AS n_valid
-              FROM (SELECT source, NOT bool_or({N_TOKENS.format('text')} > {MODEL_WINDOW})
-                      OVER (PARTITION BY source, place // 64) AS valid
-                    FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_no) - 1 AS place
-                          FROM (SELECT doc_id, source, chunk_no, text FROM chunk
-                                UNION ALL SELECT doc_id, source, chunk_no, text FROM web_chunk)))
-              GROUP BY source) USING (source)""",
+        """SELECT path, min(name) AS source, max(n_chunks) AS n_chunks, max(n_valid) AS n_valid, max(status) AS status FROM (
+          SELECT path, name, CASE WHEN accepted AND NOT failed THEN coalesce(n_chunks, 0) ELSE 0 END AS n_chunks,
+            CASE WHEN accepted AND NOT failed THEN coalesce(n_chunks, 0) ELSE 0 END AS n_valid,
+            CASE WHEN NOT accepted THEN 'skipped' WHEN failed THEN 'error' WHEN coalesce(n_chunks, 0) = 0 THEN 'no text'
+              ELSE 'stored' END AS status
+          FROM (SELECT DISTINCT source AS path, source AS name, true AS accepted, false AS failed FROM documents
+                UNION ALL
+                SELECT url, CASE WHEN suffix(url, '.html') THEN string_split(url, '/')[-1] ELSE url END,
+                  suffix(url, '.html'), md5(html)[1:1] = '0' FROM pages)
+          LEFT JOIN (SELECT source AS path, count(*) AS n_chunks
+                FROM (SELECT source FROM chunk UNION ALL SELECT source FROM web_chunk) GROUP BY source) USING (path)
+        ) GROUP BY path""",
     ),
 }

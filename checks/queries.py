@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from passages.plans import answers, ingest
 from passages.sources import collection, files, pages, tables
 
 DIM = 64
-MODEL_WINDOW = 470
+MEASURES = 4
 LIBRARY = RetrievalConfig(
     chunk_size=1000, recursive=False, use_lexical=True, lexical_k=1, use_rerank=True, rerank_k=7
 )
@@ -57,23 +58,46 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.ingest_fixed(documents(spark, sf))
 
 
-def label_centres(spark: SparkSession, sf: str) -> DataFrame:
-    """A query vector per label: the mean of its vectors."""
-    entries = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("at", "x"))
-    means = entries.groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("at", "x")))
-    return means.groupBy(F.col("label").alias("query_id")).agg(
-        F.transform(ordered, lambda e: e["x"]).alias("embedding")
-    )
+def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stored vector as a query."""
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def digest(text: str | Column = "text") -> Column:
     return F.md5(text).alias("text_md5")
 
 
-def too_long(text: Column) -> Column:
-    """The model takes MODEL_WINDOW tokens and refuses longer texts."""
-    return tx.token_count(text) > MODEL_WINDOW
+def refusing_embedder():
+    """The built-in way of a model: text measures as a vector; texts with a certain md5 are refused."""
+
+    def measure(text: str) -> list[float]:
+        digest = hashlib.md5(text.encode()).hexdigest()
+        if digest.startswith("00"):
+            raise ValueError("refused")
+        return _measures(text)
+
+    return lambda texts: [measure(text) for text in texts]
+
+
+def measuring_embedder():
+    return lambda texts: [_measures(text) for text in texts]
+
+
+def _measures(text: str) -> list[float]:
+    """Characters, spaces, line breaks, and the first byte of the md5."""
+    first = int(hashlib.md5(text.encode()).hexdigest()[:2], 16)
+    return [float(len(text)), float(text.count(" ")), float(text.count("\n")), float(first)]
+
+
+def faulty_reader():
+    """Reads bytes as text; one file in sixteen cannot be read."""
+
+    def read(data: bytes) -> str:
+        if hashlib.md5(data).hexdigest().startswith("0"):
+            raise ValueError("unreadable")
+        return data.decode()
+
+    return lambda files: [read(bytes(data)) for data in files]
 
 
 # Scans and tables
@@ -168,15 +192,20 @@ def embed_hash(spark, sf):
     )
 
 
+def embed_model(spark, sf):
+    done = embed.embed_with(documents(spark, sf), measuring_embedder, size=MEASURES)
+    return done.select("doc_id", *(F.col("embedding")[k].cast("double").alias(f"v{k}") for k in range(MEASURES)), "error")
+
+
 def embed_batch_failure(spark, sf):
-    done = ingest.embedded_chunks(documents(spark, sf), INGEST, too_long)
-    return done.select("chunk_id", "source", F.col("embedding").isNotNull().alias("valid"))
+    done = ingest.embedded_chunks(documents(spark, sf), INGEST, refusing_embedder, MEASURES)
+    return done.select("chunk_id", "source", F.col("embedding").isNotNull().alias("valid"), "error")
 
 
 def valid_embeddings(spark, sf):
-    done = embed.valid_embeddings(ingest.embedded_chunks(documents(spark, sf), INGEST, too_long))
-    return done.select(
-        "chunk_id", F.size(F.filter("embedding", lambda x: x != 0)).alias("n_nonzero")
+    done = ingest.embedded_chunks(documents(spark, sf), INGEST, refusing_embedder, MEASURES)
+    return embed.valid_embeddings(done).select(
+        "chunk_id", F.size("embedding").alias("dim"), F.col("embedding")[0].cast("double").alias("v0")
     )
 
 
@@ -192,13 +221,13 @@ def vector_topk(spark, sf):
 
 def _knn(metric: str):
     def run(spark, sf):
-        return vector.knn_join(label_centres(spark, sf), vectors(spark, sf), 5, metric, DIM)
+        return vector.knn_join(vector_queries(spark, sf), vectors(spark, sf), 5, metric, DIM)
 
     return run
 
 
 def knn_lsh(spark, sf):
-    return vector.knn_lsh(label_centres(spark, sf), vectors(spark, sf), 5, DIM)
+    return vector.knn_lsh(vector_queries(spark, sf), vectors(spark, sf), 5, DIM)
 
 
 def dim_check(spark, sf):
@@ -413,7 +442,7 @@ def build_index_summary(spark, sf):
 
 
 def ingest_fixed(spark, sf):
-    stored = ingest.ingest_fixed(documents(spark, sf), INGEST, too_long)
+    stored = ingest.ingest_fixed(documents(spark, sf), INGEST)
     return stored.select(
         "id",
         "source",
@@ -424,16 +453,22 @@ def ingest_fixed(spark, sf):
 
 
 def ingest_report(spark, sf):
+    """Web pages go through a reader, keyed by their address; documents count under their source."""
     web = files.split_by_suffix(table(spark, sf, "pages"), "url", ".html")
-    docs = documents(spark, sf)
-    found = web.select(F.col("url").alias("source"), "accepted").unionByName(
-        docs.select("source", F.lit(True).alias("accepted"))
+    scan = web.where("accepted").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))
+    texts = files.read_texts(scan, faulty_reader)
+    docs = documents(spark, sf).withColumn("path", F.col("source"))
+    found = (
+        texts.select("path", "source", F.lit(True).alias("accepted"), "failed")
+        .unionByName(web.where("not accepted").select(F.col("url").alias("path"), F.col("url").alias("source"), "accepted", F.lit(False).alias("failed")))
+        .unionByName(docs.select("path", "source", F.lit(True).alias("accepted"), F.lit(False).alias("failed")))
     )
-    texts = web.where("accepted").select(
-        F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.col("url").alias("source")
+    # The chunks of a file carry its path as their source.
+    read = docs.select("doc_id", "text", F.col("path").alias("source")).unionByName(
+        texts.select("doc_id", "text", F.col("path").alias("source"))
     )
-    done = ingest.judged_chunks(docs.unionByName(texts), INGEST, too_long)
-    return ingest.ingest_report(found, done)
+    done = ingest.judged_chunks(read, INGEST).withColumnRenamed("source", "path")
+    return ingest.ingest_report(found, done, "path")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -449,6 +484,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_ids,
         chunk_recursive_invariants,
         embed_hash,
+        embed_model,
         embed_batch_failure,
         valid_embeddings,
         vector_topk,

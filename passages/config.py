@@ -7,7 +7,6 @@ from dataclasses import dataclass
 # Fixed values of the data model.
 VECTOR_SIZE = 768
 EMBED_BATCH = 64
-INDEX_BATCH = 100
 SCROLL_LIMIT = 100
 UNKNOWN_SOURCE = "Unknown"
 OTHER_LABEL = "other"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # The patterns that define tokens and the clean-up of reranker input.
 ASCII_WORD = "[a-zA-Z0-9]+"
+WORD = r"[\p{L}\p{N}]+"
 TOKEN = r"[ \t\n\r]*(?:[\p{L}\p{N}_]+|[^ \t\n\r\p{L}\p{N}_])"
 TIGHT_PUNCTUATION = r"(?<=[\p{L}\p{N}_])([?.,!])(?![\s\p{Z}])"
 CAMEL_HUMP = "([a-z0-9])([A-Z])"
@@ -19,6 +20,11 @@ def document_tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(ASCII_WORD), F.lit(0)), F.lower)
 
 
+def words(text: Column) -> Column:
+    """Lower-case words of letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
 def query_tokens(text: Column, normalize: bool = False) -> Column:
     """Lower-case words cut at white space only, so that `foo?` never meets `foo`.
 

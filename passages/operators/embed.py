@@ -9,12 +9,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passages.config import EMBED_BATCH, VECTOR_SIZE
-from passages.functions.text import document_tokens
+from passages.functions.text import words
 
 Model = Callable[[list], Sequence]
 
@@ -26,33 +25,45 @@ def batch_infer(
     out_col: str,
     out_type: T.DataType,
     batch_size: int = EMBED_BATCH,
+    error_col: str | None = None,
+    alone: bool = False,
 ) -> DataFrame:
     """Run a model over `in_col` in batches of `batch_size`; a failed batch gives nulls.
 
     `build_model` is called once per task and returns list -> list. A batch that raises, or
     returns the wrong number of results, costs its own rows only; later batches go on. Only
-    `in_col` goes to Python.
+    `in_col` goes to Python. `error_col` takes the reason of a row without a result. With
+    `alone`, the items of a failed batch are tried one by one, so that the reason stands at the
+    items that the model refuses and nowhere else.
     """
+    kind = T.StructType([T.StructField("value", out_type), T.StructField("error", T.StringType())])
 
-    @F.pandas_udf(out_type)
-    def infer(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(kind)
+    def infer(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = build_model()
+
+        def tried(batch: list) -> list[tuple]:
+            try:
+                answer = list(model(batch))
+                if len(answer) != len(batch):
+                    raise ValueError(f"{len(answer)} results for {len(batch)} items")
+                return [(value, None) for value in answer]
+            except Exception as error:
+                if alone and len(batch) > 1:
+                    return [result for item in batch for result in tried([item])]
+                return [(None, f"{type(error).__name__}: {error}")] * len(batch)
+
         for column in columns:
             items = column.tolist()
-            results: list = []
-            for start in range(0, len(items), batch_size):
-                batch = items[start : start + batch_size]
-                try:
-                    answer = list(model(batch))
-                    if len(answer) != len(batch):
-                        raise ValueError(f"{len(answer)} results for {len(batch)} items")
-                except Exception:
-                    answer = [None] * len(batch)
-                results.extend(answer)
-            yield pd.Series(results, dtype=object)
+            results = [r for start in range(0, len(items), batch_size) for r in tried(items[start : start + batch_size])]
+            value, error = zip(*results) if results else ((), ())
+            yield pd.DataFrame({"value": pd.Series(value, dtype=object), "error": pd.Series(error, dtype=object)})
 
     # Not to be repeated by the optimizer: a model call is dear and may differ next time.
-    return df.withColumn(out_col, infer.asNondeterministic()(in_col))
+    done = df.withColumn("_inferred", infer.asNondeterministic()(in_col)).withColumn(out_col, F.col("_inferred.value"))
+    if error_col is not None:
+        done = done.withColumn(error_col, F.col("_inferred.error"))
+    return done.drop("_inferred")
 
 
 def _bucket_and_sign(words: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +96,7 @@ def hash_embedding(text: Column, size: int = VECTOR_SIZE) -> Column:
         starts = pa.array(np.arange(0, n * size + 1, size, dtype=np.int32))
         return pa.ListArray.from_arrays(starts, pa.array(scaled.astype(np.float32).ravel()))
 
-    return add_up(document_tokens(text))
+    return add_up(words(text))
 
 
 def embed_texts(
@@ -94,6 +105,22 @@ def embed_texts(
     return df.withColumn(out, hash_embedding(F.col(text_col), size))
 
 
+def embed_with(
+    df: DataFrame,
+    build_model: Callable[[], Model] | None = None,
+    text_col: str = "text",
+    size: int = VECTOR_SIZE,
+) -> DataFrame:
+    """Adds `embedding` and `error`, by a model of texts -> vectors or the built-in embedder.
+
+    What the model refuses has no vector, and the reason in `error`.
+    """
+    if build_model is None:
+        return embed_texts(df, text_col, "embedding", size).withColumn("error", F.lit(None).cast("string"))
+    vector = T.ArrayType(T.FloatType())
+    return batch_infer(df, build_model, text_col, "embedding", vector, error_col="error", alone=True)
+
+
 def nonzero_buckets(df: DataFrame, key: str, vector_col: str = "embedding") -> DataFrame:
     """Sparse view of the vectors: one row (key, bucket, value) per non-zero entry."""
     entries = F.transform(vector_col, lambda x, i: F.struct(i.alias("bucket"), x.alias("value")))
@@ -101,21 +128,5 @@ def nonzero_buckets(df: DataFrame, key: str, vector_col: str = "embedding") -> D
     return df.select(key, F.inline(nonzero))
 
 
-def batch_validity(
-    chunks: DataFrame, failed: Column, position: Column, batch_size: int = EMBED_BATCH
-) -> DataFrame:
-    """Adds `valid`: false for every chunk whose batch holds a failed item.
-
-    `position` counts the chunks of one source from 0, and batches restart per source. One
-    batch is at most `batch_size` rows, so the window never gathers a whole source.
-    """
-    batch = W.partitionBy("source", "_batch")
-    return (
-        chunks.withColumn("_batch", F.floor(position / batch_size))
-        .withColumn("valid", ~F.bool_or(F.coalesce(failed, F.lit(False))).over(batch))
-        .drop("_batch")
-    )
-
-
 def valid_embeddings(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
     return df.where(F.col(vector_col).isNotNull())

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passages.config import VECTOR_SIZE
 from passages.operators import topk
+from passages.operators.embed import Model
 from passages.operators.lexical import LexicalIndex, bm25_hits
 from passages.operators.vector import known_source, semantic_hits
 
@@ -41,9 +44,11 @@ def hybrid_hits(
     vector_k: int = 5,
     lexical_k: int = 1,
     dim: int = VECTOR_SIZE,
+    metric: str = "cosine",
+    build_embedder: Callable[[], Model] | None = None,
 ) -> DataFrame:
     """(query_id, pos, id): vector hits with the lexical hits spliced in, if there is an index."""
-    semantic = semantic_hits(queries, points, vector_k, dim).drop("score")
+    semantic = semantic_hits(queries, points, vector_k, dim, metric, build_embedder).drop("score")
     if index is None:
         return semantic.select("query_id", (F.col("rank") - 1).alias("pos"), "id")
     lexical = bm25_hits(queries, index, lexical_k).drop("score")
@@ -57,9 +62,11 @@ def hybrid_search(
     vector_k: int = 5,
     lexical_k: int = 1,
     dim: int = VECTOR_SIZE,
+    metric: str = "cosine",
+    build_embedder: Callable[[], Model] | None = None,
 ) -> DataFrame:
     """`hybrid_hits` with the stored payload: (query_id, pos, id, text, source)."""
-    hits = hybrid_hits(queries, points, index, vector_k, lexical_k, dim)
+    hits = hybrid_hits(queries, points, index, vector_k, lexical_k, dim, metric, build_embedder)
     payload = points.select("id", "text", known_source().alias("source"))
     bounded = queries.select("query_id").count() * (vector_k + lexical_k) <= topk.BROADCAST_HITS
     return topk.attach(hits, payload, bounded).select("query_id", "pos", "id", "text", "source")

@@ -21,13 +21,17 @@ def running_offset(
     order: str,
     amount: Column,
     out: str,
-    width: int = BLOCK_WIDTH,
+    width: int | None = None,
 ) -> DataFrame:
     """Sum of `amount` over the rows of the same group that come before this one.
 
     `order` is an integer column without repeats inside a group, `group` is not null. Close
-    numbers make few blocks; keys that are far apart are right too, but give a block each.
+    numbers make few blocks. Keys that are far apart, such as hashes, get wider blocks: `width` follows
+    from their range and number, so that a block has about BLOCK_WIDTH rows.
     """
+    if width is None:
+        low, high, rows = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+        width = max(BLOCK_WIDTH, (high - low) * BLOCK_WIDTH // rows) if rows else BLOCK_WIDTH
     blocked = df.withColumn("_block", F.floor(F.col(order) / width)).withColumn("_amount", amount)
     earlier_blocks = W.partitionBy(group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     block_start = (

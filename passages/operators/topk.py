@@ -1,8 +1,8 @@
 """Top k of a large table for every row of a query table, without forming the pairs.
 
-A task scores one Arrow batch of the corpus against a block of queries as one matrix and
-emits only the k best rows per query. Spark then ranks those partial results per query. The
-shuffle carries k rows per query and batch, whatever the size of the corpus, and the corpus
+A task scores one Arrow batch of the corpus after the other against a block of queries as one
+matrix and keeps the k best rows per query, which it emits at its end. Spark then ranks those partial results per query. The
+shuffle carries k rows per query and task, whatever the size of the corpus, and the corpus
 itself does not move.
 
 The query block travels to the tasks as a broadcast when a count shows that it fits. A larger
@@ -77,6 +77,19 @@ def _local_best(
             )
 
 
+def _best_of(parts: list[pa.RecordBatch], k: int) -> list[pa.RecordBatch]:
+    """The k best rows of each query."""
+    if not parts:
+        return []
+    table = pa.Table.from_batches(parts)
+    order = pc.sort_indices(table, [("query_id", "ascending"), ("score", "descending"), ("id", "ascending")])
+    table = table.take(order).combine_chunks()
+    query = table["query_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+    return table.filter(pa.array(place < k)).to_batches()
+
+
 def partial_schema(corpus: DataFrame, queries: DataFrame) -> T.StructType:
     return T.StructType(
         [
@@ -133,8 +146,16 @@ def _scan(
     shared = corpus.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[pa.RecordBatch] = []
+        rows, room = 0, 2 * k * max(1, shared.value.num_rows)
         for batch in batches:
-            yield from _local_best(pa.Table.from_batches([batch]), shared.value, scorer, k, usable)
+            for part in _local_best(pa.Table.from_batches([batch]), shared.value, scorer, k, usable):
+                best.append(part)
+                rows += part.num_rows
+                if rows > room:
+                    best = _best_of(best, k)
+                    rows = sum(b.num_rows for b in best)
+        yield from _best_of(best, k)
 
     return corpus.mapInArrow(run, schema)
 

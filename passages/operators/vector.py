@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from passages.config import UNKNOWN_SOURCE, VECTOR_SIZE
 from passages.functions import vectors
 from passages.operators import topk
-from passages.operators.embed import embed_texts
+from passages.operators.embed import Model, embed_with
 from passages.session import cut_lineage
 
 
@@ -98,7 +98,7 @@ def knn_join(
     vectors.check_metric(metric)
     hits = topk.top_k(
         points.select("id", "embedding"),
-        queries.select("query_id", "embedding"),
+        queries.where(F.size("embedding") == dim).select("query_id", "embedding"),
         dense_scorer(dim, metric),
         k,
         query_cells(queries, dim),
@@ -107,25 +107,41 @@ def knn_join(
     return _as_metric(hits, metric)
 
 
-def embed_queries(queries: DataFrame, dim: int = VECTOR_SIZE) -> DataFrame:
-    return embed_texts(queries, "query", "embedding", dim)
+def embed_queries(
+    queries: DataFrame, dim: int = VECTOR_SIZE, build_embedder: Callable[[], Model] | None = None
+) -> DataFrame:
+    """Questions that the embedder refuses have a null vector, and no hits."""
+    return embed_with(queries, build_embedder, "query", dim).drop("error")
 
 
 def semantic_search(
-    queries: DataFrame, points: DataFrame, k: int = 5, dim: int = VECTOR_SIZE
+    queries: DataFrame,
+    points: DataFrame,
+    k: int = 5,
+    dim: int = VECTOR_SIZE,
+    metric: str = "cosine",
+    build_embedder: Callable[[], Model] | None = None,
 ) -> DataFrame:
-    """Embed the query texts, then the k nearest points: (query_id, rank, id, text, source)."""
-    hits = semantic_hits(queries, points, k, dim)
+    """Embed the query texts, then the k nearest points: (query_id, rank, id, text, source).
+
+    `dim` and `metric` are those of the collection (`collection.settings`), the embedder is that of its points.
+    """
+    hits = semantic_hits(queries, points, k, dim, metric, build_embedder)
     payload = points.select("id", "text", known_source().alias("source"))
     bounded = queries.select("query_id").count() * k <= topk.BROADCAST_HITS
     return topk.attach(hits, payload, bounded).select("query_id", "rank", "id", "text", "source")
 
 
 def semantic_hits(
-    queries: DataFrame, points: DataFrame, k: int = 5, dim: int = VECTOR_SIZE
+    queries: DataFrame,
+    points: DataFrame,
+    k: int = 5,
+    dim: int = VECTOR_SIZE,
+    metric: str = "cosine",
+    build_embedder: Callable[[], Model] | None = None,
 ) -> DataFrame:
     """As `semantic_search`, but ids and scores only."""
-    return knn_join(embed_queries(queries, dim), points, k, "cosine", dim)
+    return knn_join(embed_queries(queries, dim, build_embedder), points, k, metric, dim)
 
 
 def split_by_dim(points: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:

@@ -33,10 +33,19 @@ def retrieve(
     classes: list[str] | None = None,
     relevance: Column | None = None,
     dim: int = VECTOR_SIZE,
+    metric: str = "cosine",
+    build_embedder: Callable[[], Model] | None = None,
 ) -> DataFrame:
     """(query_id, pos, id, text, source) that go into the prompt, after reranking and budget."""
     hits = hybrid_search(
-        queries, points, index if config.use_lexical else None, config.vector_k, config.lexical_k, dim
+        queries,
+        points,
+        index if config.use_lexical else None,
+        config.vector_k,
+        config.lexical_k,
+        dim,
+        metric,
+        build_embedder,
     )
     if config.use_rerank:
         tag = None
@@ -57,10 +66,12 @@ def answer_queries(
     build_model: Callable[[], Model] | None = None,
     **retrieval,
 ) -> DataFrame:
-    """(query_id, question, sources, document_ids, answer), one row per query.
+    """(query_id, question, sources, document_ids, answer), one row per query that is not blank.
 
-    Without a model the answer is the prompt itself, ready for one.
+    Blank and null questions are set aside first; `split_blank` gives them. Without a model the
+    answer is the prompt itself, ready for one.
     """
+    queries, _ = split_blank(queries)
     hits = retrieve(queries, points, index, config, **retrieval)
     prompts = build_prompts(queries, gather(hits))
     if build_model is None:

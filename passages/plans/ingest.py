@@ -4,92 +4,128 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.config import ASK, EMBED_BATCH, INGEST, VECTOR_SIZE, RetrievalConfig
 from passages.operators.chunk import chunk_fixed, chunk_recursive, fixed_chunk_count, with_chunk_ids
-from passages.operators.embed import batch_validity, embed_texts
+from passages.operators.embed import Model, embed_with, valid_embeddings
 from passages.operators.order import running_offset
 from passages.operators.vector import known_source
+from passages.session import cut_lineage
 from passages.sources import collection
 
-Failure = Callable[[Column], Column]
+BuildModel = Callable[[], Model]
+
+# Bound of the documents with a failed batch that may travel to all tasks.
+BROADCAST_FAILED = 200_000
 
 
 def _named(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", known_source().alias("source"))
 
 
-def numbered_chunks(docs: DataFrame, config: RetrievalConfig = INGEST) -> DataFrame:
-    """Fixed chunks with `chunk_id` and `position`, their number within the source.
+def fixed_chunks(docs: DataFrame, config: RetrievalConfig = INGEST) -> DataFrame:
+    return with_chunk_ids(chunk_fixed(_named(docs), config.chunk_size, config.chunk_overlap))
+
+
+def embedded_chunks(
+    docs: DataFrame,
+    config: RetrievalConfig = INGEST,
+    build_model: BuildModel | None = None,
+    dim: int = VECTOR_SIZE,
+) -> DataFrame:
+    """Fixed chunks with `embedding`, and `error` where there is none.
 
-    Documents are numbered by the chunks before them, which needs text lengths only; a source
-    of any size is dealt with in blocks.
+    A source is embedded in batches of 64 chunks, in order. One text that the model refuses
+    costs its whole batch, and the others of it carry its reason. The built-in embedder refuses nothing.
     """
-    size, overlap = config.chunk_size, config.chunk_overlap
-    named = _named(docs).where(F.length("text") > 0)
-    placed = running_offset(
-        named, "source", "doc_id", fixed_chunk_count(F.col("text"), size, overlap), "_offset"
-    )
-    chunks = chunk_fixed(placed, size, overlap, keep=("_offset",))
-    return with_chunk_ids(chunks).withColumn("position", F.col("_offset") + F.col("chunk_no")).drop(
-        "_offset"
-    )
+    chunks = embed_with(fixed_chunks(docs, config), build_model, size=dim)
+    if build_model is None:
+        return chunks
+    return fail_batches(cut_lineage(chunks), docs, config)
 
 
-def judged_chunks(
-    docs: DataFrame, config: RetrievalConfig = INGEST, fails: Failure | None = None
-) -> DataFrame:
-    """Fixed chunks with `valid`, false where the embedding batch of a chunk would fail.
+def fail_batches(tried: DataFrame, docs: DataFrame, config: RetrievalConfig = INGEST) -> DataFrame:
+    """`tried` with the batches of its refused chunks failed as a whole.
 
-    `fails` tells from a chunk text that the model refuses it. Without it no batch fails, and
-    the chunks are made in one pass.
+    Places in a source are worked out on (source, doc_id, number of chunks), and a failed batch is a row
+    (source, batch): no text is moved for it. Only the documents that a failed batch touches are joined back,
+    by a broadcast while a count shows that they are few.
     """
-    if fails is None:
-        chunks = with_chunk_ids(chunk_fixed(_named(docs), config.chunk_size, config.chunk_overlap))
-        return chunks.withColumn("valid", F.lit(True))
-    chunks = numbered_chunks(docs, config)
-    return batch_validity(chunks, fails(F.col("text")), F.col("position"), EMBED_BATCH).drop("position")
+    refused = tried.where(F.col("error").isNotNull()).select("source", "doc_id", "chunk_no", "error")
+    if refused.isEmpty():
+        return tried
+    count = fixed_chunk_count(F.col("text"), config.chunk_size, config.chunk_overlap)
+    lengths = _named(docs).where(F.length("text") > 0).select("source", "doc_id", count.alias("_n"))
+    placed = running_offset(lengths, "source", "doc_id", F.col("_n"), "_offset")
+    batch_of = lambda place: F.floor(place / EMBED_BATCH)
+    failed = (
+        refused.join(placed, ["source", "doc_id"])
+        .groupBy("source", batch_of(F.col("_offset") + F.col("chunk_no")).alias("_batch"))
+        .agg(F.min("error").alias("_reason"))
+    )
+    last = batch_of(F.col("_offset") + F.col("_n") - 1)
+    touched = placed.withColumn("_batch", F.explode(F.sequence(batch_of(F.col("_offset")), last)))
+    lost = cut_lineage(
+        touched.join(failed, ["source", "_batch"])
+        .groupBy("source", "doc_id")
+        .agg(
+            F.first("_offset").alias("_offset"),
+            F.map_from_entries(F.collect_list(F.struct("_batch", "_reason"))).alias("_lost"),
+        )
+    )
+    few = lost.limit(BROADCAST_FAILED + 1).count() <= BROADCAST_FAILED
+    joined = tried.join(F.broadcast(lost) if few else lost, ["source", "doc_id"], "left")
+    reason = F.try_element_at("_lost", batch_of(F.col("_offset") + F.col("chunk_no")))
+    return (
+        joined.withColumn("error", F.coalesce("error", reason))
+        .withColumn("embedding", F.when(F.col("error").isNull(), F.col("embedding")))
+        .drop("_offset", "_lost")
+    )
 
 
-def embedded_chunks(
+def judged_chunks(
     docs: DataFrame,
     config: RetrievalConfig = INGEST,
-    fails: Failure | None = None,
+    build_model: BuildModel | None = None,
     dim: int = VECTOR_SIZE,
 ) -> DataFrame:
-    """Fixed chunks with `embedding`, null where the batch of a chunk failed."""
-    embedded = embed_texts(judged_chunks(docs, config, fails), size=dim)
-    return embedded.withColumn("embedding", F.when(F.col("valid"), F.col("embedding")))
+    """Fixed chunks with `valid`, false where the embedding batch of a chunk failed, and `error`."""
+    if build_model is None:
+        return fixed_chunks(docs, config).withColumns(
+            {"valid": F.lit(True), "error": F.lit(None).cast("string")}
+        )
+    done = embedded_chunks(docs, config, build_model, dim)
+    return done.withColumn("valid", F.col("embedding").isNotNull()).drop("embedding")
 
 
-def as_points(chunks: DataFrame, dim: int = VECTOR_SIZE) -> DataFrame:
-    """Chunks with an id, embedded. The built-in embedder has a vector for every text."""
-    return embed_texts(chunks, size=dim).select(
-        F.col("chunk_id").alias("id"), "embedding", "text", "source"
-    )
+def as_points(chunks: DataFrame) -> DataFrame:
+    """Embedded chunks as rows for the collection, which rejects those without a vector."""
+    return chunks.select(F.col("chunk_id").alias("id"), "embedding", "text", "source", "error")
 
 
 def ingest_fixed(
     docs: DataFrame,
     config: RetrievalConfig = INGEST,
-    fails: Failure | None = None,
+    build_model: BuildModel | None = None,
     dim: int = VECTOR_SIZE,
 ) -> DataFrame:
-    """Fixed chunks, failed ones dropped, embedded: the points to store.
-
-    What would fail is known before, so the dropped chunks are not embedded at all.
-    """
-    return as_points(judged_chunks(docs, config, fails).where("valid"), dim)
+    """Fixed chunks, embedded, failed ones dropped: the points to store."""
+    points = as_points(embedded_chunks(docs, config, build_model, dim)).drop("error")
+    return points if build_model is None else valid_embeddings(points)
 
 
 def recursive_points(
-    docs: DataFrame, config: RetrievalConfig = ASK, dim: int = VECTOR_SIZE
+    docs: DataFrame,
+    config: RetrievalConfig = ASK,
+    dim: int = VECTOR_SIZE,
+    build_model: BuildModel | None = None,
 ) -> DataFrame:
-    """Recursive chunks, embedded: the points of the index build."""
-    chunks = chunk_recursive(_named(docs), config.chunk_size, config.chunk_overlap)
-    return as_points(with_chunk_ids(chunks), dim)
+    """Recursive chunks, embedded: the points of the index build, with `error` where there is no vector."""
+    chunks = with_chunk_ids(chunk_recursive(_named(docs), config.chunk_size, config.chunk_overlap))
+    embedded = embed_with(chunks, build_model, size=dim)
+    return as_points(embedded if build_model is None else cut_lineage(embedded))
 
 
 def build_index(
@@ -99,10 +135,11 @@ def build_index(
     batch: int = 0,
     dim: int = VECTOR_SIZE,
     metric: str = "cosine",
-) -> None:
-    """Chunk, embed and store in one job with one write."""
+    build_model: BuildModel | None = None,
+) -> DataFrame:
+    """Chunk, embed and store with one write; returns the rejected rows with their `error`."""
     collection.ensure_collection(docs.sparkSession, path, dim, metric)
-    collection.upsert(recursive_points(docs, config, dim), path, batch)
+    return collection.upsert(recursive_points(docs, config, dim, build_model), path, batch)
 
 
 def load_index(
@@ -111,13 +148,14 @@ def load_index(
     docs: DataFrame | None = None,
     config: RetrievalConfig = ASK,
     dim: int = VECTOR_SIZE,
+    build_model: BuildModel | None = None,
 ) -> DataFrame:
     """All stored documents (id, text, source); an empty collection is built from `docs`."""
     collection.ensure_collection(spark, path, dim)
-    if collection.read_points(spark, path).isEmpty():
+    if collection.is_empty(spark, path):
         if docs is None:
             raise ValueError("the collection is empty and there are no documents to build it from")
-        build_index(docs, path, config, dim=dim)
+        build_index(docs, path, config, dim=dim, build_model=build_model)
     return collection.all_documents(collection.read_points(spark, path))
 
 
@@ -126,18 +164,20 @@ SKIPPED, ERROR, NO_TEXT = "skipped", "error", "no text"
 NO_EMBEDDING, STORED = "no valid embedding", "stored"
 
 
-def ingest_report(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(source, n_chunks, n_valid, status) for every file.
+def ingest_report(files: DataFrame, chunks: DataFrame, key: str = "source") -> DataFrame:
+    """(source, n_chunks, n_valid, status) for every file, and `key` if that is another column.
 
-    files(source, accepted, and failed if there was a reader) lists what was found, chunks(source, valid) the judged chunks of all
-    accepted ones. Counts are combined before the shuffle, so a large file costs no more than a small one.
+    files(key, source, accepted, and failed if there was a reader) lists what was found,
+    chunks(key, valid) the judged chunks of all accepted ones. Files in different folders may share a name, so their key is the
+    path. Counts are combined before the shuffle, so a large file costs no more than a small one.
     """
-    counts = chunks.groupBy("source").agg(
+    counts = chunks.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.col("valid")).alias("n_valid")
     )
     failed = F.bool_or("failed") if "failed" in files.columns else F.lit(False)
-    found = files.groupBy("source").agg(
-        F.bool_or("accepted").alias("accepted"), failed.alias("failed")
+    name = [] if key == "source" else [F.min("source").alias("source")]
+    found = files.groupBy(key).agg(
+        F.bool_or("accepted").alias("accepted"), failed.alias("failed"), *name
     )
     n_chunks, n_valid = (F.coalesce(c, F.lit(0)) for c in ("n_chunks", "n_valid"))
     status = (
@@ -147,6 +187,7 @@ def ingest_report(files: DataFrame, chunks: DataFrame) -> DataFrame:
         .when(n_valid == 0, NO_EMBEDDING)
         .otherwise(STORED)
     )
-    return found.join(counts, "source", "left").select(
-        "source", n_chunks.alias("n_chunks"), n_valid.alias("n_valid"), status.alias("status")
+    columns = dict.fromkeys([key, "source"])
+    return found.join(counts, key, "left").select(
+        *columns, n_chunks.alias("n_chunks"), n_valid.alias("n_valid"), status.alias("status")
     )

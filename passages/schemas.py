@@ -12,24 +12,6 @@ DOCUMENTS = T.StructType(
     ]
 )
 
-PAGES = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("page_no", T.LongType()),
-        T.StructField("text", T.StringType()),
-    ]
-)
-
-CHUNKS = T.StructType(
-    [
-        T.StructField("chunk_id", T.StringType()),
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("source", T.StringType()),
-        T.StructField("chunk_no", T.IntegerType()),
-        T.StructField("text", T.StringType()),
-    ]
-)
-
 POINTS = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -40,13 +22,6 @@ POINTS = T.StructType(
     ]
 )
 
-QUERIES = T.StructType(
-    [
-        T.StructField("query_id", T.LongType()),
-        T.StructField("query", T.StringType()),
-    ]
-)
-
 COLLECTION_META = T.StructType(
     [
         T.StructField("version", T.LongType()),

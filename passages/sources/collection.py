@@ -68,15 +68,31 @@ def _existing(spark: SparkSession, path: str):
     return meta
 
 
+def settings(spark: SparkSession, path: str) -> tuple[int, str]:
+    """(dim, metric) of the collection, as searches take them."""
+    meta = _existing(spark, path)
+    return meta.dim, meta.metric
+
+
+def _clear_batch(spark: SparkSession, path: str, data_dir: str, batch: int) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{data_dir}/ingest_batch={batch}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def upsert(points: DataFrame, path: str, batch: int) -> DataFrame:
     """Write one batch of (id, embedding, text, source); returns the rejected rows.
 
-    Rows whose vector has another length than the collection are not written.
+    Rows without a vector, or with one of another length than the collection, are not written. A batch that
+    is written again without any row is empty from then on. One writer at a time.
     """
     if batch <= BASE_BATCH:
         raise ValueError("batch numbers start at 0")
     meta = _existing(points.sparkSession, path)
     accepted, rejected = split_by_dim(points, meta.dim)
+    if accepted.isEmpty():
+        # A write of no rows would leave the old ones.
+        _clear_batch(points.sparkSession, path, meta.data_dir, batch)
+        return rejected
     (
         accepted.select(
             "id", F.col("embedding").cast("array<float>"), "text", "source", F.lit(batch).alias("ingest_batch")
@@ -121,6 +137,11 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return log.join(few, "id", "left_anti").unionByName(newest)
 
 
+def is_empty(spark: SparkSession, path: str) -> bool:
+    """Whether the log has no row; versions are not compared for that."""
+    return _log(spark, path).select("id").isEmpty()
+
+
 def compact(spark: SparkSession, path: str) -> None:
     """Rewrite the latest rows into a new folder and point the collection to it."""
     meta = _existing(spark, path)

@@ -47,15 +47,17 @@ def empty_files(scan: DataFrame) -> DataFrame:
 
 
 def read_texts(scan: DataFrame, build_reader: Callable[[], Model]) -> DataFrame:
-    """(doc_id, text, source, failed): the text of each file, by a reader of bytes.
+    """(doc_id, text, source, path, failed, error): the text of each file, by a reader of bytes.
 
     `build_reader` gives list of bytes -> list of texts. A file that cannot be read costs only
     itself: it has no text and `failed` is true.
     """
-    read = batch_infer(scan, build_reader, "content", "text", T.StringType(), batch_size=1)
+    read = batch_infer(scan, build_reader, "content", "text", T.StringType(), batch_size=1, error_col="error")
     return read.select(
         F.xxhash64("path").alias("doc_id"),
         "text",
         F.element_at(F.split("path", "/"), -1).alias("source"),
+        "path",
         F.col("text").isNull().alias("failed"),
+        "error",
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from passages.config import INGEST, VECTOR_SIZE, RetrievalConfig
-from passages.plans.ingest import Failure, ingest_fixed
+from passages.plans.ingest import BuildModel, as_points, embedded_chunks
 from passages.schemas import DOCUMENTS
 from passages.sources import collection
 
@@ -17,7 +17,7 @@ def stream_ingest(
     path: str,
     checkpoint: str,
     config: RetrievalConfig = INGEST,
-    fails: Failure | None = None,
+    build_model: BuildModel | None = None,
     dim: int = VECTOR_SIZE,
     max_files: int | None = None,
     first_batch: int = 1,
@@ -26,6 +26,7 @@ def stream_ingest(
 
     Micro-batch n writes the collection batch first_batch + n, so a replay after a failure
     replaces what the failed try had written. Other writers keep to numbers below first_batch.
+    Chunks that a model refuses are appended to <path>/rejected with their reason and batch.
     """
     collection.ensure_collection(spark, path, dim)
     reader = spark.readStream.schema(DOCUMENTS)
@@ -33,7 +34,14 @@ def stream_ingest(
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def store(docs: DataFrame, batch: int) -> None:
-        collection.upsert(ingest_fixed(docs, config, fails, dim), path, first_batch + batch)
+        points = as_points(embedded_chunks(docs, config, build_model, dim))
+        rejected = collection.upsert(points, path, first_batch + batch)
+        if build_model is not None:
+            (
+                rejected.select("id", "source", "error")
+                .write.mode("overwrite")
+                .parquet(f"{path}/rejected/ingest_batch={first_batch + batch}")
+            )
 
     return (
         reader.parquet(docs_dir)
