@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def ship_with_tasks() -> None:
     """Send this package's functions with each task, so executors need no install of it."""
-    cloudpickle.register_pickle_by_value(sys.modules["passages"])
+    for name in ("passages", "checks"):
+        if name in sys.modules:
+            cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
 def local_session(cores: int | str = "*", app: str = "passages") -> SparkSession:

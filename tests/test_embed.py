@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passages.functions.classify import softmax, threshold_label
-from passages.operators.embed import batch_infer, batch_validity, embed_texts, valid_embeddings
+from passages.operators.embed import batch_infer, embed_texts, valid_embeddings
 from passages.operators.order import running_offset
+from passages.operators.vector import semantic_hits
 
 
 def plain_embedding(text, size):
     sums = [0] * size
-    for word in "".join(c if c.isascii() and c.isalnum() else " " for c in text).lower().split():
+    for word in "".join(c if c.isalnum() else " " for c in text.lower()).split():
         digest = hashlib.md5(word.encode()).hexdigest()
         sums[int(digest[:7], 16) % size] += -1 if digest[7] in "89abcdef" else 1
     length = math.sqrt(sum(s * s for s in sums))
@@ -45,16 +46,29 @@ def test_a_failed_batch_costs_only_itself(spark):
         assert row.y == (None if failed else float(row.x))
 
 
-def test_batches_restart_per_source(spark):
-    rows = [(s, p, p == bad) for s, n, bad in (("a", 130, 70), ("b", 3, 2), ("c", 64, -1)) for p in range(n)]
-    table = spark.createDataFrame(rows, "source string, position long, bad boolean")
-    valid = {
-        (r.source, r.position): r.valid
-        for r in batch_validity(table, F.col("bad"), F.col("position"), 64).collect()
-    }
-    for source, position in valid:
-        failed = (source == "a" and 64 <= position < 128) or source == "b"
-        assert valid[source, position] == (not failed)
+def test_reasons_of_failed_items(spark):
+    def build():
+        def model(batch):
+            if 3 in batch:
+                raise RuntimeError("no threes")
+            return [float(x) for x in batch]
+
+        return model
+
+    rows = spark.range(0, 10, 1, 1).withColumnRenamed("id", "x")
+    for alone, failed in ((False, {0, 1, 2, 3}), (True, {3})):
+        done = batch_infer(rows, build, "x", "y", T.DoubleType(), 4, "error", alone).collect()
+        assert {r.x for r in done if r.y is None} == failed
+        assert {r.x: r.error for r in done if r.error} == {x: "RuntimeError: no threes" for x in failed}
+
+
+def test_words_of_any_script_find_themselves(spark):
+    texts = ["привет мир", "другой текст", "ελληνικά", "中文 文本"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    points = embed_texts(rows, size=64)
+    queries = rows.select(F.col("id").alias("query_id"), F.col("text").alias("query"))
+    hits = semantic_hits(queries, points, 1, 64)
+    assert {r.query_id: (r.id, r.score) for r in hits.collect()} == {k: (k, 1.0) for k in range(4)}
 
 
 def test_valid_embeddings_drops_nulls(spark):
@@ -69,11 +83,18 @@ def test_running_offset(spark, rng):
             rows.append((group, key, rng.randint(0, 9)))
     table = spark.createDataFrame(rows, "g string, k long, n int")
     expected = {(g, k): sum(n for g2, k2, n in rows if g2 == g and k2 < k) for g, k, _ in rows}
-    for width in (1, 7, 1000):
+    for width in (1, 7, 1000, None):
         found = running_offset(table, "g", "k", F.col("n"), "before", width).collect()
         assert {(r.g, r.k): r.before for r in found} == expected
 
 
+def test_running_offset_of_hashed_keys_has_few_blocks(spark):
+    keys = spark.range(20_000).select(F.lit("s").alias("g"), F.xxhash64("id").alias("k"), F.lit(1).alias("n"))
+    found = running_offset(keys, "g", "k", F.col("n"), "before")
+    assert [r.before for r in found.orderBy("k").limit(5).collect()] == [0, 1, 2, 3, 4]
+    assert found.agg(F.max("before")).first()[0] == 19_999
+
+
 def test_threshold_label(spark):
     rows = [([0.5, 0.5],), ([0.1, 0.9],), ([0.2, 0.19],), ([0.19, 0.1],)]
     table = spark.createDataFrame(rows, "p array<double>")

@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from passages.config import INGEST, RetrievalConfig
+from passages.operators.vector import semantic_hits, semantic_search
+from passages.plans import ingest
 from passages.plans.ingest import (
     build_index,
     embedded_chunks,
@@ -150,17 +152,26 @@ def test_spread_leaves_wide_scans_alone(spark):
 TEXTS = [(1, "alpha " * 400, "a.pdf"), (2, "", "empty.pdf"), (3, "beta bad gamma", "bad.pdf"), (4, "x" * 30, None)]
 
 
-def refused(text):
-    return text.contains("bad")
+@pytest.fixture
+def refusing():
+    def build():
+        def model(texts):
+            if any("bad" in text for text in texts):
+                raise ValueError("bad word")
+            return [[1.0] * 16 for _ in texts]
+
+        return model
+
+    return build
 
 
-def test_ingest_report(spark):
+def test_ingest_report(spark, refusing):
     docs = spark.createDataFrame(TEXTS, DOC)
     files = spark.createDataFrame(
         [("a.pdf", True), ("empty.pdf", True), ("bad.pdf", True), ("notes.txt", False)],
         "source string, accepted boolean",
     )
-    report = ingest_report(files, judged_chunks(docs, INGEST, refused)).collect()
+    report = ingest_report(files, judged_chunks(docs, INGEST, refusing, 16)).collect()
     assert {tuple(r) for r in report} == {
         ("a.pdf", 3, 3, "stored"),
         ("empty.pdf", 0, 0, "no text"),
@@ -169,16 +180,19 @@ def test_ingest_report(spark):
     }
 
 
-def test_failed_batches_span_the_documents_of_a_source(spark):
+def test_failed_batches_span_the_documents_of_a_source(spark, monkeypatch, refusing):
     # 5 documents of 30 chunks in one source: a bad chunk at 100 fails batch 64..127.
     config = RetrievalConfig(chunk_size=10, chunk_overlap=0, recursive=False)
     docs = [(d, "".join(f"{d:02d}.{c:03d}    " for c in range(30)), "s") for d in range(5)]
     docs[3] = (3, docs[3][1].replace("03.010", "bad   "), "s")
     table = spark.createDataFrame(docs, DOC)
-    done = embedded_chunks(table, config, refused, 16).collect()
-    failed = {r.doc_id * 30 + r.chunk_no for r in done if r.embedding is None}
-    assert len(done) == 150 and failed == set(range(64, 128))
-    kept = ingest_fixed(table, config, refused, 16)
+    for bound in (ingest.BROADCAST_FAILED, 0):
+        monkeypatch.setattr(ingest, "BROADCAST_FAILED", bound)
+        done = embedded_chunks(table, config, refusing, 16).collect()
+        failed = {r.doc_id * 30 + r.chunk_no for r in done if r.embedding is None}
+        assert len(done) == 150 and failed == set(range(64, 128))
+        assert {r.error for r in done} == {None, "ValueError: bad word"}
+    kept = ingest_fixed(table, config, refusing, 16)
     assert kept.count() == 150 - 64
 
 
@@ -186,11 +200,52 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_ingest_moves_no_text_unless_batches_can_fail(spark):
+def test_ingest_moves_no_text(spark, refusing):
     docs = spark.createDataFrame(TEXTS, DOC)
     assert "Exchange" not in plan_of(ingest_fixed(docs))
-    # The numbering and the batches move text; three more move block totals.
-    assert plan_of(ingest_fixed(docs, fails=refused)).count("Exchange hashpartitioning") == 5
+    failing = ingest_fixed(docs, INGEST, refusing, 16)
+    assert "BroadcastExchange" in plan_of(failing) and "Exchange hashpartitioning" not in plan_of(failing)
+    assert failing.count() == 4
+
+
+def test_a_model_goes_through_the_index(spark, path, refusing):
+    docs = spark.createDataFrame(TEXTS, DOC)
+    rejected = build_index(docs, path, dim=16, metric="dot", build_model=refusing).collect()
+    assert {(r.source, r.error) for r in rejected} == {("bad.pdf", "ValueError: bad word")}
+    points = collection.read_points(spark, path)
+    assert points.where("size(embedding) = 16").count() == points.count() == 7
+    dim, metric = collection.settings(spark, path)
+    queries = spark.createDataFrame([(1, "good"), (2, "bad")], "query_id long, query string")
+    hits = semantic_search(queries, points, 2, dim, metric, refusing).collect()
+    assert {r.query_id for r in hits} == {1}
+    assert {r.score for r in semantic_hits(queries, points, 2, dim, metric, refusing).collect()} == {16.0}
+
+
+def test_a_batch_without_rows_replaces_the_old_one(spark, path):
+    collection.ensure_collection(spark, path, 1)
+    collection.upsert(batch(spark, [("a", [1.0], "x")]), path, 1)
+    collection.upsert(batch(spark, [("b", [1.0], "y")]), path, 2)
+    rejected = collection.upsert(batch(spark, [("a", [1.0, 2.0], "x")]), path, 1)
+    assert rejected.count() == 1 and stored(spark, path) == {"b": ("y", 2)}
+    assert not collection.is_empty(spark, path)
+    collection.upsert(spark.createDataFrame([], POINT), path, 2)
+    assert collection.is_empty(spark, path)
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for folder, data in (("a", b"some words"), ("b", b"\xff")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.pdf").write_bytes(data)
+
+    def build():
+        return lambda contents: [c.decode() for c in contents]
+
+    texts = read_texts(scan_files(spark, str(tmp_path)), build)
+    found = texts.select("path", "source", F.lit(True).alias("accepted"), "failed")
+    chunks = judged_chunks(texts.select("doc_id", "text", F.col("path").alias("source")))
+    report = ingest_report(found, chunks.withColumnRenamed("source", "path"), "path").collect()
+    assert {(r.path[-7:], r.source, r.status) for r in report} == {("a/x.pdf", "x.pdf", "stored"), ("b/x.pdf", "x.pdf", "error")}
+    assert [r.error[:18] for r in texts.where("failed").collect()] == ["UnicodeDecodeError"]
 
 
 def test_unused_embeddings_are_not_computed(spark):
@@ -227,3 +282,13 @@ def test_stream_equals_batch(spark, path, tmp_path):
     assert streamed.select(*columns, F.col("embedding")).exceptAll(batched.select(*columns, "embedding")).isEmpty()
     assert streamed.count() == batched.count()
     assert streamed.select("ingest_batch").distinct().count() == 3
+
+
+def test_stream_keeps_what_a_model_refuses(spark, path, tmp_path, refusing):
+    source = str(tmp_path / "incoming")
+    spark.createDataFrame(TEXTS, DOC).coalesce(1).write.parquet(source)
+    query = stream_ingest(spark, source, path, str(tmp_path / "state"), INGEST, refusing, 16)
+    query.awaitTermination()
+    assert query.exception() is None and collection.read_points(spark, path).count() == 4
+    rejected = spark.read.parquet(f"{path}/rejected").collect()
+    assert [(r.source, r.error, r.ingest_batch) for r in rejected] == [("bad.pdf", "ValueError: bad word", 1)]
