@@ -84,11 +84,24 @@ def _bm25(prefix: str, items: str) -> dict[str, tuple[str, str]]:
     }
 
 
-def _splice(k: int, n_semantic: int) -> str:
+def _splice(k: int, n_semantic: int, semantic: str = "semantic", ranks: str = "chunk_rank") -> str:
     place = min(k, n_semantic)
     return f"""SELECT query_id, id, (CASE WHEN rank <= {place} THEN rank - 1 ELSE rank - 1 + {k} END)::INTEGER AS pos
-        FROM semantic WHERE rank <= {n_semantic}
-        UNION ALL SELECT query_id, id, ({place} + rank - 1)::INTEGER FROM chunk_rank WHERE rank <= {k}"""
+        FROM {semantic} WHERE rank <= {n_semantic}
+        UNION ALL SELECT query_id, id, ({place} + rank - 1)::INTEGER FROM {ranks} WHERE rank <= {k}"""
+
+
+def _near(vectors: str, lengths: str) -> str:
+    return f"""SELECT query_id, id, round(d / (q.l * c.l), 6) AS score
+        FROM (SELECT q.query_id, c.id, sum(q.v * c.v) AS d
+              FROM question_vec q JOIN {vectors} c USING (bucket) GROUP BY ALL)
+        JOIN question_len q USING (query_id) JOIN {lengths} c USING (id)"""
+
+
+def _semantic(near: str, chunks: str) -> str:
+    return f"""SELECT query_id, id, coalesce(score, 0) AS score,
+            row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, id)::INTEGER AS rank
+        FROM question CROSS JOIN (SELECT id FROM {chunks}) LEFT JOIN {near} USING (query_id, id)"""
 
 
 PARTS: dict[str, tuple[str, str]] = {
@@ -123,19 +136,19 @@ PARTS: dict[str, tuple[str, str]] = {
     **_embedding("item", "item", "id", "text"),
     **_bm25("item", "item"),
     **_bm25("chunk", "chunk"),
-    "near": (
-        "chunk_vec chunk_len question_vec question_len",
-        """SELECT query_id, id, round(d / (q.l * c.l), 6) AS score
-        FROM (SELECT q.query_id, c.id, sum(q.v * c.v) AS d
-              FROM question_vec q JOIN chunk_vec c USING (bucket) GROUP BY ALL)
-        JOIN question_len q USING (query_id) JOIN chunk_len c USING (id)""",
-    ),
-    "semantic": (
-        "near question chunk",
-        """SELECT query_id, id, coalesce(score, 0) AS score,
-            row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, id)::INTEGER AS rank
-        FROM question CROSS JOIN (SELECT id FROM chunk) LEFT JOIN near USING (query_id, id)""",
+    "near": ("chunk_vec chunk_len question_vec question_len", _near("chunk_vec", "chunk_len")),
+    "semantic": ("near question chunk", _semantic("near", "chunk")),
+    "short": (
+        "",
+        """SELECT sha256(source || '|' || doc_id || '|' || off // 650 || '|' || substring(text, off + 1, 700)) AS id,
+            source, substring(text, off + 1, 700) AS text
+        FROM (SELECT doc_id, source, text, unnest(range(0, length(text), 650)) AS off FROM documents)""",
     ),
+    **_embedding("short", "short", "id", "text"),
+    **_bm25("short", "short"),
+    "short_near": ("short_vec short_len question_vec question_len", _near("short_vec", "short_len")),
+    "short_semantic": ("short_near question short", _semantic("short_near", "short")),
+    "short_spliced": ("short_semantic short_rank", _splice(5, 30, "short_semantic", "short_rank")),
     "spliced3": ("semantic chunk_rank", _splice(3, 5)),
     "spliced1": ("semantic chunk_rank", _splice(1, 5)),
     "hit": ("spliced1 chunk", "SELECT query_id, pos, id, text, source FROM spliced1 JOIN chunk USING (id)"),
@@ -243,6 +256,65 @@ def _label(p: str, threshold: float) -> str:
     )
 
 
+def _counts(source: str, key: str) -> str:
+    return f"""SELECT {key}, term, count(*) AS tf
+        FROM (SELECT {key}, unnest(string_split({_BASIC}, ' ')) AS term FROM {source}) GROUP BY ALL"""
+
+
+def _tagged(counts: str, key: str) -> str:
+    """Naive Bayes from the documents with labels: a word counts one more than it occurs."""
+    return f"""SELECT {key}, CASE WHEN greatest(p, 1 - p) < 0.9::DOUBLE THEN 'other'
+              WHEN 1 - p >= p THEN 'low' ELSE 'high' END AS tag
+        FROM (SELECT {key}, 1 / (1 + exp((SELECT max(prior) FILTER (quality = 0) - max(prior) FILTER (quality = 1) FROM nb_prior)
+                + coalesce(sum(tf * (w0 - w1)), 0))) AS p
+              FROM {counts} LEFT JOIN nb_word USING (term) GROUP BY {key})"""
+
+
+PARTS |= {
+    "nb_count": (
+        "",
+        f"""SELECT quality, term, count(*) AS tf
+        FROM (SELECT quality, unnest(string_split({_BASIC}, ' ')) AS term
+              FROM documents JOIN labels USING (doc_id)) GROUP BY ALL""",
+    ),
+    "nb_prior": (
+        "",
+        """SELECT quality, ln(count(*)::DOUBLE + 1) AS prior FROM documents JOIN labels USING (doc_id) GROUP BY quality""",
+    ),
+    "nb_word": (
+        "nb_count",
+        """SELECT term,
+            ln(coalesce(sum(tf) FILTER (quality = 0), 0)::DOUBLE + 1)
+              - ln((SELECT sum(tf) FROM nb_count WHERE quality = 0)::DOUBLE + (SELECT count(DISTINCT term) FROM nb_count)) AS w0,
+            ln(coalesce(sum(tf) FILTER (quality = 1), 0)::DOUBLE + 1)
+              - ln((SELECT sum(tf) FROM nb_count WHERE quality = 1)::DOUBLE + (SELECT count(DISTINCT term) FROM nb_count)) AS w1
+        FROM nb_count GROUP BY term""",
+    ),
+    "item_words": ("", _counts("documents", "doc_id")),
+    "item_tag": ("item_words nb_prior nb_word", _tagged("item_words", "doc_id")),
+    "short_hit": (
+        "short_spliced short",
+        "SELECT query_id, pos, id, text, source FROM short_spliced JOIN short USING (id)",
+    ),
+    "short_words": ("short_hit", _counts("(SELECT DISTINCT id, text FROM short_hit)", "id")),
+    "short_tag": ("short_words nb_prior nb_word", _tagged("short_words", "id")),
+    "served": (
+        "short_hit short_tag",
+        """SELECT * FROM (SELECT query_id, id, text, source,
+              row_number() OVER (PARTITION BY query_id ORDER BY tag, pos) AS rank
+            FROM short_hit JOIN short_tag USING (id)) WHERE rank <= 10""",
+    ),
+    "served_prompt": (
+        "served question",
+        """SELECT query_id, query, string_agg(id, ',' ORDER BY rank) AS document_ids,
+            array_to_string(list_sort(list(DISTINCT source)), ',') AS sources,
+            'Context:' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10)
+              || 'User Query:' || chr(10) || query AS prompt
+        FROM question JOIN served USING (query_id) GROUP BY query_id, query""",
+    ),
+}
+KEPT |= {"short", "short_vec", "short_post", "short_match", "short_hit", "short_semantic", "nb_count", "nb_word"}
+
 _TOKENS_OUT = "len({0})::INTEGER AS n_tokens, md5(array_to_string({0}, ' ')) AS tokens_md5"
 
 
@@ -353,6 +425,12 @@ ORACLE_SQL: dict[str, str] = {
         f"""SELECT query_id, md5(query) AS question_md5, sources, document_ids,
             md5({_STRIPPED.replace('text', 'prompt', 1)}) AS answer_md5 FROM prompt""",
     ),
+    "answer_service": _query(
+        "served_prompt",
+        f"""SELECT query_id, md5(query) AS question_md5, sources, document_ids,
+            md5({_STRIPPED.replace('text', 'prompt', 1)}) AS answer_md5 FROM served_prompt""",
+    ),
+    "classify_docs": _query("item_tag", "SELECT doc_id, tag AS predicted_tag FROM item_tag"),
     "token_count": f"SELECT doc_id, {N_TOKENS.format('text')}::INTEGER AS n_tokens FROM documents",
     "token_trim": f"SELECT doc_id, md5({_trim('100')}) AS text_md5 FROM documents",
     "context_budget": _query(

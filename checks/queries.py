@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.config import ASK, INGEST, RetrievalConfig
+from passages.config import ASK, INGEST, SERVICE, RetrievalConfig
 from passages.functions import classify as labels
 from passages.functions import text as tx
 from passages.operators import chunk, context, embed, fuse, lexical, rerank, vector
@@ -340,14 +340,19 @@ def softmax_classify(spark, sf):
     )
 
 
-def classify_docs(spark, sf):
-    docs = documents(spark, sf)
-    known = docs.join(table(spark, sf, "labels"), "doc_id").select(
+CLASSES = ["low", "high"]
+
+
+def _classifier(spark, sf):
+    known = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id").select(
         "text", F.col("quality").cast("double").alias("label")
     )
-    model = rerank.train_classifier(known)
-    tagged = rerank.classify(docs, model, ["low", "high"], 0.9)
-    return tagged.select("doc_id", "predicted_tag", F.round(F.array_max("probabilities"), 3).alias("p"))
+    return rerank.train_naive_bayes(known)
+
+
+def classify_docs(spark, sf):
+    tagged = rerank.classify(documents(spark, sf), _classifier(spark, sf), CLASSES, 0.9)
+    return tagged.select("doc_id", "predicted_tag")
 
 
 def _reranked(spark, sf, top=None):
@@ -416,6 +421,23 @@ def answer_records(spark, sf):
     )
 
 
+def answer_service(spark, sf):
+    """The service path: 30 vector and 5 lexical hits, a classifier at 0.9, the first 10 of them."""
+    stored = ingest.ingest_fixed(documents(spark, sf), SERVICE)
+    index = lexical.build_lexical_index(stored)
+    asked, _ = answers.split_blank(questions(spark, sf))
+    records = answers.answer_queries(
+        asked, stored, index, SERVICE, classifier=_classifier(spark, sf), classes=CLASSES
+    )
+    return records.select(
+        "query_id",
+        F.md5("question").alias("question_md5"),
+        F.array_join("sources", ",").alias("sources"),
+        F.array_join("document_ids", ",").alias("document_ids"),
+        F.md5("answer").alias("answer_md5"),
+    )
+
+
 def token_count(spark, sf):
     return documents(spark, sf).select("doc_id", tx.token_count(F.col("text")).alias("n_tokens"))
 
@@ -513,6 +535,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         build_prompts,
         answer_strip,
         answer_records,
+        answer_service,
         token_count,
         token_trim,
         context_budget,

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml import Pipeline as MlPipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.feature import CountVectorizer, HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -47,6 +47,16 @@ def train_classifier(labelled: DataFrame, features: int = 4096) -> PipelineModel
     return MlPipeline(stages=[words, model]).fit(_with_words(labelled))
 
 
+def train_naive_bayes(labelled: DataFrame, vocabulary: int = 1 << 20) -> PipelineModel:
+    """Multinomial naive Bayes on word counts over (text, label), with one added to every count.
+
+    The `vocabulary` most frequent words count; the model is as large as they are.
+    """
+    words = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary)
+    model = NaiveBayes(featuresCol="features", labelCol="label", smoothing=1.0)
+    return MlPipeline(stages=[words, model]).fit(_with_words(labelled))
+
+
 def _with_words(df: DataFrame) -> DataFrame:
     return df.withColumn("words", F.split(preprocess(F.col("text")), " "))
 
