@@ -13,7 +13,7 @@ from passages.operators.embed import Model, embed_with, valid_embeddings
 from passages.operators.order import running_offset
 from passages.operators.vector import known_source
 from passages.session import cut_lineage
-from passages.sources import collection
+from passages.sources import collection, files
 
 BuildModel = Callable[[], Model]
 
@@ -191,3 +191,34 @@ def ingest_report(files: DataFrame, chunks: DataFrame, key: str = "source") -> D
     return found.join(counts, key, "left").select(
         *columns, n_chunks.alias("n_chunks"), n_valid.alias("n_valid"), status.alias("status")
     )
+
+
+def ingest_folder(
+    spark: SparkSession,
+    root: str,
+    path: str,
+    build_reader: BuildModel,
+    suffix: str = ".pdf",
+    config: RetrievalConfig = INGEST,
+    batch: int = 0,
+    dim: int = VECTOR_SIZE,
+    metric: str = "cosine",
+    build_model: BuildModel | None = None,
+) -> DataFrame:
+    """Folder in, collection out: scan, read, chunk, embed, store; returns the report.
+
+    (doc_id, source, n_chunks, n_valid, status), one row per file: doc_id stands for the path, so files of one name are
+    apart. Texts and vectors are made once.
+    """
+    scan = files.scan_files(spark, root, suffix)
+    texts = cut_lineage(files.read_texts(scan, build_reader))
+    chunks = cut_lineage(embedded_chunks(texts.select("doc_id", "text", "source"), config, build_model, dim))
+    collection.ensure_collection(spark, path, dim, metric)
+    collection.upsert(as_points(chunks), path, batch)
+    empty = files.empty_files(scan).select(
+        F.xxhash64("path").alias("doc_id"),
+        F.element_at(F.split("path", "/"), -1).alias("source"),
+        F.lit(False).alias("failed"),
+    )
+    found = texts.select("doc_id", "source", "failed").unionByName(empty).withColumn("accepted", F.lit(True))
+    return ingest_report(found, chunks.select("doc_id", F.col("embedding").isNotNull().alias("valid")), "doc_id")

@@ -161,3 +161,9 @@ def test_blank_questions_are_set_aside(spark):
     kept, rejected = split_blank(ask)
     assert [r.query_id for r in kept.collect()] == [1]
     assert {r.query_id for r in rejected.collect()} == {2, 3}
+
+
+def test_blank_questions_are_not_answered(spark, points):
+    ask = spark.createDataFrame([(1, "cats run"), (2, " \n"), (3, None)], "query_id long, query string")
+    records = answer_queries(ask, points, build_lexical_index(points), RetrievalConfig(use_lexical=True)).collect()
+    assert [r.question for r in records] == ["cats run"] and records[0].answer

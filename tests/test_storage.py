@@ -134,6 +134,21 @@ def test_files_to_report(spark, tmp_path):
     }
 
 
+def test_folder_to_collection(spark, path, tmp_path):
+    for name, data in (("a/x.pdf", b"some words"), ("b/x.pdf", b"\xff"), ("none.pdf", b""), ("other.txt", b"no")):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(data)
+
+    def build():
+        return lambda contents: [c.decode() for c in contents]
+
+    report = ingest.ingest_folder(spark, str(tmp_path / "in"), path, build, dim=16).collect()
+    assert sorted((r.source, r.n_chunks, r.n_valid, r.status) for r in report) == [
+        ("none.pdf", 0, 0, "no text"), ("x.pdf", 0, 0, "error"), ("x.pdf", 1, 1, "stored")
+    ]
+    assert [(r.text, r.source) for r in collection.read_points(spark, path).collect()] == [("some words", "x.pdf")]
+
+
 def test_concat_pages(spark, rng):
     rows = [(d, n, f"<{d}.{n}>") for d in range(3) for n in range(0, 900, d + 1)]
     shuffled = rng.sample(rows, len(rows))
