@@ -121,28 +121,31 @@ def known_licenses() -> list[tuple[str, str]]:
     return short + list(TEXTS.items())
 
 
-def canonical(text: Column) -> Column:
-    """The words of the text in the form that all copies of a licence share."""
-    text = F.lower(text)
+def words_of(line: Column) -> Column:
+    """The words of a line, apart by one space; of a copyright line none."""
     marked = F.lit(False)
     for mark in ("copyright", "(c)", "©", "all rights reserved"):
-        marked = marked | F.contains(text, F.lit(mark))
-    text = F.when(marked, F.regexp_replace(text, COPYRIGHT_LINE, "")).otherwise(text)
-    text = F.trim(F.regexp_replace(text, NOT_A_WORD, " "))
-    for found, meant in SPELLINGS:
-        text = F.replace(text, F.lit(found), F.lit(meant))
-    return text
+        marked = marked | F.contains(line, F.lit(mark))
+    plain = F.when(marked, F.regexp_replace(line, COPYRIGHT_LINE, "")).otherwise(line)
+    return F.trim(F.regexp_replace(plain, NOT_A_WORD, " "))
+
 
+def joined(text: Column) -> Column:
+    """The words of a text of lines."""
+    lines = F.transform(F.split(F.lower(text), "\n"), words_of)
+    return F.array_join(F.filter(lines, lambda w: w != ""), " ")
 
-def digest(text: Column) -> Column:
-    """Null for a text without words."""
-    words = canonical(text)
+
+def digest(words: Column) -> Column:
+    """Of words in the spelling that all copies share; null for none."""
+    for found, meant in SPELLINGS:
+        words = F.replace(words, F.lit(found), F.lit(meant))
     return F.when(words != "", F.sha2(words, 256))
 
 
 def license_digests(known: DataFrame) -> DataFrame:
     """One row per canonical text of known(license_id, text)."""
-    found = known.select(digest(F.col("text")).alias("digest"), "license_id").where("digest is not null")
+    found = known.select(digest(joined(F.col("text"))).alias("digest"), "license_id").where("digest is not null")
     return found.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -154,13 +157,27 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     digests = license_digests(known)
     if digests.limit(BROADCAST_LICENSES + 1).count() <= BROADCAST_LICENSES:
         digests = F.broadcast(digests)
+    # Every line is made canonical once; whole texts are their lines put together. A text without a
+    # blank line is its own only paragraph.
     text = F.col("text").cast("string")
-    # A text of one paragraph or one line is looked up as such as well.
-    kinds = (("text", F.array(text)), ("paragraph", F.split(text, BLANK_LINE)), ("line", F.split(text, "\n")))
-    out = None
-    for name, parts in kinds:
-        units = docs.select("doc_id", F.explode(parts).alias("unit"))
-        found = units.select("doc_id", F.lit(name).alias("part"), digest(F.col("unit")).alias("digest"))
-        out = found if out is None else out.unionByName(found)
-    matched = out.where("digest is not null").join(digests, "digest")
-    return matched.groupBy("doc_id", "part", "license_id").agg(F.count(F.lit(1)).alias("n"))
+    one = F.coalesce(~F.rlike(text, F.lit(BLANK_LINE)), F.lit(True))
+    lines = F.transform(F.split(F.lower(text), "\n"), words_of)
+    paragraphs = F.when(~one, F.transform(F.split(text, BLANK_LINE), joined)).otherwise(F.array().cast("array<string>"))
+    units = docs.where(text.isNotNull()).select("doc_id", lines.alias("lines"), paragraphs.alias("paragraphs"), one.alias("one"))
+    whole = F.array_join(F.filter("lines", lambda w: w != ""), " ")
+
+    def unit(words: Column, *parts: str) -> Column:
+        return F.struct(F.array(*map(F.lit, parts)).alias("parts"), words.alias("words"))
+
+    first = F.when(F.col("one"), unit(whole, "text", "paragraph")).otherwise(unit(whole, "text"))
+    every = F.concat(
+        F.array(first),
+        F.transform("paragraphs", lambda w: unit(w, "paragraph")),
+        F.transform("lines", lambda w: unit(w, "line")),
+    )
+    found = units.select("doc_id", F.explode(every).alias("u")).select(
+        "doc_id", "u.parts", digest(F.col("u.words")).alias("digest")
+    )
+    matched = found.where("digest is not null").join(digests, "digest")
+    parts = matched.select("doc_id", F.explode("parts").alias("part"), "license_id")
+    return parts.groupBy("doc_id", "part", "license_id").agg(F.count(F.lit(1)).alias("n"))
