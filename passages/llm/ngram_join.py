@@ -82,21 +82,22 @@ class Grams:
             yield first, *ta.grams(hashes, before, self.width)
 
 
-def count_sketch(docs: DataFrame, make) -> np.ndarray:
+def count_sketch(docs: DataFrame, make, bits: int = SKETCH_BITS) -> np.ndarray:
     """Per cell a level from 0 (rare) to 255: four per doubling of the count.
 
     make() gives the source of hashes, such as Grams.
     """
     narrow = docs.select(F.col("text").cast("string").alias("text"))
-    cells = 1 << SKETCH_BITS
+    cells = 1 << bits
     size = cells // SKETCH_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, total = make(), np.zeros(cells, np.int64)
+        grams, total = make(), np.zeros(cells, np.uint32)
         with np.errstate(over="ignore"):
             for batch in batches:
                 for _, found, *_ in grams.of(batch.column("text")):
-                    total += np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
+                    cell, times = np.unique(found >> np.uint64(64 - bits), return_counts=True)
+                    total[cell] += times.astype(np.uint32)
         if total.any():
             yield _parts({k: total[k * size : (k + 1) * size] for k in range(SKETCH_PARTS)})
 
@@ -111,10 +112,15 @@ def count_sketch(docs: DataFrame, make) -> np.ndarray:
 
     kind = "part int, counts binary"
     parts = narrow.mapInArrow(count, kind).repartition(SKETCH_PARTS, "part").mapInArrow(add, kind).collect()
-    total = np.zeros(cells, np.int64)
+    levels = np.zeros(cells, np.uint8)
     for part, counts in parts:
-        total[part * size : (part + 1) * size] += np.frombuffer(zlib.decompress(bytes(counts)), np.int64)
-    return np.minimum(255, np.floor(4 * np.log2(total + 1))).astype(np.uint8)
+        total = np.frombuffer(zlib.decompress(bytes(counts)), np.int64)
+        levels[part * size : (part + 1) * size] = np.minimum(255, np.floor(4 * np.log2(total + 1)))
+    return levels
+
+
+#: The level of a cell that was counted once.
+ONCE = 4
 
 
 def _parts(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -124,7 +130,7 @@ def _parts(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
 
 def in_order(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Hashes as numbers in the global order: level, then hash."""
-    level = levels[hashes >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64)
+    level = levels[hashes >> np.uint64(65 - len(levels).bit_length())].astype(np.uint64)
     return (level << np.uint64(64 - LEVEL_BITS)) | (hashes >> np.uint64(LEVEL_BITS))
 
 
@@ -335,7 +341,7 @@ def promising(rule: Rule):
             keep = np.zeros(len(n), bool)
             for begin, end in blocks:
                 _reachable(rule, n, own, paired, shape, begin, end, keep)
-            kept = table.filter(pa.array(keep)).select(["a", "leader", "via"])
+            kept = table.filter(pa.array(keep)).select(["a", "leader", "n", "via"])
             yield from kept.to_batches()
 
     return run
@@ -589,12 +595,13 @@ def similar_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     led = under_leaders(shaped, rule)
     shapes = shaped.groupBy("a").agg(F.first("n").alias("n"), F.first("profile").alias("profile"))
     tasks = deal(led.join(shapes, "a")).repartition("task").sortWithinPartitions("task", "n", "a")
-    led_again = tasks.mapInArrow(promising(rule), "a long, leader long, via array<long>")
-    kept = stored(led_again.groupBy("a", "leader").agg(F.first("via").alias("via")))
+    led_again = tasks.mapInArrow(promising(rule), "a long, leader long, n long, via array<long>")
+    kept = stored(led_again.groupBy("a", "leader").agg(F.first("n").alias("n"), F.first("via").alias("via")))
     wanted = context.broadcast(filter_bits(kept))
     found = whole_sets(docs, rule, levels, wanted).groupBy("a", "b").agg(F.first("numbers").alias("numbers"))
-    whole = found.join(classes, ["a", "b"]).join(kept, "a").withColumn("n", F.size("numbers").cast("long"))
-    dealt = deal(whole).repartition("task").sortWithinPartitions("task", "n", "a")
+    # Thin rows are dealt out; whole sets follow once.
+    whole = deal(kept).join(found.join(classes, ["a", "b"]), "a")
+    dealt = whole.repartition("task").sortWithinPartitions("task", "n", "a")
     hung = stored(dealt.mapInArrow(tree_links(rule), "node long, root long, links long"))
     roots = components(hung.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = hung.groupBy("node").agg(F.sum("links").alias("links"))
