@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passages.llm import text_arrays as ta
-from passages.llm.ngram_join import _groups
+from passages.llm.ngram_join import _groups, count_sketch
 from passages.llm.storage import stored
 
 WIDTH = 50
@@ -43,6 +43,11 @@ HALF = WIDTH // 2
 #: An anchor string with more undecided contexts is compared window by window through a shuffle.
 MANY_CONTEXTS = 20_000
 SMALL = 6  # bits for numbers below SPAN
+#: A rank is dealt to several tasks if its cell of the sketch counts more than this, and this many times the mean.
+HOT_RANK = 20_000
+HOT_SHARE = 16
+SALT_BITS = 12
+PLACE_BITS = 50
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -77,9 +82,34 @@ def anchors(hasher: ta.Hasher, data: np.ndarray, offsets: np.ndarray):
     return text[starts], first, count, anchor, ranks[anchor], context
 
 
-def positions(docs: DataFrame) -> DataFrame:
-    """(g, c, doc_id, at): rank and context of every anchor; at packs the place of its first window,
-    the distance to the anchor and the number of windows."""
+class AnchorRanks:
+    """The ranks at the anchors of texts, for the count sketch."""
+
+    def __init__(self):
+        self.hasher = ta.Hasher(3)
+
+    def of(self, column: pa.Array) -> Iterator[tuple]:
+        for row, _, data, offsets in ta.slices(column):
+            yield row, anchors(self.hasher, data, offsets)[4]
+
+
+def salts(levels: np.ndarray) -> np.ndarray:
+    """Per cell of the sketch into how many parts its ranks are dealt: 1, but for cells far above
+    HOT_RANK positions and the mean of all cells."""
+    counts = np.exp2(levels / 4.0)
+    most = max(HOT_RANK, HOT_SHARE * counts.mean())
+    return np.minimum(np.where(counts > most, np.ceil(counts / most) + 1, 1), 1 << SALT_BITS).astype(np.int64)
+
+
+def _shift(salt: np.ndarray) -> np.ndarray:
+    """What a salt changes in a rank; salt 0 changes nothing."""
+    spread = ta.mix(salt.astype(np.uint64) * np.uint64(ta.ROOT)) >> np.uint64(16)
+    return np.where(salt > 0, spread, np.uint64(0)).astype(np.int64)
+
+
+def positions(docs: DataFrame, parts) -> DataFrame:
+    """(g, c, doc_id, at): rank and context of every anchor; at packs a salt, the place of its first window,
+    the distance to the anchor and the number of windows. The rank of a salted row is shifted by its salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ta.Hasher(3)
@@ -90,7 +120,11 @@ def positions(docs: DataFrame) -> DataFrame:
                     begin = first - offsets[:-1][text]
                     at = (((begin << SMALL) | (anchor - first)) << SMALL) | count
                     ids = batch.column("doc_id").take(pa.array(row + text))
-                    g = (rank >> np.uint64(16)).astype(np.int64)
+                    dealt = parts.value[rank >> np.uint64(65 - len(parts.value).bit_length())]
+                    spread = (ta.mix(ids.to_numpy().astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+                    salt = np.where(dealt > 1, 1 + spread % dealt, 0)
+                    at |= salt << PLACE_BITS
+                    g = (rank >> np.uint64(16)).astype(np.int64) ^ _shift(salt)
                     columns = [pa.array(g), pa.array(context.view(np.int64)), ids, pa.array(at)]
                     yield pa.RecordBatch.from_arrays(columns, ["g", "c", "doc_id", "at"])
 
@@ -102,10 +136,10 @@ def _kind(docs: DataFrame) -> str:
 
 
 def first_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Positions sorted by (g, c, doc_id) to (g, number, doc_id, at).
+    """Positions sorted by (g, c, doc_id) to (g, c, number, doc_id, at).
 
     number is null where a smaller document has the same context; else it counts the contexts of g. Positions whose g has one
-    context only and whose document is the smallest with it are unique and left out. Between batches
+    context only and whose document is the smallest with it are unique and left out, unless they are salted. Between batches
     only the last row, and the rows of a first context whose g may end with it, are held.
     """
     last = None  # g, c, smallest document, number of the context
@@ -137,7 +171,8 @@ def first_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             waiting = []
         elif new_g[1:].any() or new_g[0]:
             waiting = []
-        out = decided | more[group]
+        salted = batch.column("at").to_numpy() >> PLACE_BITS > 0
+        out = decided | more[group] | salted
         if out.any():
             yield _picked(batch, out, number, decided)
         tail = (group == group[-1]) & ~out
@@ -150,10 +185,44 @@ def _picked(batch, mask, number, decided) -> pa.RecordBatch:
     part = batch.filter(pa.array(mask))
     numbers = pa.array(number[mask], pa.int64(), mask=decided[mask])
     return pa.RecordBatch.from_arrays(
-        [part.column("g"), numbers, part.column("doc_id"), part.column("at")], ["g", "number", "doc_id", "at"]
+        [part.column("g"), part.column("c"), numbers, part.column("doc_id"), part.column("at")],
+        ["g", "c", "number", "doc_id", "at"],
     )
 
 
+def unsalted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their own rank and place again."""
+    for batch in batches:
+        at = batch.column("at").to_numpy()
+        g = batch.column("g").to_numpy() ^ _shift(at >> PLACE_BITS)
+        columns = [pa.array(g), batch.column("c"), batch.column("doc_id"), pa.array(at & ((1 << PLACE_BITS) - 1))]
+        yield pa.RecordBatch.from_arrays(columns, ["g", "c", "doc_id", "at"])
+
+
+def ranked_positions(docs: DataFrame) -> DataFrame:
+    """(g, number, doc_id, at) of all positions that are not unique.
+
+    A rank that very many positions share, such as one in a passage of a third of all documents, is dealt to
+    several tasks by document. There the smallest document with a context decides the rest of the part; only these
+    smallest ones meet once more under the rank itself.
+    """
+    kind = _kind(docs)
+    levels = count_sketch(docs, AnchorRanks)
+    parts = docs.sparkSession.sparkContext.broadcast(salts(levels))
+    columns = f"g long, c long, number long, doc_id {kind}, at long"
+    ranked = positions(docs, parts).repartition("g").sortWithinPartitions("g", "c", "doc_id")
+    found = stored(ranked.mapInArrow(first_holders, columns))
+    salted = F.shiftright("at", PLACE_BITS) > 0
+    here = F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("at")
+    done = found.where(~salted | F.col("number").isNull()).select("g", "number", "doc_id", here)
+    if not (parts.value > 1).any():
+        return done
+    rest = found.where(salted & F.col("number").isNotNull()).select("g", "c", "doc_id", "at")
+    again = rest.mapInArrow(unsalted, f"g long, c long, doc_id {kind}, at long")
+    met = again.repartition("g").sortWithinPartitions("g", "c", "doc_id").mapInArrow(first_holders, columns)
+    return done.unionByName(stored(met.select("g", "number", "doc_id", "at")))
+
+
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their undecided positions to (g, doc_id, at, bytes)."""
     for batch in batches:
@@ -269,8 +338,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless left out, the kept bytes."""
     kind = _kind(docs)
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    ranked = positions(narrow.where("doc_id is not null")).repartition("g").sortWithinPartitions("g", "c", "doc_id")
-    found = stored(ranked.mapInArrow(first_holders, f"g long, number long, doc_id {kind}, at long"))
+    found = ranked_positions(narrow.where("doc_id is not null"))
     # The texts are dealt out once: both joins below read the same exchange.
     texts = narrow.repartition("doc_id")
     undecided = found.where("number is not null")

@@ -64,3 +64,10 @@ def test_kept_text(spark):
     rows = [(1, f"x {passage}y", None, None, 0), (2, f"new {passage}end", None, None, 0)]
     kept = {r.doc_id: bytes(r.kept).decode() for r in sd.remove_repeats(frame(spark, rows)).collect()}
     assert kept == {1: f"x {passage}y", 2: "newend"}
+
+
+def test_hot_ranks_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(sd, "HOT_RANK", 4)
+    monkeypatch.setattr(sd, "HOT_SHARE", 2)
+    rows = passages(3)
+    assert found(sd.remove_repeats(frame(spark, rows))) == expected(rows)
