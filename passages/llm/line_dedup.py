@@ -3,8 +3,8 @@
 A line is the set of its words (lower-cased in A to Z). Words are ordered by rarity: levels of a count sketch
 over all documents, then hash. Two sets with Jaccard similarity of `percent` or more share a word among their first
 n - ceil(t n) + 1 (prefix filter); at the first word they share, the rests of both must be long enough for the overlap (positional
-filter), and their sizes must be near each other (length filter). The parities of each set in 64 cells bound the
-difference of two sets from below, whatever their size. Sets that pass all filters with some other set meet under the first such set of their
+filter), and their sizes must be near each other (length filter). A bitmap of each set bounds the
+overlap once more. Sets that pass all filters with some other set meet under the first set of their
 run of sizes, where Jaccard is verified on whole sets.
 
 A line is removed if an earlier one (by doc_id, then place in the document) has the same set, or if its set first appears
@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +33,7 @@ from passages.llm import text_arrays as ta
 from passages.llm.storage import stored
 
 PERCENT = 80
-SKETCH_BITS = 22
+SKETCH_BITS = 24
 HOT_WORD = 20_000
 BROADCAST_WORDS = 10_000
 BLOCK_ROWS = 4_096
@@ -80,16 +79,16 @@ def line_sets(hashes: np.ndarray, line: np.ndarray, n_lines: int, levels) -> tup
 
 def line_table(docs: DataFrame, levels) -> DataFrame:
     """doc_id, line_no, n_chars, n, a, b of every line with a word; and for each distinct set that
-    a task sees its parities m, a number k and its prefix: the words w and their places pos.
+    a task sees its bitmap m0, m1 and its prefix: the words w and their places pos.
 
     Sets of which no other set can be near enough have no prefix (three words and fewer, at 80 per cent), and a
     word that was counted once in all documents is no meeting point, so it is left out of it.
     """
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    names = ["doc_id", "line_no", "n_chars", "n", "a", "b", "m", "k", "w", "pos"]
+    names = ["doc_id", "line_no", "n_chars", "n", "a", "b", "m0", "m1", "w", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, seen, rows = Lines(), set(), TaskContext.get().partitionId() << 36
+        lines, seen = Lines(), set()
         for batch in batches:
             with np.errstate(over="ignore"):
                 for first, hashes, line, text, number, chars in lines.of(batch.column("text")):
@@ -106,8 +105,7 @@ def line_table(docs: DataFrame, levels) -> DataFrame:
                     left = np.bincount(np.repeat(np.arange(len(sizes)), lengths)[shared], minlength=len(sizes))
                     ids = batch.column("doc_id").take(pa.array(first + text))
                     columns = [ids, pa.array(number), pa.array(chars), pa.array(sizes), nj._signed(a), nj._signed(b)]
-                    columns += [nj._signed(parities(sets, sizes)), pa.array(rows + np.arange(len(sizes)))]
-                    rows += len(sizes)
+                    columns += [nj._signed(m) for m in bitmaps(sets, sizes)]
                     columns += [nj._lists(words[shared], left), nj._lists(pos[shared], left)]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -117,24 +115,25 @@ def line_table(docs: DataFrame, levels) -> DataFrame:
 
 
 def postings(lines: DataFrame) -> DataFrame:
-    """(w, k, np, m): the prefix words of each set; k numbers the set, np packs its size and the place of the word."""
+    """(w, n, pos, a, m0, m1): the prefix words of each set, with the bitmap of the set."""
     place = F.explode(F.arrays_zip("w", "pos")).alias("p")
-    found = lines.where(F.size("w") > 0).select("k", "n", "m", place)
-    return found.select("p.w", "k", (F.shiftleft("n", 32) + F.col("p.pos")).alias("np"), "m")
-
+    found = lines.where(F.size("w") > 0).select("n", "a", "m0", "m1", place)
+    return found.select("p.w", F.col("n").cast("int").alias("n"), F.col("p.pos").cast("int").alias("pos"), "a", "m0", "m1")
 
-def parities(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Per set one bit for each of 64 cells: whether an odd number of its members falls there.
 
-    Where the parities of two sets differ, a member of one set only must be; so the sets differ in at least
-    as many members as bits.
-    """
-    bit = np.uint64(1) << (ta.mix(sets) & np.uint64(63))
-    mask = np.zeros(len(sizes), np.uint64)
+def bitmaps(sets: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Per set two 64-bit words: the bit of each member is set."""
+    spread = ta.mix(sets)
+    bit = np.uint64(1) << (spread & np.uint64(63))
+    high = (spread >> np.uint64(6)) & np.uint64(1) == 1
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    if len(starts):
-        mask[sizes > 0] = np.bitwise_xor.reduceat(bit, starts)
-    return mask
+    out = []
+    for side in (~high, high):
+        mask = np.zeros(len(sizes), np.uint64)
+        if len(starts):
+            mask[sizes > 0] = np.bitwise_or.reduceat(np.where(side, bit, np.uint64(0)), starts)
+        out.append(mask)
+    return out
 
 
 def dealt_postings(found: DataFrame) -> DataFrame:
@@ -148,7 +147,7 @@ def dealt_postings(found: DataFrame) -> DataFrame:
     hot = stored(counts.select("w", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("parts")))
     few = hot.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
     joined = found.join(F.broadcast(hot) if few else hot, "w", "left")
-    own = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("k"), F.col("parts"))).cast("int")
+    own = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.col("parts"))).cast("int")
     others = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
     low, high = F.least("own", "other"), F.greatest("own", "other")
     return (
@@ -160,15 +159,20 @@ def dealt_postings(found: DataFrame) -> DataFrame:
     )
 
 
+def _popcount(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).astype(np.int64)
+
+
 def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by (task, np, k) to (k, leader): sets with a partner that passes all filters."""
+    """Postings sorted by (task, n, a) to (a, leader): sets with a partner that passes all filters."""
     for table in nj._groups(batches, "task"):
-        task, packed, k, own, paired = (table.column(c).to_numpy() for c in ("task", "np", "k", "own", "paired"))
-        n, pos = packed >> 32, packed & 0xFFFFFFFF
-        m = table.column("m").to_numpy().view(np.uint64)
+        columns = {c: table.column(c).to_numpy() for c in ("task", "n", "pos", "a", "own", "paired")}
+        task, n, pos, a = columns["task"], columns["n"].astype(np.int64), columns["pos"].astype(np.int64), columns["a"]
+        m0, m1 = (table.column(c).to_numpy().view(np.uint64) for c in ("m0", "m1"))
         fresh = np.r_[True, (task[1:] != task[:-1]) | (100 * n[:-1] < PERCENT * n[1:])]
         run_of = np.cumsum(fresh) - 1
-        end = np.r_[np.flatnonzero(fresh)[1:], len(n)][run_of]
+        ends = np.r_[np.flatnonzero(fresh)[1:], len(n)]
+        end = ends[run_of]
         near = np.zeros(len(n), bool)
         i = np.flatnonzero(np.arange(len(n)) + 1 < end)
         step = 1
@@ -178,19 +182,18 @@ def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fits = PERCENT * n[j] <= 100 * n[i]
             i, j = i[fits], j[fits]
             need = RULE.needed(n[i], n[j])
-            passed = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
-            passed &= ~(paired[i] & (own[i] == own[j]))
+            passed = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= need
+            passed &= a[i] != a[j]
+            passed &= ~(columns["paired"][i] & (columns["own"][i] == columns["own"][j]))
             x, y = i[passed], j[passed]
-            close = (n[x] + n[y] - np.bitwise_count(m[x] ^ m[y])) // 2 >= need[passed]
+            differ = _popcount(m0[x] ^ m0[y]) + _popcount(m1[x] ^ m1[y])
+            close = (n[x] + n[y] - differ) // 2 >= need[passed]
             near[x[close]] = True
             near[y[close]] = True
             step += 1
             i = i[i + step < end[i]]
-        rows = np.flatnonzero(near)
-        run = run_of[rows]
-        first = np.r_[True, run[1:] != run[:-1]][: len(rows)]
-        leaders = k[rows[first]][np.cumsum(first) - 1]
-        yield pa.RecordBatch.from_arrays([pa.array(k[rows]), pa.array(leaders)], ["k", "leader"])
+        leaders = a[np.flatnonzero(fresh)][run_of]
+        yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(leaders[near])], ["a", "leader"])
 
 
 def wanted_sets(docs: DataFrame, levels, wanted) -> DataFrame:
@@ -245,17 +248,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     levels = context.broadcast(nj.count_sketch(docs, Lines, SKETCH_BITS))
     lines = stored(line_table(docs, levels))
     found = dealt_postings(postings(lines))
-    ordered = found.repartition("task").sortWithinPartitions("task", "np", "k")
-    met = ordered.mapInArrow(filtered, "k long, leader long").distinct()
-    # Copies of a set in different tasks have numbers of their own; from here on a set is its digest.
-    named = lines.where(F.size("w") > 0).select("k", "n", "a", "b")
-    # Thin rows are dealt out; whole sets follow once. A leader with one set, and be it in many copies, has none to compare.
-    dealt = stored(nj.deal(met.join(named, "k").select("a", "b", "n", "leader").distinct()))
-    wanted = context.broadcast(nj.filter_bits(dealt))
+    ordered = found.repartition("task").sortWithinPartitions("task", "n", "a")
+    kept = stored(ordered.mapInArrow(filtered, "a long, leader long").distinct())
+    wanted = context.broadcast(nj.filter_bits(kept))
     classes = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     whole = wanted_sets(docs, levels, wanted).groupBy("a", "b").agg(F.first("numbers").alias("numbers"))
-    near = dealt.join(classes, ["a", "b"]).join(whole, ["a", "b"])
-    tasks = near.repartition("task").sortWithinPartitions("task", "first", "a", "b")
+    near = whole.join(classes, ["a", "b"]).join(kept, "a").withColumn("n", F.size("numbers").cast("long"))
+    tasks = nj.deal(near).repartition("task").sortWithinPartitions("task", "first", "a", "b")
     columns = ("task", "own", "paired", "a", "b", "numbers")
     late = tasks.select(*columns).mapInArrow(verified, "a long, b long").distinct()
     judged = classes.join(late.withColumn("late", F.lit(True)), ["a", "b"], "left")
