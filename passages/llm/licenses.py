@@ -14,13 +14,40 @@ doc_ids differ; an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LICENSES = 10_000
 
 # Patterns and spellings of the canonical form.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Words after "copyright" in the body of a licence; any other word names a holder.
+BODY_WORDS = (
+    "act and are as assignment attribution claim claims disclaimer disclaimers for holder holders in information"
+    " infringement interest interests is law laws licence licences license licenses line lines may notice notices of"
+    " on or owner owners ownership permission permissions protection right rights shall statement statements status"
+    " subsists terms that to treaty under which will"
+).split()
+
+
+def _other_word(words: list[str], inside: bool = False) -> str:
+    """A pattern of every word but these, without look-ahead (which the SQL engine lacks)."""
+    heads = sorted({w[0] for w in words if w})
+    ways = [h + _other_word([w[1:] for w in words if w[:1] == h], True) for h in heads]
+    ways.append(rf"(?:[^\P{{L}}{''.join(heads)}]|\p{{N}})[\p{{L}}\p{{N}}]*")
+    return f"(?:{'|'.join(ways)}){'?' if inside and '' not in words else ''}"
+
+
+#: A notice: a sign, or "copyright" with a sign, a year, a blank to fill in or a holder.
+#: Lines of a body that a wrap has put "copyright" or an item "(c)" at the head of are none.
+COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:©[^\n]*|\(c\)[^\p{L}\p{N}\n]*(?:\p{N}{4}|[<\[{])[^\n]*"
+    r"|(?:\(c\)[^\p{L}\p{N}\n]*)?copyright(?:[ \t]*(?:\(c\)|©|[:<\[{])[^\n]*|[^\p{L}\p{N}\n]*\p{N}{4}[^\n]*"
+    rf"|[ \t]+(?:by[ \t][^\n]*|{_other_word(BODY_WORDS)}(?:[^\p{{L}}\p{{N}}\n][^\n]*)?))"
+    r"|all rights reserved[^\p{L}\n]*)$"
+)
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
 BLANK_LINE = r"\n[ \t\r\x0B\f]*\n"
 SPELLINGS = (
@@ -70,7 +97,10 @@ PHRASES = (
     "This work is licensed under a {0}",
     "This project is licensed under the {0}",
 )
-# Whole texts, and notices that stand at the head of files.
+#: Paragraphs of fewer words are headings.
+LEAST_PARAGRAPH = 8
+END_OF_TERMS = re.compile(r"END OF TERMS AND CONDITIONS.*", re.S)
+# Short whole texts, and notices that stand at the head of files. Longer whole texts lie in license_texts.
 TEXTS = {
     "MIT": """MIT License
 
@@ -96,6 +126,45 @@ IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR
 INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
 ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
 THIS SOFTWARE.""",
+    "BSD-2-Clause": """BSD 2-Clause License
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """BSD 3-Clause License
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
@@ -115,10 +184,30 @@ MPL was not distributed with this file, You can obtain one at http://mozilla.org
 }
 
 
+def whole_texts() -> dict[str, str]:
+    """The files of license_texts, by license_id."""
+    files = resources.files("passages.llm").joinpath("license_texts").iterdir()
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(files, key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
 def known_licenses() -> list[tuple[str, str]]:
-    """(license_id, text) of the built-in table: every phrase with every name, and the texts."""
+    """(license_id, text) of the built-in table: every phrase with every name, the texts with and
+    without title and appendix, and those of their paragraphs that no other licence has."""
     short = [(k, phrase.format(name)) for k, names in NAMES.items() for name in names for phrase in PHRASES]
-    return short + list(TEXTS.items())
+    texts = [*TEXTS.items(), *whole_texts().items()]
+    forms, holders = [], {}
+    for license_id, text in texts:
+        for form in dict.fromkeys((text, END_OF_TERMS.sub("", text), END_OF_TERMS.sub("END OF TERMS AND CONDITIONS", text))):
+            title, _, rest = form.strip().partition("\n\n")
+            forms.append((license_id, form))
+            if rest and len(title.split()) < LEAST_PARAGRAPH + 4:
+                forms.append((license_id, rest))
+        for paragraph in re.split(BLANK_LINE, text):
+            words = " ".join(re.findall(r"\w+", paragraph.lower()))
+            if len(words.split()) >= LEAST_PARAGRAPH:
+                holders.setdefault(words, {})[license_id] = paragraph
+    alone = [pair for of in holders.values() if len(of) == 1 for pair in of.items()]
+    return list(dict.fromkeys(short + forms + alone))
 
 
 def words_of(line: Column) -> Column:

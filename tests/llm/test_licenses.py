@@ -1,3 +1,5 @@
+import textwrap
+
 from pyspark.sql import functions as F
 
 from passages.llm import licenses as li
@@ -37,3 +39,32 @@ def test_large_tables_of_licences_are_joined_by_a_shuffle(spark, monkeypatch):
     want = found(li.scan(docs))
     monkeypatch.setattr(li, "BROADCAST_LICENSES", 1)
     assert found(li.scan(docs)) == want == [(2, "line", "MIT", 1)]
+
+
+def test_texts_at_every_width(spark):
+    """A wrap puts COPYRIGHT HOLDERS at the head of a line, or not; both are one licence."""
+    rows, want = [], []
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):
+        for width in (30, 45, 60, 72, 78, 79, 100, 119, 100_000):
+            paragraphs = [textwrap.fill(" ".join(p.split()), width) for p in li.TEXTS[name].split("\n\n")]
+            for text in (paragraphs, paragraphs[1:]):
+                rows.append((len(rows), "Copyright (c) 2020 Some Body. All rights reserved.\n\n" + "\n\n".join(text), None, None, 0))
+                want.append((len(rows) - 1, "text", name, 1))
+    assert [g for g in found(li.scan(frame(spark, rows))) if g[1] == "text"] == want
+
+
+def test_whole_texts_and_single_paragraphs(spark):
+    rows = [(k, text, None, None, 0) for k, text in enumerate(li.whole_texts().values())]
+    got = found(li.scan(frame(spark, rows)))
+    assert [g[:3] for g in got if g[1] == "text"] == [(k, "text", name) for k, name in enumerate(li.whole_texts())]
+    one = "int main;\n\n" + li.TEXTS["MIT"].split("\n\n")[3].replace("\n", " ") + "\n\nreturn"
+    assert (1, "paragraph", "MIT", 1) in found(li.scan(frame(spark, [(1, one, None, None, 0)])))
+
+
+def test_notices_and_lines_of_the_body(spark):
+    notices = ["copyright (c) x", "(c) 2020 x", "© x", "# copyright: x", "copyright 1999, x", "copyright [yyyy] [name]",
+               "copyright some body", "copyright the x authors", "copyright by x", "all rights reserved."]
+    body = ["copyright holders be liable", "copyright notice, this", "copyright owner or", "(c) you must retain", "copyright", "copyright law"]
+    lines = spark.createDataFrame([(x,) for x in notices + body], "line string")
+    got = {r.line for r in lines.where(li.words_of(F.col("line")) != "").collect()}
+    assert got == set(body)
