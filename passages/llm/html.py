@@ -2,10 +2,14 @@
 
 A page is read into a tree. Every text block (the text between two block-level tags) passes points
 for its length and its commas to its element, and half of them to that element's parent, discounted by its
-share of link text. The container with the most points is the article; of its siblings those are kept
-that score well themselves or are plain paragraphs with few links. Elements that never belong to an article
-(menus, footers, forms, adverts, comments, scripts) are left out before the scores are made, by
-tag and by the words in their class, id and role.
+share of link text. The container with the most points is the article; its siblings are kept, whatever their length, unless they
+are mostly links. Elements that never belong to an article (menus, footers, forms, adverts, comments, scripts)
+are left out before the scores are made, by tag and by the words in their class, id and role.
+
+Classes and ids also stand at whole layouts and articles. So a mark by them does not count in compounds with
+no-, has- and with-, nor at an element that holds the article or main element of the page, nor at one
+that holds more than half of the paragraph points (of its article, if there is one; at comments only if no
+other paragraph is left).
 
 Cases: a null, empty or text-less page gives an empty text; unclosed and stray tags are repaired as
 browsers do for p, li, table parts and block elements; text without any tag is one block; the tree is walked without recursion, so depth has
@@ -57,6 +61,9 @@ SIDE_WORDS = re.compile(
     r"|page-header|skip-link|hidden)(?:$|[\s_-])",
     re.I,
 )
+COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|reply|replies|respond)(?:$|[\s_-])", re.I)
+#: Compounds that speak of furniture elsewhere.
+NOT_ITSELF = re.compile(r"(?<!\S)(?:(?:no|non|has|have|with|without)[_-]\S*|comments?[_-](?:open|closed|enabled|disabled|on|off))(?!\S)", re.I)
 ARTICLE_TAGS = frozenset(["article", "main"])
 PARAGRAPHS = frozenset("p td pre blockquote li dd h1 h2 h3 h4 h5 h6".split())
 
@@ -71,6 +78,8 @@ class Element:
     tag: str
     parent: Element | None
     side: bool = False
+    words: str = ""
+    mark: Element | None = None
     score: float = 0.0
     chars: int = 0
     link_chars: int = 0
@@ -84,6 +93,10 @@ class Block:
     text: str
     link_chars: int
 
+    @property
+    def points(self) -> float:
+        return (1 + self.text.count(",") + len(self.text) / 100) * (1 - min(1.0, self.link_chars / len(self.text)))
+
 
 def _is_side(tag: str, markup: str) -> bool:
     if tag in NEVER:
@@ -98,20 +111,24 @@ def _is_side(tag: str, markup: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and SIDE_WORDS.search(value):
-            return True
     return False
 
 
+def _side_words(markup: str) -> str:
+    """Classes and ids that speak of furniture."""
+    values = (NOT_ITSELF.sub(" ", v.strip("\"'")) for name, v in ATTRIBUTE.findall(markup) if name.lower() in ("class", "id"))
+    return " ".join(v for v in values if SIDE_WORDS.search(v))
+
+
 class Tree:
     """Elements and text blocks of a page, in page order."""
 
     def __init__(self, page: str):
         self.root = Element("#root", None)
-        self.blocks: list[Block] = []
+        self.elements = [self.root]
+        self.pieces: list[tuple[Element, list[tuple[Element, str, bool]]]] = []
         self.here = self.root
-        self.pending: list[str] = []
-        self.pending_links = 0
+        self.pending: list[tuple[Element, str, bool]] = []
         self.links = 0
         at = 0
         while at < len(page):
@@ -132,17 +149,22 @@ class Tree:
 
     def _text(self, text: str) -> None:
         if text and not self.here.side:
-            self.pending.append(text)
-            if self.links:
-                self.pending_links += len(text.strip())
+            self.pending.append((self.here, text, self.links > 0))
 
     def _end_block(self) -> None:
         if self.pending:
-            text = WHITE.sub(" ", entities.unescape("".join(self.pending))).strip()
-            if text:
-                self.blocks.append(Block(self.here, text, self.pending_links))
+            self.pieces.append((self.here, self.pending))
             self.pending = []
-            self.pending_links = 0
+
+    def text_blocks(self) -> list[Block]:
+        """The text blocks outside of elements that are left out."""
+        out = []
+        for element, pieces in self.pieces:
+            pieces = [p for p in pieces if not p[0].side]
+            text = WHITE.sub(" ", entities.unescape("".join(p[1] for p in pieces))).strip()
+            if text:
+                out.append(Block(element, text, sum(len(p[1].strip()) for p in pieces if p[2])))
+        return out
 
     def _open(self, tag: str, markup: str, page: str, at: int) -> int:
         if tag in BLOCK:
@@ -154,6 +176,10 @@ class Tree:
         if tag in VOID or markup.endswith("/>") and tag not in BLOCK and tag not in RAW:
             return at
         element = Element(tag, self.here, self.here.side or _is_side(tag, markup))
+        if not element.side and tag not in ("html", "body"):
+            element.words = _side_words(markup)
+        element.mark = element if element.words and tag not in ARTICLE_TAGS else self.here.mark
+        self.elements.append(element)
         if element.side and not self.here.side:
             # What stands before and after an element that is left out is not one text.
             if tag in BLOCK:
@@ -203,24 +229,82 @@ def _container(element: Element) -> Element:
     return element
 
 
+def _marks(mark: Element | None) -> Iterator[Element]:
+    """The elements with a mark around one, from inside out."""
+    while mark is not None:
+        yield mark
+        mark = mark.parent.mark
+
+
+def _settle_marks(tree: Tree) -> None:
+    """Takes the mark from elements that hold the article, and leaves out those that keep it."""
+    blocks = []
+    for element, pieces in tree.pieces:
+        text = WHITE.sub(" ", entities.unescape("".join(p[1] for p in pieces))).strip()
+        if text:
+            whole = sum(len(p[1]) for p in pieces)
+            points = Block(element, text, sum(len(p[1].strip()) for p in pieces if p[2])).points
+            paragraph = _container(element).tag in PARAGRAPHS
+            blocks.extend((p[0], points * len(p[1]) / whole, paragraph) for p in pieces if p[1].strip())
+    # An article around each text: that of comments or related texts does not count.
+    inner: dict[int, Element | None] = {}
+    for e in tree.elements:
+        above = inner[id(e.parent)] if e.parent is not None else None
+        inner[id(e)] = e if e.tag in ARTICLE_TAGS and not e.words and above is None else above
+    free: set[int] = set()
+    kept = lambda mark: [m for m in _marks(mark) if id(m) not in free]
+    articles = {id(a): a for e, _, _ in blocks if (a := inner[id(e)]) is not None}
+    if articles and all(kept(a.mark) for a in articles.values()):
+        for a in articles.values():
+            free.update(id(m) for m in _marks(a.mark))
+    # Points of every element with a mark, and of its scope: its article, or the page where there is none.
+    points: dict[int, float] = {}
+    scopes: dict[int, float] = {}
+    comments: dict[int, float] = {}
+    plain: dict[int, float] = {}
+    marked: dict[int, Element] = {}
+    for e, of_piece, paragraph in blocks:
+        scope = id(inner[id(e)]) if inner[id(e)] is not None else 0
+        scopes[scope] = scopes.get(scope, 0.0) + of_piece
+        around = kept(e.mark)
+        if not around and paragraph:
+            plain[scope] = plain.get(scope, 0.0) + of_piece
+        for m in around:
+            points[id(m)] = points.get(id(m), 0.0) + of_piece
+            marked[id(m)] = m
+    for key, m in marked.items():
+        article = inner[key]
+        if article is None and articles:
+            continue
+        scope = id(article) if article is not None else 0
+        if 2 * points[key] > scopes.get(scope, 0.0) and not (COMMENT_WORDS.search(m.words) and plain.get(scope)):
+            free.add(key)
+    for e in tree.elements:
+        own = e.mark is e and id(e) not in free
+        e.side = e.side or own or e.parent is not None and e.parent.side
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = Tree(page)
-    if not tree.blocks:
+    if any(e.mark is e for e in tree.elements):
+        _settle_marks(tree)
+    blocks = tree.text_blocks()
+    if not blocks:
         return ""
     scored: dict[int, Element] = {}
-    for number, block in enumerate(tree.blocks):
+    for number, block in enumerate(blocks):
         own = _container(block.element)
         own.blocks.append(number)
-        points = (1 + block.text.count(",") + len(block.text) / 100) * (1 - min(1.0, block.link_chars / len(block.text)))
+        points = block.points
         holder = own.parent if own.tag in PARAGRAPHS and own.parent is not None else own
         holder.score += points
         scored[id(holder)] = holder
         if holder.parent is not None:
             holder.parent.score += points / 2
             scored[id(holder.parent)] = holder.parent
-    _gather(tree)
+    _gather(blocks)
     density = lambda e: e.link_chars / e.chars if e.chars else 0.0
     # Page order decides between equal scores; the root stands for a page without any container.
     best = max(scored.values(), key=lambda e: e.score * (1 - min(1.0, density(e))))
@@ -229,15 +313,20 @@ def main_text(page: str | None) -> str:
         if up.tag in ARTICLE_TAGS:
             best = up
         up = up.parent
+    # An element with all text of the one around it stands for that one.
+    while best.tag not in ARTICLE_TAGS and best.parent is not None and best.parent.chars == best.chars:
+        best = best.parent
     kept = {id(best)}
     least = max(2.0, best.score / 5)
     if best.parent is not None and best.tag not in ARTICLE_TAGS:
         for sibling in best.parent.children:
-            plain = sibling.tag in PARAGRAPHS and sibling.chars > 0 and density(sibling) < 0.25
+            # The header of the page is furniture; one inside a container is the head of its text.
+            of_page = sibling.tag == "header" and sibling.parent.tag in ("body", "html", "#root")
+            plain = sibling.chars > 0 and density(sibling) < 0.25 and not of_page
             if sibling is not best and not sibling.side and (sibling.score * (1 - density(sibling)) >= least or plain):
                 kept.add(id(sibling))
     out = []
-    for block in tree.blocks:
+    for block in blocks:
         up = block.element
         while up is not None and id(up) not in kept:
             up = up.parent
@@ -246,9 +335,9 @@ def main_text(page: str | None) -> str:
     return "\n".join(out)
 
 
-def _gather(tree: Tree) -> None:
+def _gather(blocks: list[Block]) -> None:
     """Characters and link characters of every element with all inside it."""
-    for block in tree.blocks:
+    for block in blocks:
         up = block.element
         while up is not None:
             up.chars += len(block.text)

@@ -34,6 +34,27 @@ def test_broken_markup():
     assert len(main_text("<p>" + "word " * 200_000 + "</p>")) == 999_999
 
 
+def test_articles_under_classes_of_furniture():
+    for start in ('class="content has-sidebar"', 'class="layout no-sidebar"', 'class="post related"', 'id="social-science"', 'class="entry comments-open"'):
+        for tag in ("section", "article", "main", "p"):
+            page = f'<body><div {start}><{tag}>{LONG}</{tag}></div><div class="related">Another, page</div><footer>F</footer></body>'
+            assert main_text(page) == LONG.strip(), page
+    assert main_text(f'<div class="sidebar-left wrap"><main><p>{LONG}</p></main><div class="sidebar">S, s</div></div>') == LONG.strip()
+    # What keeps its mark: comments longer than the article, and articles among them.
+    notes = f'<div id="comments"><p>{LONG * 3}</p><article class="comment"><p>{LONG}</p></article></div>'
+    for tag in ("article", "main", "div"):
+        assert main_text(f"<{tag}><p>{LONG}</p></{tag}>{notes}") == LONG.strip()
+    assert main_text(f'<main><p>{LONG}</p>{notes}</main>') == LONG.strip()
+    assert main_text(f'<p>{LONG}<span class="share">Share</span> on</p>') == " ".join(f"{LONG} on".split())
+
+
+def test_short_sections_of_pages_without_article():
+    page = f"""<body><div><section><p>{LONG}</p></section><section><p>Short ending.</p></section>
+    <section><a href="/">Links, only</a></section><section class="share">Share</section></div></body>"""
+    assert main_text(page).split("\n") == [LONG.strip(), "Short ending."]
+    assert main_text(f"<div><section><div>{LONG}</div></section><section>End.</section></div>").split("\n") == [LONG.strip(), "End."]
+
+
 def test_whole_table(spark):
     """The pages of the tables have one article each, which a pattern can cut out."""
     import html
