@@ -5,7 +5,8 @@ equally many words. The mix has as many block seats as the corpus has blocks. Se
 sources one after the other, each to the highest quotient target / (2 * seats + 1). Shards take consecutive runs of
 that row of seats, so each shard has its whole-number quota per source and, as the method never
 takes a seat back when the house grows, each shard is a mix of its own. A source's seats fall on its
-blocks in a seeded order, over and over if it has more seats than blocks.
+blocks in a seeded order, over and over if it has more seats than blocks: the block of rank r has the seats r,
+r + blocks, r + 2 * blocks and so on, and each of these copies lies in the shard whose run holds the seat.
 
 Targets: the words of all documents, shared out by weight; no source gets more than LIMIT times its
 own words, and what it cannot take goes to the others by weight.
@@ -186,12 +187,22 @@ def rank(block: Column) -> Column:
     return F.pmod(block * step + F.lit(SEED), blocks)
 
 
+def _seats_before(end: Column, first: Column) -> Column:
+    """How many of a block's seats, the first of which is its rank, are smaller than `end`."""
+    return F.when(end <= first, F.lit(0)).otherwise(
+        F.floor((end - first - 1) / F.greatest(F.col("blocks"), F.lit(1))) + 1
+    ).cast("long")
+
+
 def times(block: Column) -> Column:
     """How many seats fall on the block."""
-    left = F.col("seats") - rank(block)
-    return F.when(left <= 0, F.lit(0)).otherwise(
-        F.floor((left - 1) / F.greatest(F.col("blocks"), F.lit(1))) + 1
-    ).cast("long")
+    return _seats_before(F.col("seats"), rank(block))
+
+
+def shard_of(seat: Column) -> Column:
+    """The shard whose run of `starts` holds the seat."""
+    ends = F.slice("starts", F.lit(2), F.size("starts") - 1)
+    return F.size(F.filter(ends, lambda end: end <= seat))
 
 
 def spans(placed: DataFrame) -> DataFrame:
@@ -210,26 +221,50 @@ def spans(placed: DataFrame) -> DataFrame:
     return placed.withColumn("spans", F.when(F.col("size") > 0, F.transform(blocks, one)).otherwise(empty))
 
 
+def shard_words() -> Column:
+    """Words of the document in each shard (repeats counted), from `spans` and `starts`."""
+    def in_shard(start: Column, end: Column) -> Column:
+        seats_of = lambda s: _seats_before(end, s["seat"]) - _seats_before(start, s["seat"])
+        return F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["n_words"] * seats_of(s))
+
+    ends = F.slice("starts", F.lit(2), F.size("starts") - 1)
+    return F.transform(ends, lambda end, k: in_shard(F.get("starts", k), end))
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words in the mix, repeats counted) and source."""
+    """doc_id, size, source_size, target, taken (words in the mix, repeats counted), source and
+    shard_words (the words taken by shard)."""
     sized = stored(word_counts(docs, "doc_id", "source"))
     taken = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["n_words"] * s["times"])
     placed = spans(place_documents(sized, plan_mix(sized)))
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
-
+    return placed.select(
+        "doc_id", "size", "source_size", "target", taken.alias("taken"), "source", shard_words().alias("shard_words")
+    )
 
-def mix_documents(docs: DataFrame) -> DataFrame:
-    """Whole documents, each as often as the block with its first word is taken.
 
-    Texts move once, to their bucket of the source.
-    """
+def _copies(docs: DataFrame) -> DataFrame:
+    """row, seat and shard of every copy. Texts move once, to their bucket of the source."""
     plan = plan_mix(stored(word_counts(docs, "doc_id", "source")))
     nested = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
     placed = place_documents(word_counts(nested, "row", "doc_id", "source"), plan)
-    copies = F.when(F.col("size") > 0, times(F.expr("begin div block"))).otherwise(0)
+    first = F.expr("begin div block")
+    copies = F.when(F.col("size") > 0, times(first)).otherwise(0)
     return (
-        placed.select("row", copies.cast("int").alias("copies"))
+        placed.withColumn("copies", copies.cast("int"))
         .where("copies > 0")
-        .select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select("row.*")
+        .withColumn("round", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        .withColumn("seat", rank(first) + F.col("round") * F.col("blocks"))
+        .select("row", "seat", shard_of(F.col("seat")).alias("shard"))
     )
+
+
+def mix_documents(docs: DataFrame) -> DataFrame:
+    """Whole documents, each as often as the block with its first word is taken."""
+    return _copies(docs).select("row.*")
+
+
+def mix_shards(docs: DataFrame) -> DataFrame:
+    """mix_documents with the seat of every copy and the shard of the mix that holds it (columns of
+    these names are replaced)."""
+    columns = [c for c in docs.columns if c not in ("seat", "shard")]
+    return _copies(docs).select(*(F.col("row").getField(c).alias(c) for c in columns), "seat", "shard")

@@ -76,3 +76,26 @@ def test_shard_quotas_add_up():
     for _, _, _, _, blocks, seats, starts in found:
         assert len(starts) == mx.SHARDS + 1 and starts[0] == 0 and starts[-1] == seats <= 3 * blocks
         assert all(x <= y for x, y in zip(starts, starts[1:]))
+
+
+def test_every_shard_has_its_quota_of_every_source(spark):
+    docs = frame(spark, documents(200, seed=3))
+    rows = mx.mix_report(docs).collect()
+    assert all(len(r.shard_words) == mx.SHARDS and sum(r.shard_words) == r.taken for r in rows)
+    totals = {}
+    for r in rows:
+        totals[r.source] = totals.get(r.source, 0) + r["size"]
+    quotas = {q[0]: q for q in mx.quotas(list(totals.items()))}
+    for source, (_, size, _, block, blocks, seats, starts) in quotas.items():
+        words = [sum(r.shard_words[k] for r in rows if r.source == source) for k in range(mx.SHARDS)]
+        quota = [y - x for x, y in zip(starts, starts[1:])]
+        # Every seat is a block of equally many words, but for the last block of the source.
+        missing = blocks * block - size
+        short = [q * block - w for q, w in zip(quota, words)]
+        assert all(0 <= s <= mx.LIMIT * missing and s % max(1, missing) == 0 for s in short) and sum(quota) == seats
+    copies = mx.mix_shards(docs).collect()
+    assert sorted(r.doc_id for r in copies) == sorted(r.doc_id for r in mx.mix_documents(docs).collect())
+    for r in copies:
+        starts = quotas[r.source][6]
+        assert starts[r.shard] <= r.seat < starts[r.shard + 1]
+    assert len({r.shard for r in copies}) == mx.SHARDS
