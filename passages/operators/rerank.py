@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml import PipelineModel
 from pyspark.ml import Pipeline as MlPipeline
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import CountVectorizer, HashingTF
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passages.config import OTHER_LABEL
-from passages.functions.classify import threshold_label
+from passages.functions.classify import softmax, threshold_label
 from passages.functions.text import preprocess
 
+#: Weights are added as decimals, so that their order does not show.
+WEIGHT = "decimal(18,12)"
+#: Words of a model that travel whole; more meet the words of the texts in a salted join.
+BROADCAST_WORDS = 100_000
+
 
 def rerank(
     hits: DataFrame,
@@ -47,14 +55,63 @@ def train_classifier(labelled: DataFrame, features: int = 4096) -> PipelineModel
     return MlPipeline(stages=[words, model]).fit(_with_words(labelled))
 
 
-def train_naive_bayes(labelled: DataFrame, vocabulary: int = 1 << 20) -> PipelineModel:
-    """Multinomial naive Bayes on word counts over (text, label), with one added to every count.
-
-    The `vocabulary` most frequent words count; the model is as large as they are.
+@dataclass
+class NaiveBayesTable:
+    """Multinomial naive Bayes as a table: weights(term, w_0, w_1, ...) with one weight per class, the
+    number of its words, and the weights of the classes themselves. Other words weigh nothing."""
+
+    priors: list[float]
+    weights: DataFrame
+    words: int
+
+    def score(self, df: DataFrame, salt: int = 64) -> DataFrame:
+        """Adds `probabilities`. The words of equal texts are counted together and shared out."""
+        keyed = df.withColumn("_key", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+        words = F.coalesce(F.col("words"), F.array().cast("array<string>"))
+        # A null word per row counts the copies of a text.
+        counted = (
+            _with_words(keyed.select("_key", "text"))
+            .select("_key", F.explode(F.concat(words, F.array(F.lit(None).cast("string")))).alias("term"))
+            .groupBy("_key", "term")
+            .agg(F.count(F.lit(1)).alias("_tf"))
+        )
+        if self.words <= BROADCAST_WORDS:
+            met = counted.join(F.broadcast(self.weights), "term", "left")
+        else:
+            dealt = counted.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salt)).cast("int"))
+            copies = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
+            met = dealt.join(self.weights.withColumn("_salt", copies), ["term", "_salt"], "left")
+        part = lambda c: F.col("_tf").cast("decimal(18,0)") * F.coalesce(F.col(c), F.lit(0).cast(WEIGHT))
+        names = [f"w_{k}" for k in range(len(self.priors))]
+        sums = met.groupBy("_key").agg(
+            F.sum(F.when(F.col("term").isNull(), F.col("_tf"))).alias("_copies"), *(F.sum(part(c)).alias(c) for c in names)
+        )
+        logits = F.array(*(F.lit(p) + F.col(c).cast("double") / F.col("_copies") for p, c in zip(self.priors, names)))
+        return keyed.join(sums.select("_key", softmax(logits).alias("probabilities")), "_key", "left").drop("_key")
+
+
+def train_naive_bayes(labelled: DataFrame) -> NaiveBayesTable:
+    """Multinomial naive Bayes on the counts of all words over (text, label), with one added to every count.
+
+    Labels are 0, 1, ...; only numbers per label meet on the driver, the words stay in a table.
     """
-    words = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary)
-    model = NaiveBayes(featuresCol="features", labelCol="label", smoothing=1.0)
-    return MlPipeline(stages=[words, model]).fit(_with_words(labelled))
+    rows = {int(r.label): r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labels = range(max(rows, default=-1) + 1)
+    counts = (
+        _with_words(labelled)
+        .select(F.col("label").cast("int").alias("label"), F.explode("words").alias("term"))
+        .groupBy("term")
+        .agg(*(F.count(F.when(F.col("label") == k, 1)).alias(f"tf_{k}") for k in labels))
+    )
+    found = counts.agg(F.count(F.lit(1)).alias("words"), *(F.sum(f"tf_{k}").alias(f"tf_{k}") for k in labels)).first()
+    weights = counts.select(
+        "term",
+        *(
+            (F.log(F.col(f"tf_{k}") + 1.0) - math.log(max(1, (found[f"tf_{k}"] or 0) + found.words))).cast(WEIGHT).alias(f"w_{k}")
+            for k in labels
+        ),
+    )
+    return NaiveBayesTable([math.log(rows.get(k, 0) + 1) for k in labels], weights, found.words)
 
 
 def _with_words(df: DataFrame) -> DataFrame:
@@ -63,15 +120,18 @@ def _with_words(df: DataFrame) -> DataFrame:
 
 def classify(
     df: DataFrame,
-    model: PipelineModel,
+    model: PipelineModel | NaiveBayesTable,
     classes: list[str],
     threshold: float = 0.2,
     other: str = OTHER_LABEL,
 ) -> DataFrame:
     """Adds `probabilities` and `predicted_tag`."""
-    scored = model.transform(_with_words(df)).withColumn(
-        "probabilities", vector_to_array("probability")
-    )
+    if isinstance(model, NaiveBayesTable):
+        scored = model.score(df)
+    else:
+        scored = model.transform(_with_words(df)).withColumn(
+            "probabilities", vector_to_array("probability")
+        )
     labels = F.array(*[F.lit(c) for c in classes])
     return scored.withColumn(
         "predicted_tag", threshold_label(F.col("probabilities"), labels, threshold, other)

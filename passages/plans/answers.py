@@ -15,7 +15,7 @@ from passages.operators.context import answer_records, build_prompts, fit_budget
 from passages.operators.embed import Model, batch_infer
 from passages.operators.fuse import hybrid_search
 from passages.operators.lexical import LexicalIndex
-from passages.operators.rerank import classify, rerank
+from passages.operators.rerank import NaiveBayesTable, classify, rerank
 
 
 def split_blank(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -29,7 +29,7 @@ def retrieve(
     points: DataFrame,
     index: LexicalIndex | None = None,
     config: RetrievalConfig = ASK,
-    classifier: PipelineModel | None = None,
+    classifier: PipelineModel | NaiveBayesTable | None = None,
     classes: list[str] | None = None,
     relevance: Column | None = None,
     dim: int = VECTOR_SIZE,

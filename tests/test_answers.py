@@ -8,6 +8,7 @@ from passages.config import ASK, SERVICE, RetrievalConfig
 from passages.functions.text import token_count
 from passages.operators.context import answer_records, build_prompts, fit_budget, gather
 from passages.operators.lexical import build_lexical_index
+from passages.operators import rerank as reranking
 from passages.operators.rerank import classify, rerank, reranked_indices, train_classifier
 from passages.plans.answers import answer_queries, retrieve, split_blank
 from passages.plans.ingest import ingest_fixed
@@ -167,3 +168,25 @@ def test_blank_questions_are_not_answered(spark, points):
     ask = spark.createDataFrame([(1, "cats run"), (2, " \n"), (3, None)], "query_id long, query string")
     records = answer_queries(ask, points, build_lexical_index(points), RetrievalConfig(use_lexical=True)).collect()
     assert [r.question for r in records] == ["cats run"] and records[0].answer
+
+
+def test_naive_bayes_counts_every_word(spark, monkeypatch):
+    """More words than 2^20, of which the rarest decide."""
+    many = spark.range(110).select(
+        F.expr("array_join(transform(sequence(id * 10000, id * 10000 + 9999), i -> concat('w', i, ' w', i)), ' ')").alias("text"),
+        F.lit(0.0).alias("label"),
+    )
+    rare = " ".join(f"rare{k}" for k in range(20))
+    known = many.unionByName(spark.createDataFrame([(rare, 1.0)] * 1, "text string, label double"))
+    asked = spark.createDataFrame([(1, rare), (2, rare), (3, "w5 w6 w7 w8"), (4, None), (5, "unknown")], "id int, text string")
+    model = reranking.train_naive_bayes(known)
+    assert model.words == 1_100_020
+    got = {r.id: (r.predicted_tag, r.probabilities) for r in classify(asked, model, ["low", "high"], 0.99).collect()}
+    assert got[1] == got[2] and got[1][0] == "high" and got[4] == got[5]
+    small = reranking.train_naive_bayes(spark.createDataFrame([("a a b", 0.0), ("b c", 1.0)], "text string, label double"))
+    want = [1 / 2 * (3 / 6) * (2 / 6), 1 / 2 * (1 / 5) * (2 / 5)]
+    for bound in (100, 1):
+        monkeypatch.setattr(reranking, "BROADCAST_WORDS", bound)
+        asked = spark.createDataFrame([("a b z",), ("a b z",)], "text string")
+        for r in classify(asked, small, ["low", "high"]).collect():
+            assert abs(r.probabilities[0] - want[0] / sum(want)) < 1e-9 and r.predicted_tag == "low"
