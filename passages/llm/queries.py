@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm import chat, decontaminate, html, licenses, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup
+from passages.llm import (
+    chat,
+    decontaminate,
+    html,
+    licenses,
+    line_dedup,
+    mixing,
+    ngram_join,
+    quality,
+    sharding,
+    suffix_dedup,
+    token_files,
+)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -66,6 +79,11 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = token_files.write_tokens(table(spark, sf, "documents"), tokenizers.path("byte_bpe_50k.json"))
+    return token_files.token_report(token_files.read_shards(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_main_text,
         op9_quality_rules,
         op10_line_dedup,
+        op11_token_files,
     )
 }
