@@ -20,6 +20,7 @@ from passages.llm import (
     sharding,
     suffix_dedup,
     token_files,
+    word_runs,
 )
 
 
@@ -84,6 +85,11 @@ def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_report(token_files.read_shards(spark, path))
 
 
+def op13_word_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = word_runs.plant_repeats(table(spark, sf, "documents"))
+    return word_runs.run_report(word_runs.find_runs(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -98,5 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_line_dedup,
         op11_token_files,
+        op13_word_runs,
     )
 }
