@@ -20,6 +20,7 @@ from passages.llm import (
     sharding,
     suffix_dedup,
     token_files,
+    whitening,
     word_runs,
 )
 
@@ -85,6 +86,10 @@ def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_report(token_files.read_shards(spark, path))
 
 
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitening_report(table(spark, sf, "embeddings"))
+
+
 def op13_word_runs(spark: SparkSession, sf: str) -> DataFrame:
     docs = word_runs.plant_repeats(table(spark, sf, "documents"))
     return word_runs.run_report(word_runs.find_runs(docs))
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_line_dedup,
         op11_token_files,
+        op12_whitening,
         op13_word_runs,
     )
 }
