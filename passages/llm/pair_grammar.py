@@ -24,7 +24,7 @@ LEAST = 8
 SPREAD = 16
 #: A round that shortens the sequence by less than this part brings little.
 GAIN = 1 / 64
-CELL_BITS = 20
+CELL_BITS = 18
 MAGIC = b"RPG1"
 HEAD = "<4sIIII"
 

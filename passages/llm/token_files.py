@@ -9,8 +9,8 @@
    after the other, each with rules, expansion lengths and sequence (`pair_grammar.to_bytes`).
 4. Readers decode shard by shard; `lookup` decodes only the symbols that cover a wanted document.
 
-Encoding: a piece of text from white space that follows a plain character up to the next such place is encoded alike
-wherever it stands, as the byte-level pattern never matches across such a place. So a task encodes each distinct piece once
+Encoding: the byte-level pattern never matches across white space that follows a plain character, nor from an ASCII letter
+to a mark or digit, so a piece between such places is encoded alike wherever it stands. So a task encodes each distinct piece once
 and puts texts together from pieces; at most PIECES of them are remembered. Other kinds of
 tokenizers get whole texts.
 
@@ -26,6 +26,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -41,6 +42,11 @@ from passages.operators.order import running_offset
 
 SHARD_TOKENS = 1 << 20
 SLICE_BYTES = 1 << 22
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+MARK = np.zeros(256, bool)
+MARK[0x21:0x7F] = True
+MARK &= ~LETTER
 #: Pieces of text that a task remembers with their ids.
 PIECES = 600_000
 JOINED = 128
@@ -72,6 +78,7 @@ class Encoder:
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         for token in told.get("added_tokens", []):
             self.bytes_of[token["id"]] = len(token["content"].encode())
+        self.tokens = [t["content"].encode() for t in told.get("added_tokens", [])]
         self.alphabet = size
         self.forget()
 
@@ -95,7 +102,11 @@ class Encoder:
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
         plain = plain_ends(data)
-        cut = np.r_[False, ta.SPACE[data[1:]] & plain[:-1]]
+        begins = ta.SPACE[data[1:]] & plain[:-1]
+        raw = data.tobytes()
+        if not any(token in raw for token in self.tokens):  # a token of its own may hold such a place
+            begins |= LETTER[data[:-1]] & MARK[data[1:]]
+        cut = np.r_[False, begins]
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(cut)
         bounds = np.r_[starts, len(data)].astype(np.int32)
@@ -117,24 +128,27 @@ class Encoder:
 
     def _numbers(self, pieces: list[bytes], free: np.ndarray) -> np.ndarray:
         """The number under which each distinct piece is known; unknown ones are encoded."""
-        known = self.known
-        new = [k for k, p in enumerate(pieces) if p not in known]
-        if len(known) + len(new) > PIECES:
+        numbers = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(numbers < 0).tolist()
+        if len(self.known) + len(new) > PIECES:
             self.forget()
-            known, new = self.known, range(len(pieces))
+            new = range(len(pieces))
             if len(pieces) > PIECES:
                 self.ends = np.zeros(len(pieces) + 1, np.int64)
-        alone = [pieces[k] for k in new if not free[k]]
-        joined = [pieces[k] for k in new if free[k]]
-        if new:
+        if len(new):
+            by = [k for k in new if not free[k]]
+            alone = [pieces[k] for k in by]
+            by += [k for k in new if free[k]]
+            joined = [pieces[k] for k in by[len(alone) :]]
             # Pieces that may stand side by side go to the tokenizer many at a time.
             texts = alone + [b"".join(joined[k : k + JOINED]) for k in range(0, len(joined), JOINED)]
             found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
             ids = np.array([i for e in found for i in e.ids], np.int32)
             ends = np.cumsum([len(p) for p in alone + joined])
             reach = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "left") + 1
+            numbers[by] = len(self.known) + np.arange(len(by))
             self._remember(alone + joined, ids, np.diff(np.r_[0, reach]))
-        return np.array([known[p] for p in pieces], np.int64)
+        return numbers
 
     def _remember(self, pieces: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
         n, used = len(self.known), int(self.ends[len(self.known)])
