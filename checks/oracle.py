@@ -379,6 +379,10 @@ ORACLE_SQL: dict[str, str] = {
     "knn_join": _query("", _nearest("list_cosine_similarity(e, q)", "DESC")),
     "knn_dot": _query("", _nearest("list_dot_product(e, q)", "DESC")),
     "knn_euclid": _query("", _nearest("list_distance(e, q)", "ASC")),
+    "knn_quantized": _query("", _nearest("list_cosine_similarity(e, q)", "DESC")),
+    "quantized_share": """SELECT count(*) * least(count(*), 5) AS n_hits, count(*) * least(count(*), 5) AS n_found,
+            true AS few_pairs
+        FROM embeddings""",
     "dim_check": "SELECT vec_id AS id, len(embedding[1:64 - label]) = 64 AS accepted FROM embeddings",
     "semantic_search": _query(
         "semantic chunk",

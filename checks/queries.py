@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from passages.config import ASK, INGEST, SERVICE, RetrievalConfig
 from passages.functions import classify as labels
 from passages.functions import text as tx
-from passages.operators import chunk, context, embed, fuse, lexical, rerank, vector
+from passages.operators import chunk, context, embed, fuse, lexical, postings, quantized, rerank, vector
 from passages.plans import answers, ingest
 from passages.sources import collection, files, pages, tables
 
@@ -226,6 +226,29 @@ def _knn(metric: str):
     return run
 
 
+def knn_quantized(spark, sf):
+    """All vectors as queries against the one-byte index."""
+    stored = vectors(spark, sf)
+    index = quantized.build_quantized_index(stored, DIM)
+    return quantized.knn_quantized(vector_queries(spark, sf), index, stored, 5, "cosine", DIM)
+
+
+def quantized_share(spark, sf):
+    """How many of all pairs the one-byte pass leaves, and how many of the true hits these hold."""
+    stored, asked = vectors(spark, sf), vector_queries(spark, sf)
+    index = quantized.build_quantized_index(stored, DIM)
+    left = quantized.scored_candidates(asked, index, stored, 5, "cosine", DIM)
+    true = vector.knn_join(asked, stored, 5, "cosine", DIM).withColumnRenamed("score", "true")
+    met = true.join(left, ["query_id", "id"], "left")
+    counts = met.agg(
+        F.count(F.lit(1)).alias("n_hits"), F.count_if(F.col("score") == F.col("true")).alias("n_found")
+    )
+    def rows(df):
+        return df.agg(F.count(F.lit(1))).scalar()
+
+    return counts.select("n_hits", "n_found", (rows(left) * 10 <= rows(stored) * rows(asked)).alias("few_pairs"))
+
+
 def knn_lsh(spark, sf):
     return vector.knn_lsh(vector_queries(spark, sf), vectors(spark, sf), 5, DIM)
 
@@ -263,7 +286,7 @@ def query_tokens(spark, sf):
 
 
 def _index(spark, sf):
-    return lexical.build_lexical_index(document_items(spark, sf))
+    return postings.build_inverted_index(document_items(spark, sf))
 
 
 def bm25_stats(spark, sf):
@@ -287,14 +310,14 @@ def bm25_topk(spark, sf):
 
 def hybrid_splice(spark, sf):
     stored = points(spark, sf)
-    index = lexical.build_lexical_index(stored)
+    index = postings.build_inverted_index(stored)
     return fuse.hybrid_hits(questions(spark, sf), stored, index, vector_k=5, lexical_k=3)
 
 
 def _library_hits(spark, sf):
     stored = points(spark, sf)
     return fuse.hybrid_search(
-        questions(spark, sf), stored, lexical.build_lexical_index(stored), vector_k=5, lexical_k=1
+        questions(spark, sf), stored, postings.build_inverted_index(stored), vector_k=5, lexical_k=1
     )
 
 
@@ -410,7 +433,7 @@ def answer_strip(spark, sf):
 
 def answer_records(spark, sf):
     stored = points(spark, sf)
-    index = lexical.build_lexical_index(stored)
+    index = postings.build_inverted_index(stored)
     records = answers.answer_queries(questions(spark, sf), stored, index, LIBRARY)
     return records.select(
         "query_id",
@@ -424,7 +447,7 @@ def answer_records(spark, sf):
 def answer_service(spark, sf):
     """The service path: 30 vector and 5 lexical hits, a classifier at 0.9, the first 10 of them."""
     stored = ingest.ingest_fixed(documents(spark, sf), SERVICE)
-    index = lexical.build_lexical_index(stored)
+    index = postings.build_inverted_index(stored)
     asked, _ = answers.split_blank(questions(spark, sf))
     records = answers.answer_queries(
         asked, stored, index, SERVICE, classifier=_classifier(spark, sf), classes=CLASSES
@@ -511,6 +534,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         valid_embeddings,
         vector_topk,
         knn_lsh,
+        knn_quantized,
+        quantized_share,
         dim_check,
         semantic_search,
         doc_tokens,

@@ -7,17 +7,21 @@ negative idf is replaced by a quarter of the mean idf of the vocabulary.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.functions.text import document_tokens, query_tokens
 from passages.operators import topk
 from passages.operators.vector import known_source
 
+if TYPE_CHECKING:
+    from passages.operators.postings import InvertedIndex
+
 # Fixed values of the scorer.
 K1 = 1.5
 B = 0.75
@@ -45,6 +49,12 @@ class LexicalIndex:
     terms: DataFrame
     stats: DataFrame
 
+    def hits(self, queries: DataFrame, k: int, normalize: bool = False) -> DataFrame:
+        return _scan_tokens(queries, self, k, normalize)
+
+    def scores(self, queries: DataFrame, normalize: bool = False, candidates: DataFrame | None = None) -> DataFrame:
+        return _score_tokens(queries, self, normalize, candidates)
+
     def write(self, path: str) -> None:
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
@@ -73,11 +83,15 @@ def term_stats(docs: DataFrame, stats: DataFrame) -> DataFrame:
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
-    n = stats.select("n").scalar()
+    return weigh_terms(counted, stats.select("n").scalar())
+
+
+def weigh_terms(counted: DataFrame, n: Column) -> DataFrame:
+    """(term, df) with the idf of each word in n documents."""
     raw = counted.withColumn("_raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg((F.avg("_raw") * FLOOR_SHARE).alias("floor")).scalar()
     idf = F.when(F.col("_raw") < 0, floor).otherwise(F.col("_raw"))
-    return raw.select("term", "df", F.round(idf, IDF_DIGITS).alias("idf"))
+    return raw.select(*counted.columns, F.round(idf, IDF_DIGITS).alias("idf"))
 
 
 def query_terms(queries: DataFrame, normalize: bool = False) -> DataFrame:
@@ -88,22 +102,33 @@ def query_terms(queries: DataFrame, normalize: bool = False) -> DataFrame:
     return words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def _word_cells(queries: DataFrame, normalize: bool) -> int | None:
+def word_cells(queries: DataFrame, normalize: bool) -> int | None:
     words = query_tokens(F.col("query"), normalize)
     return queries.agg(F.sum(F.size(words) + 1)).first()[0]
 
 
 def bm25_scores(
-    queries: DataFrame, index: LexicalIndex, normalize: bool = False, salt: int = 64
+    queries: DataFrame,
+    index: LexicalIndex | InvertedIndex,
+    normalize: bool = False,
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, id, score) for every document that shares a word with the query.
 
-    Documents that are not listed score zero. Query words that a count shows to be few are
-    broadcast, and other words leave the postings before anything is shuffled. A larger query
-    table meets the postings in a join on the word and a salt, which deals the postings of a
+    Documents that are not listed score zero. With `candidates` (query_id, id) only these are scored, which is
+    what a rerank needs: without them the result has a row for each pair that shares a word.
+    """
+    return index.scores(queries, normalize, candidates)
+
+
+def _score_tokens(
+    queries: DataFrame, index: LexicalIndex, normalize: bool, candidates: DataFrame | None, salt: int = 64
+) -> DataFrame:
+    """Query words that a count shows to be few are broadcast, and other words leave the
+    postings before anything is shuffled. A larger query table meets the postings in a join on the word and a salt, which deals the postings of a
     frequent word out to `salt` tasks.
     """
-    bounded = topk.fits_broadcast(_word_cells(queries, normalize))
+    bounded = topk.fits_broadcast(word_cells(queries, normalize))
     words = query_terms(queries, normalize).join(index.terms.select("term", "idf"), "term")
     wanted = words.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     tokens = index.docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
@@ -117,6 +142,8 @@ def bm25_scores(
         dealt = postings.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
         copies = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
         met = dealt.join(wanted.withColumn("_salt", copies), ["term", "_salt"])
+    if candidates is not None:
+        met = met.join(candidates.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi")
     avgdl = index.stats.select("avgdl").scalar()
     saturation = F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl)
     part = F.round(F.col("weight") * F.col("tf") * (K1 + 1) / saturation * PART_UNITS).cast("long")
@@ -190,21 +217,27 @@ def bm25_scorer(corpus: pa.Table, queries: pa.Table) -> np.ndarray:
 
 
 def bm25_hits(
-    queries: DataFrame, index: LexicalIndex, k: int, normalize: bool = False
+    queries: DataFrame, index: LexicalIndex | InvertedIndex, k: int, normalize: bool = False
 ) -> DataFrame:
     """Best k of all documents per query: (query_id, rank, id, score).
 
     Documents without a match score zero and fill up to k in id order, so every document is
-    a candidate for every query; a word may also weigh less than zero in a tiny corpus.
+    a candidate for every query; a word may also weigh less than zero in a tiny corpus. Token lists
+    (`build_lexical_index`) are scanned whole, which suits a single search; an inverted index
+    (`postings.build_inverted_index`) is read by the asked words only.
     """
+    return index.hits(queries, k, normalize)
+
+
+def _scan_tokens(queries: DataFrame, index: LexicalIndex, k: int, normalize: bool) -> DataFrame:
     weighted = _weighted_queries(queries, index, normalize)
     return topk.top_k(
-        index.docs, weighted, bm25_scorer, k, _word_cells(queries, normalize)
+        index.docs, weighted, bm25_scorer, k, word_cells(queries, normalize)
     )
 
 
 def lexical_search(
-    queries: DataFrame, points: DataFrame, index: LexicalIndex, k: int, normalize: bool = False
+    queries: DataFrame, points: DataFrame, index: LexicalIndex | InvertedIndex, k: int, normalize: bool = False
 ) -> DataFrame:
     """`bm25_hits` with the stored payload: (query_id, rank, id, text, source, score)."""
     hits = bm25_hits(queries, index, k, normalize)

@@ -5,9 +5,9 @@ matrix and keeps the k best rows per query, which it emits at its end. Spark the
 shuffle carries k rows per query and task, whatever the size of the corpus, and the corpus
 itself does not move.
 
-The query block travels to the tasks as a broadcast when a count shows that it fits. A larger
-query table is cut into hashed blocks that meet hashed blocks of the corpus in a shuffle, so
-neither side is ever whole in one place.
+The queries travel to the tasks as a broadcast when a count shows that they fit. A larger query
+table is cut into slices that fit, and one slice after the other passes over the corpus; the hits of each
+are written. So the corpus stays where it is at any size, and no more than a slice is ever on the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passages.functions.vectors import SCORE_DIGITS
+from passages.session import new_folder
 
 # Bounds of what may travel whole: entries of the query block and rows of the result.
 BROADCAST_CELLS = 8_000_000
@@ -126,16 +127,34 @@ def top_k(
 
     corpus has `id`, queries has `query_id`; the other columns are for `scorer`, which gives
     a (corpus rows x queries) array, larger is better. `query_cells` is the counted number of
-    array entries in the query table and decides between broadcast and blocks. `usable` drops
+    array entries in the query table and decides on the number of slices. `usable` drops
     rows that cannot be scored; it runs in the task, where the vector is at hand already.
     """
     if k <= 0:
         return rank_hits(
             corpus.sparkSession.createDataFrame([], partial_schema(corpus, queries)), 0
         )
-    if fits_broadcast(query_cells):
-        return rank_hits(_scan(corpus, queries, scorer, k, usable), k)
-    return rank_hits(_blocks(corpus, queries, scorer, k, query_cells, usable), k)
+    return in_slices(queries, query_cells, lambda part: rank_hits(_scan(corpus, part, scorer, k, usable), k))
+
+
+def in_slices(queries: DataFrame, cells: int | None, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`search` of all queries; of slices of them, one after the other, if they are more than may travel whole.
+
+    The slices are stored first, so that queries which come from a model are made once.
+    """
+    if fits_broadcast(cells):
+        return search(queries)
+    spark = queries.sparkSession
+    slices = -(-cells // BROADCAST_CELLS)
+    folder = new_folder(spark, "slices")
+    number = F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int")
+    queries.withColumn("_slice", number).write.partitionBy("_slice").parquet(f"{folder}/queries")
+    sliced = spark.read.schema(T.StructType([*queries.schema, T.StructField("_slice", T.IntegerType())])).parquet(f"{folder}/queries")
+    for k in range(slices):
+        hits = search(sliced.where(F.col("_slice") == k).drop("_slice"))
+        schema = hits.schema
+        hits.write.mode("overwrite").parquet(f"{folder}/hits/part={k}")
+    return spark.read.schema(schema).parquet(f"{folder}/hits").select(schema.names)
 
 
 def _scan(
@@ -160,28 +179,6 @@ def _scan(
     return corpus.mapInArrow(run, schema)
 
 
-def _blocks(
-    corpus: DataFrame,
-    queries: DataFrame,
-    scorer: Scorer,
-    k: int,
-    query_cells: int,
-    usable: Usable | None,
-) -> DataFrame:
-    query_blocks = -(-query_cells // BROADCAST_CELLS)
-    corpus_blocks = max(1, -(-corpus.select("id").count() // CORPUS_BLOCK_ROWS))
-
-    def numbered(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        every_other = F.sequence(F.lit(0), F.lit(other_n - 1))
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n)).cast("int")).withColumn(
-            other, F.explode(every_other)
-        )
-
-    left = numbered(corpus, "id", "_c", corpus_blocks, "_q", query_blocks)
-    right = numbered(queries, "query_id", "_q", query_blocks, "_c", corpus_blocks)
-    return meet(left, right, ["_c", "_q"], scorer, k, usable)
-
-
 def meet(
     left: DataFrame,
     right: DataFrame,

@@ -20,6 +20,10 @@ from passages.operators.embed import Model, embed_with
 from passages.session import cut_lineage
 
 
+# Differences of vectors that a task holds at a time.
+DIFFERENCES = 4_000_000
+
+
 def known_source(source: str | Column = "source") -> Column:
     return F.coalesce(F.col(source) if isinstance(source, str) else source, F.lit(UNKNOWN_SOURCE))
 
@@ -44,12 +48,12 @@ def vector_topk(
     )
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+def matrix_of(column: pa.ChunkedArray, width: int) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(-1, width)
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
     norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
@@ -68,20 +72,27 @@ def dense_scorer(width: int, metric: str) -> topk.Scorer:
     """Corpus vectors against query vectors; a distance is negated, larger is better."""
 
     def score(corpus: pa.Table, queries: pa.Table) -> np.ndarray:
-        x = _matrix(corpus["embedding"], width)
-        q = _matrix(queries["embedding"], width)
+        x = matrix_of(corpus["embedding"], width)
+        q = matrix_of(queries["embedding"], width)
         if metric == "dot":
             return x @ q.T
         if metric == "cosine":
-            return _unit_rows(x) @ _unit_rows(q).T
-        return np.column_stack([-np.sqrt(((x - row) ** 2).sum(axis=1)) for row in q])
+            return unit_rows(x) @ unit_rows(q).T
+        out = np.empty((len(x), len(q)))
+        step = max(1, DIFFERENCES // max(1, x.size))
+        for a in range(0, len(q), step):
+            # Differences first: the sum of squares less twice the product would cancel for near vectors.
+            apart = x[:, None, :] - q[None, a : a + step, :]
+            out[:, a : a + step] = -np.sqrt(np.einsum("ijk,ijk->ij", apart, apart))
+        return out
 
     return score
 
 
-def _as_metric(hits: DataFrame, metric: str) -> DataFrame:
+def as_metric(score: Column, metric: str) -> Column:
+    """A rank score as similarity or distance."""
     # 0.0 - x, not -x: a distance of zero must not turn into minus zero.
-    return hits.withColumn("score", F.lit(0.0) - F.col("score")) if metric == "euclid" else hits
+    return F.lit(0.0) - score if metric == "euclid" else score
 
 
 def query_cells(queries: DataFrame, dim: int) -> int:
@@ -104,7 +115,7 @@ def knn_join(
         query_cells(queries, dim),
         of_length(dim),
     )
-    return _as_metric(hits, metric)
+    return hits.withColumn("score", as_metric(F.col("score"), metric))
 
 
 def embed_queries(

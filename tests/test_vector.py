@@ -86,12 +86,18 @@ def test_small_matrices_give_the_same(spark, data, monkeypatch):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "euclid"])
-def test_blocks_beyond_the_broadcast_bound(spark, data, metric, monkeypatch):
-    monkeypatch.setattr(topk, "BROADCAST_CELLS", 3 * DIM)
-    monkeypatch.setattr(topk, "CORPUS_BLOCK_ROWS", 25)
+def test_slices_beyond_the_broadcast_bound(spark, data, metric, monkeypatch):
     corpus, wanted = data
+    plans, ranked = [], topk.rank_hits
+
+    def seen(partial, k):
+        plans.append(partial._jdf.queryExecution().executedPlan().toString())
+        return ranked(partial, k)
+
+    monkeypatch.setattr(topk, "rank_hits", seen)
+    monkeypatch.setattr(topk, "BROADCAST_CELLS", 3 * DIM)
     hits = knn_join(queries(spark, wanted), points(spark, corpus), 5, metric, DIM)
-    assert "CoGroup" in hits._jdf.queryExecution().toString()
+    assert len(plans) == 3 and not any("Exchange" in p or "Join" in p for p in plans)
     assert found(hits) == brute(corpus, wanted, 5, metric)
 
 
