@@ -395,6 +395,12 @@ ORACLE_SQL: dict[str, str] = {
     "bm25_corpus": _query("item_size", "SELECT n, round(avgdl, 6) AS avgdl FROM item_size"),
     "bm25_scores": _query("item_match", "SELECT query_id, id, score FROM item_match"),
     "bm25_topk": _query("item_rank", "SELECT query_id, rank, id, score FROM item_rank WHERE rank <= 5"),
+    "bm25_index_topk": _query("item_rank", "SELECT query_id, rank, id, score FROM item_rank WHERE rank <= 5"),
+    "bm25_index_terms": _query("item_term", "SELECT term, df, round(idf, 6) AS idf FROM item_term"),
+    "bm25_index_scores": _query(
+        "item_match item_rank",
+        """SELECT query_id, id, m.score FROM item_match AS m JOIN item_rank AS r USING (query_id, id) WHERE rank <= 5""",
+    ),
     "hybrid_splice": _query("spliced3", "SELECT query_id, pos, id FROM spliced3"),
     "hybrid_search": _query("hit", "SELECT query_id, pos, id, md5(text) AS text_md5, source FROM hit"),
     "camel_split": f"SELECT doc_id, md5({_camel('text')}) AS text_md5 FROM documents",

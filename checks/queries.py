@@ -286,6 +286,10 @@ def query_tokens(spark, sf):
 
 
 def _index(spark, sf):
+    return lexical.build_lexical_index(document_items(spark, sf))
+
+
+def _inverted(spark, sf):
     return postings.build_inverted_index(document_items(spark, sf))
 
 
@@ -305,19 +309,33 @@ def bm25_topk(spark, sf):
     return lexical.bm25_hits(questions(spark, sf), _index(spark, sf), 5)
 
 
+def bm25_index_topk(spark, sf):
+    return lexical.bm25_hits(questions(spark, sf), _inverted(spark, sf), 5)
+
+
+def bm25_index_terms(spark, sf):
+    return _inverted(spark, sf).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_index_scores(spark, sf):
+    """Scores of given candidates: the hits of the search without an index."""
+    found = bm25_topk(spark, sf).select("query_id", "id")
+    return lexical.bm25_scores(questions(spark, sf), _inverted(spark, sf), candidates=found)
+
+
 # Fusion
 
 
 def hybrid_splice(spark, sf):
     stored = points(spark, sf)
-    index = postings.build_inverted_index(stored)
+    index = lexical.build_lexical_index(stored)
     return fuse.hybrid_hits(questions(spark, sf), stored, index, vector_k=5, lexical_k=3)
 
 
 def _library_hits(spark, sf):
     stored = points(spark, sf)
     return fuse.hybrid_search(
-        questions(spark, sf), stored, postings.build_inverted_index(stored), vector_k=5, lexical_k=1
+        questions(spark, sf), stored, lexical.build_lexical_index(stored), vector_k=5, lexical_k=1
     )
 
 
@@ -433,7 +451,7 @@ def answer_strip(spark, sf):
 
 def answer_records(spark, sf):
     stored = points(spark, sf)
-    index = postings.build_inverted_index(stored)
+    index = lexical.build_lexical_index(stored)
     records = answers.answer_queries(questions(spark, sf), stored, index, LIBRARY)
     return records.select(
         "query_id",
@@ -447,7 +465,7 @@ def answer_records(spark, sf):
 def answer_service(spark, sf):
     """The service path: 30 vector and 5 lexical hits, a classifier at 0.9, the first 10 of them."""
     stored = ingest.ingest_fixed(documents(spark, sf), SERVICE)
-    index = postings.build_inverted_index(stored)
+    index = lexical.build_lexical_index(stored)
     asked, _ = answers.split_blank(questions(spark, sf))
     records = answers.answer_queries(
         asked, stored, index, SERVICE, classifier=_classifier(spark, sf), classes=CLASSES
@@ -544,6 +562,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bm25_corpus,
         bm25_scores,
         bm25_topk,
+        bm25_index_topk,
+        bm25_index_terms,
+        bm25_index_scores,
         hybrid_splice,
         hybrid_search,
         camel_split,

@@ -4,8 +4,8 @@ Documents are numbered in the order of their ids, in blocks of at most BLOCK_DOC
 of `postings` has the postings of one word in one block of documents, and the greatest saturated count among them.
 
 Building: texts are dealt out by ranges of ids, once; a task cuts, counts and numbers the documents of its range. The
-postings are then dealt out by ranges of (bucket of the word, word, block), so a word that most documents have is
-parted by blocks, and written by bucket and sorted by word: a search opens the buckets and row groups of its words.
+postings are then dealt out by the bucket of their word and, in a large corpus, by blocks, so that a word that most
+documents have is not in one task; they are written by bucket and sorted by word: a search opens the buckets and row groups of its words.
 
 Searching: the rows of the asked words meet by block of documents. A task goes through its blocks with the best k of
 every query so far; for a block it adds up the bounds of the words of each query, and only queries that can still gain
@@ -16,6 +16,7 @@ a tie goes to the smaller number. So the result is exact.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ BLOCK_DOCS = 1_024
 BLOCK_BYTES = 8 << 20
 #: Documents per bucket of words, and the bounds of the number of buckets.
 BUCKET_DOCS = 20_000
-BUCKETS = (8, 4_096)
+BUCKETS = (32, 4_096)
 #: More asked words than this are joined and not listed in the filter of the scan.
 LISTED_WORDS = 2_000
 #: Scores are whole numbers of 1e-6; bounds are added in another order than scores.
@@ -44,15 +45,18 @@ for _first, _last in ((48, 58), (97, 123)):
     WORD_BYTES[_first:_last] = np.arange(_first, _last)
 WORD_BYTES[65:91] = np.arange(97, 123)
 
+#: Rows of a bucket are dealt to one task more for each so many documents.
+DEAL_DOCS = 4_000_000
+
 LISTS = "places array<int>, counts array<int>, lengths array<int>"
-POSTINGS = f"term string, block long, best double, {LISTS}, bucket int"
+POSTINGS = f"term string, block long, best double, df int, {LISTS}, bucket int"
 STATS = "n long, avgdl double, buckets int"
 
 
 @dataclass(frozen=True)
 class InvertedIndex:
-    """docs(block, ids, lengths), postings(bucket, term, block, best, places, counts, lengths), terms(bucket, term, df, idf)
-    and one row stats(n, avgdl, buckets)."""
+    """docs(block, ids, lengths), postings(bucket, term, block, best, df, places, counts, lengths), terms(bucket, term, df,
+    idf) and one row stats(n, avgdl, buckets). `df` of a row of postings counts its documents."""
 
     docs: DataFrame
     postings: DataFrame
@@ -62,7 +66,8 @@ class InvertedIndex:
     @staticmethod
     def load(spark: SparkSession, path: str) -> InvertedIndex:
         read = spark.read
-        docs, terms, stats = (read.parquet(f"{path}/{name}") for name in ("docs", "terms", "stats"))
+        docs, terms, stats = (read.parquet(f"{path}/{name}") for name in ("cut/kind=docs", "terms", "stats"))
+        docs = docs.select("block", "ids", "lengths")
         return InvertedIndex(docs, spark.read.schema(POSTINGS).parquet(f"{path}/postings"), terms, stats)
 
     def hits(self, queries: DataFrame, k: int, normalize: bool = False) -> DataFrame:
@@ -105,24 +110,25 @@ def block_rows(block: int, ids: pa.Array, texts: pa.Array) -> Iterator[pa.Record
     n = len(ids)
     doc, words = cut_words(texts)
     length = np.bincount(doc, minlength=n)
-    names = ["block", "term", "places", "counts", "lengths", "ids"]
+    names = ["kind", "block", "term", "df", "places", "counts", "lengths", "ids", "words"]
     none = pa.nulls(1, pa.list_(pa.int32()))
-    one = pa.array([0, n], pa.int32())
-    own = [pa.array([block]), pa.nulls(1, pa.string()), none, none]
-    yield pa.RecordBatch.from_arrays(
-        [*own, _lists(length, np.array([0, n])), pa.ListArray.from_arrays(one, ids)], names
-    )
+    own = [pa.array(["docs"]), pa.array([block]), pa.nulls(1, pa.string()), pa.array([n], pa.int32()), none, none]
+    listed = [_lists(length, np.array([0, n])), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids)]
+    yield pa.RecordBatch.from_arrays([*own, *listed, pa.array([int(length.sum())])], names)
     cells, counts = np.unique(words.indices.to_numpy().astype(np.int64) * n + doc, return_counts=True)
     term, place = np.divmod(cells, n)
     size = len(words.dictionary)
     starts = np.searchsorted(term, np.arange(size + 1))
     columns = [
+        pa.array(["words"]).take(pa.array(np.zeros(size, np.int64))),
         pa.array(np.full(size, block)),
         words.dictionary.cast(pa.string()),
+        pa.array(np.diff(starts).astype(np.int32)),
         _lists(place, starts),
         _lists(counts, starts),
         _lists(length[place], starts),
         pa.nulls(size, pa.list_(ids.type)),
+        pa.nulls(size, pa.int64()),
     ]
     yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -156,34 +162,35 @@ def build_inverted_index(points: DataFrame, path: str | None = None) -> Inverted
     spark = points.sparkSession
     path = path or new_folder(spark, "lexical")
     kind = points.schema["id"].dataType.simpleString()
+    schema = f"kind string, block long, term string, df int, {LISTS}, ids array<{kind}>, words long"
     dealt = points.select("id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("id")
-    found = dealt.sortWithinPartitions("id").mapInArrow(index_blocks, f"block long, term string, {LISTS}, ids array<{kind}>")
-    found.write.mode("overwrite").parquet(f"{path}/raw")
-    raw = spark.read.parquet(f"{path}/raw")
-    raw.where("term is null").select("block", "ids", "lengths").sortWithinPartitions("block").write.mode(
-        "overwrite"
-    ).parquet(f"{path}/docs")
-    docs = spark.read.parquet(f"{path}/docs")
-    words = F.aggregate("lengths", F.lit(0).cast("long"), lambda total, x: total + x)
-    n, total = docs.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.sum(words)).first()
+    cut = dealt.sortWithinPartitions("id").mapInArrow(index_blocks, schema)
+    cut.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/cut")
+    rows = spark.read.schema(schema).parquet(f"{path}/cut")
+    of_docs, of_words = rows.where("kind = 'docs'"), rows.where("kind = 'words'")
+    n, total = of_docs.agg(F.coalesce(F.sum("df"), F.lit(0)), F.sum("words")).first()
+    if not n:  # the folder that readers look for
+        of_docs.drop("kind").coalesce(1).write.mode("overwrite").parquet(f"{path}/cut/kind=docs")
     buckets = min(max(BUCKETS[0], n // BUCKET_DOCS), BUCKETS[1])
     avgdl = total / n if n else None
-    spark.createDataFrame([(n, avgdl, buckets)], STATS).write.mode("overwrite").parquet(f"{path}/stats")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+    stats = spark.createDataFrame([(n, avgdl, buckets)], STATS).coalesce(1)
 
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    hand = F.pmod("block", F.lit(1 + n // DEAL_DOCS))
+    by_word = of_words.select(bucket, "term", "block", "df", "places", "counts", "lengths").repartition("bucket", hand)
     parts = F.zip_with("counts", "lengths", lambda c, size: saturated(c, size, F.lit(avgdl).cast("double")))
-    rows = raw.where("term is not null").select(
-        bucket.alias("bucket"), "term", "block", F.array_max(parts).alias("best"), "places", "counts", "lengths"
-    )
-    order = ("bucket", "term", "block")
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(
-        f"{path}/postings"
-    )
-    written = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
-    counted = written.groupBy("bucket", "term").agg(F.sum(F.size("places")).alias("df"))
-    weighed = lexical.weigh_terms(counted, F.lit(n)).select("bucket", "term", "df", "idf")
-    weighed.sortWithinPartitions("bucket", "term").write.mode("overwrite").parquet(f"{path}/terms")
-    drop_folder(spark, f"{path}/raw")
+    postings = by_word.sortWithinPartitions("bucket", "term", "block").withColumn("best", F.array_max(parts))
+    counted = of_words.groupBy("term").agg(F.sum("df").alias("df"))
+    weighed = lexical.weigh_terms(counted, F.lit(n)).select(bucket, "term", "df", "idf")
+    jobs = [
+        lambda: postings.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"),
+        lambda: weighed.write.mode("overwrite").parquet(f"{path}/terms"),
+        lambda: stats.write.mode("overwrite").parquet(f"{path}/stats"),
+    ]
+    with ThreadPoolExecutor(len(jobs)) as pool:  # none needs another's result
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+    drop_folder(spark, f"{path}/cut/kind=words")
     return InvertedIndex.load(spark, path)
 
 
@@ -346,7 +353,8 @@ def search(queries: DataFrame, index: InvertedIndex, k: int, normalize: bool = F
 
 def _search_slice(queries: DataFrame, index: InvertedIndex, k: int, normalize: bool, avgdl: float | None) -> DataFrame:
     spark = queries.sparkSession
-    ids = queries.select("query_id").toArrow()
+    here = queries.toArrow()  # a slice may travel whole
+    queries, ids = spark.createDataFrame(here), here.select(["query_id"])
     words = asked_words(queries, index, normalize).toArrow().combine_chunks()
     question = spark.sparkContext.broadcast(question_of(ids, words, avgdl or 1.0).values())
     sizes = index.docs.select("block", F.size("ids").alias("docs"))
