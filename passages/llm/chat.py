@@ -12,7 +12,9 @@ in characters) of the assistant texts inside the formatted text.
 Everything runs in built-in functions, row by row, without a shuffle.
 
 Cases: a null role or text is empty; a record without turns gives an empty text; a record that is
-no JSON or whose layout is not declared has a null `turns` and a null text, and keeps its row; other columns pass.
+no JSON or whose layout is not declared (a field more or less than a layout has) has a null `turns` and a null text, and keeps its
+row; texts of any length are whole (a formatted text, and a record, must fit in one string); equal rows are formatted alike; an empty table
+gives an empty table; other columns pass, those named like an output (fingerprint, turns, formatted, loss_spans) are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 BREAKERS = ("<", "[")
 SIGN = "\\"
 
+#: JSON texts are parsed whole: strings are as long as a column can hold.
+WHOLE = {"maxStringLen": str(2**31 - 1)}
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -65,43 +69,36 @@ ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model":
 
 
 def fingerprint(record: Column) -> Column:
-    """A hash of the nested field paths of a JSON object, whatever the values are.
+    """A hash of the nested field paths of a JSON object, whatever the values and however large they are.
 
-    A record too large to be parsed as a whole is known by its top-level fields.
+    Paths are the names at the top; for names that a layout has, `name[]` for an array with `name[].field` for the
+    fields of its elements, and `name.field` for those of an object. What is nested deeper counts as a value.
     """
-    whole = _shape(F.schema_of_variant(F.try_parse_json(record)))
-    top = F.array_sort(F.json_object_keys(record))
-    by_top = F.coalesce(
-        *(
-            F.when(top == F.array(*map(F.lit, sorted({p.partition("[]")[0] for p in layout.paths}))), F.lit(_expected(layout)))
-            for layout in LAYOUTS
-        )
-    )
-    return F.xxhash64(F.coalesce(whole, by_top, F.lit("")))
+    names = sorted({path.partition("[]")[0] for layout in LAYOUTS for path in layout.paths})
 
+    def parsed(kind: str) -> Column:
+        return F.from_json(record, ", ".join(f"`{name}` {kind}" for name in names), WHOLE)
 
-def _shape(schema: Column) -> Column:
-    return F.regexp_replace(schema, r": (STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\([^)]*\))", ": VALUE")
+    objects, lists, elements = parsed("map<string,string>"), parsed("array<string>"), parsed("array<map<string,string>>")
+    none = F.array().cast("array<string>")
+
+    def below(prefix: str, fields: Column) -> Column:
+        return F.coalesce(F.transform(fields, lambda field: F.concat(F.lit(prefix), field)), none)
+
+    paths = [F.coalesce(F.json_object_keys(record), none)]
+    for name in names:
+        paths += [
+            below(f"{name}.", F.map_keys(objects[name])),
+            F.when(lists[name].isNotNull(), F.array(F.lit(f"{name}[]"))).otherwise(none),
+            below(f"{name}[].", F.flatten(F.transform(elements[name], F.map_keys))),
+        ]
+    return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(F.concat(*paths))), "\n"))
 
 
 def _expected(layout: Layout) -> str:
-    """The shape text of a layout's records."""
-    inner: dict[str, list[str]] = {}
-    for path in layout.paths:
-        name, _, field = path.partition("[].")
-        inner.setdefault(name, [])
-        if field:
-            inner[name].append(field)
-    parts = []
-    for name in sorted(inner):
-        if inner[name]:
-            fields = ", ".join(f"{f}: VALUE" for f in sorted(inner[name]))
-            parts.append(f"{name}: ARRAY<OBJECT<{fields}>>")
-        elif layout.each and name == layout.each[0]:
-            parts.append(f"{name}: ARRAY<VOID>")
-        else:
-            parts.append(f"{name}: VALUE")
-    return f"OBJECT<{', '.join(parts)}>"
+    """The paths of a layout's records, as they are hashed."""
+    own = {f"{layout.each[0]}[]"} if layout.each else set()
+    return "\n".join(sorted({*layout.paths, *own}))
 
 
 def _role(name: Column, field: str) -> Column:
@@ -115,11 +112,11 @@ def _mapped(layout: Layout, record: Column) -> Column:
         array, role, text = layout.each
         kind = f"struct<{array}:array<struct<`{role}`:string,`{text}`:string>>>"
         return F.transform(
-            F.from_json(record, kind)[array],
+            F.from_json(record, kind, WHOLE)[array],
             lambda t: F.struct(_role(t[role], role).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")),
         )
     kind = ",".join(f"`{path}` string" for path in dict.fromkeys(p for _, p in layout.turns))
-    values = F.from_json(record, kind)
+    values = F.from_json(record, kind, WHOLE)
     return F.array(
         *(
             F.struct(F.lit(role).alias("role"), F.coalesce(values[path], F.lit("")).alias("text"))
@@ -154,21 +151,14 @@ def unescape(text: Column) -> Column:
 
 def format_turns(chats: DataFrame) -> DataFrame:
     """Adds formatted and loss_spans from turns."""
-    written = F.transform(
-        "turns",
-        lambda t: F.struct(
-            t["role"].alias("role"),
-            F.concat(F.lit(START), escape(t["role"]), F.lit(SEP)).alias("head"),
-            escape(t["text"]).alias("body"),
-        ),
-    )
-    pieces = F.transform("written", lambda t: F.concat(t["head"], t["body"], F.lit(END)))
+    head = lambda t: F.concat(F.lit(START), escape(t["role"]), F.lit(SEP))
+    pieces = F.transform("turns", lambda t: F.concat(head(t), escape(t["text"]), F.lit(END)))
     lengths = F.transform(
-        "written",
+        "turns",
         lambda t: F.struct(
             t["role"].alias("role"),
-            F.length(t["head"]).cast("long").alias("head"),
-            F.length(t["body"]).cast("long").alias("body"),
+            F.length(head(t)).cast("long").alias("head"),
+            F.length(escape(t["text"])).cast("long").alias("body"),
         ),
     )
     kind = "struct<at:bigint,spans:array<struct<start:bigint,length:bigint>>>"
@@ -182,12 +172,8 @@ def format_turns(chats: DataFrame) -> DataFrame:
         .otherwise(acc["spans"])
         .alias("spans"),
     )
-    return (
-        chats.withColumn("written", written)
-        .withColumn("formatted", F.array_join(pieces, ""))
-        .withColumn("loss_spans", F.aggregate(lengths, zero.cast(kind), step)["spans"])
-        .drop("written")
-    )
+    spans = F.aggregate(lengths, zero.cast(kind), step)["spans"]
+    return chats.withColumns({"formatted": F.array_join(pieces, ""), "loss_spans": spans})
 
 
 def read_turns(formatted: Column) -> Column:

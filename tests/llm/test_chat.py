@@ -36,6 +36,38 @@ def test_layouts(spark):
     assert chat.canonical_turns(records.limit(0)).count() == 0
 
 
+def test_texts_beyond_the_limit_of_json_parsers(spark):
+    """20,000,001 characters, in every kind of layout."""
+    long = F.repeat(F.lit("x"), 20_000_001)
+    heads = ['{"prompt":"q","response":"', '{"messages":[{"role":"assistant","content":"', '{"conversations":[{"from":"gpt","value":"']
+    ends = ['"}', '"}]}', '"}]}']
+    rows = spark.createDataFrame([(k, h, e) for k, (h, e) in enumerate(zip(heads, ends))], "conv_id int, a string, b string")
+    records = rows.select("conv_id", F.concat("a", long, "b").alias("record"))
+    got = chat.chat_digests(chat.format_turns(chat.canonical_turns(records))).collect()
+    assert [(r.n_turns, r.loss_chars) for r in sorted(got)] == [(2, 20_000_001), (1, 20_000_001), (1, 20_000_001)]
+    turns = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant"), (2, 0, "assistant")], "conv_id int, turn int, role string")
+    records = chat.records_of_turns(turns.withColumn("text", long))
+    got = chat.chat_digests(chat.format_turns(chat.canonical_turns(records))).collect()
+    assert {r.conv_id: (r.n_turns, r.loss_chars) for r in got} == {1: (2, 20_000_001), 2: (1, 20_000_001)}
+    small = spark.createDataFrame([(h + "x" + e,) for h, e in zip(heads, ends)], "record string")
+    kinds = [chat.canonical_turns(t).select("fingerprint").distinct() for t in (small, rows.select(F.concat("a", long, "b").alias("record")))]
+    assert kinds[0].exceptAll(kinds[1]).isEmpty() and kinds[0].count() == 3
+
+
+def test_layouts_differ_by_what_is_nested(spark):
+    rows = ['{"prompt": "x", "response": "y"}', '{"prompt": {"a": 1}, "response": "y"}', '{"prompt": ["x"], "response": "y"}']
+    rows += ['{"messages": [{"role": "user", "content": "x", "name": "n"}]}', '{"messages": "text"}', '{"messages": ["text"]}', "[1]"]
+    out = chat.canonical_turns(spark.createDataFrame([(r,) for r in rows], "record string"))
+    assert [r.turns is None for r in out.collect()] == [False] + [True] * 6
+    assert out.select("fingerprint").distinct().count() == 7
+
+
+def test_columns_named_like_helpers_stay(spark):
+    records = spark.createDataFrame([('{"messages": []}', "mine", "old")], "record string, written string, formatted string")
+    row = chat.format_turns(chat.canonical_turns(records)).first()
+    assert (row.written, row.formatted, row.turns, row.loss_spans) == ("mine", "", [], [])
+
+
 PIECES = list("<[|]>\\/sINT é\n") + ["<|im_end|>", "<|im_sep|>", "</s>", "<\\"]
 TEXTS = st.lists(st.sampled_from(PIECES), max_size=12).map("".join)
 
