@@ -52,6 +52,8 @@ class Hashes:
 class Items:
     """A block of the benchmark: for every run of words the places where it occurs."""
 
+    VALUES = ("min_match", "sizes", "ids", "item", "place", "keys", "first", "count", "maybe")
+
     def __init__(self, ids: list[int], texts: pa.Array, min_match: int = MIN_MATCH):
         self.min_match = min_match
         hashes, sizes = [np.zeros(0, np.uint64)], []
@@ -73,6 +75,17 @@ class Items:
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
         self.maybe[self.keys >> np.uint64(64 - FILTER_BITS)] = True
 
+    @classmethod
+    def of_values(cls, values: tuple) -> Items:
+        items = cls.__new__(cls)
+        for name, value in zip(cls.VALUES, values):
+            setattr(items, name, value)
+        return items
+
+    def values(self) -> tuple:
+        """Plain arrays, which a task reads without this package."""
+        return tuple(getattr(self, name) for name in self.VALUES)
+
     def seeds(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the gram, item, place in the item) of every equal pair."""
         hits = np.flatnonzero(self.maybe[grams >> np.uint64(64 - FILTER_BITS)])
@@ -170,13 +183,13 @@ def contaminated(
     names = ["item_id", "item_words", "matched_words", "n_tiles", "longest_tile", "coverage"]
     out = None
     for items in benchmark_blocks(benchmark, min_match):
-        shared = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast(items.values())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hashes = Hashes()
+            hashes, known = Hashes(), Items.of_values(shared.value)
             for batch in batches:
                 with np.errstate(over="ignore"):
-                    found = list(_matches(shared.value, hashes, batch.column("text"), least))
+                    found = list(_matches(known, hashes, batch.column("text"), least))
                 columns = np.array(found, np.int64).reshape(-1, 7)
                 ids = batch.column("doc_id").take(pa.array(columns[:, 0]))
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns[:, 1:].T)], ["doc_id", *names])
@@ -193,14 +206,14 @@ def clean_documents(
     spark = docs.sparkSession
     nested = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
     for items in benchmark_blocks(benchmark, min_match):
-        shared = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast(items.values())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hashes = Hashes()
+            hashes, known = Hashes(), Items.of_values(shared.value)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 with np.errstate(over="ignore"):
-                    for found in _matches(shared.value, hashes, batch.column("text"), least):
+                    for found in _matches(known, hashes, batch.column("text"), least):
                         keep[found[0]] = False
                 yield batch.filter(pa.array(keep))
 
