@@ -266,13 +266,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """Per document with a line: n_lines, n_removed, kept_chars and the numbers of the removed lines."""
+    """Per document: n_lines (with a word), n_removed, kept_chars and the numbers of the removed lines; all zero and an
+    empty text for a document without such a line."""
     gone = F.array_join(F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line_no")))), ",")
+    lines = removed_lines(docs)
+    none = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in ("line_no", "n_chars", "removed")]
+    every = lines.unionByName(docs.select("doc_id", *none).distinct())
     return (
-        removed_lines(docs)
-        .groupBy("doc_id")
+        every.groupBy("doc_id")
         .agg(
-            F.count(F.lit(1)).alias("n_lines"),
+            F.count("line_no").alias("n_lines"),
             F.count_if("removed").alias("n_removed"),
             F.sum(F.when(~F.col("removed"), F.col("n_chars")).otherwise(0)).alias("kept_chars"),
             gone.alias("removed_lines"),
@@ -281,12 +284,12 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents with `text` less its removed lines; all other columns stay."""
-    gone = (
-        removed_lines(docs).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    )
-    joined = docs.join(gone.select(F.struct("doc_id").alias("gone_key"), "gone"), F.struct("doc_id").eqNullSafe(F.col("gone_key")), "left")
-    numbers = F.transform(F.split("text", "\n"), lambda line, k: F.struct(line.alias("line"), k.cast("long").alias("k")))
+    """The documents with `text` less its removed lines; all other columns stay, whatever their names are."""
+    gone = removed_lines(docs).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"))
+    joined = rows.join(gone, F.struct(F.col("row")["doc_id"]).eqNullSafe(F.struct(F.col("doc_id"))), "left")
+    text = F.col("row")["text"]
+    numbers = F.transform(F.split(text, "\n"), lambda line, k: F.struct(line.alias("line"), k.cast("long").alias("k")))
     left = F.filter(numbers, lambda x: ~F.array_contains(F.col("gone"), x["k"]))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda x: x["line"]), "\n"))
-    return joined.withColumn("text", text).drop("gone_key", "gone")
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda x: x["line"]), "\n"))
+    return joined.select(*(kept.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -54,9 +54,9 @@ def test_removed_lines_equal_brute_force(spark, monkeypatch, hot, block):
 
 def test_report_and_texts(spark):
     rows = [(1, "a b\n\nc d e", "en", "s", 0), (2, "B a\nnew line\n\nc d e", "en", "s", 0), (3, None, "en", "s", 0)]
-    docs = frame(spark, rows).withColumn("line_no", F.lit("x")).withColumn("gone", F.lit(1)).drop("gone")
+    docs = frame(spark, rows).withColumn("line_no", F.lit("x")).withColumn("gone", F.lit(1)).withColumn("row", F.lit(2))
     report = {r.doc_id: (r.n_lines, r.n_removed, r.kept_chars, r.removed_lines) for r in ld.line_report(docs).collect()}
-    assert report == {1: (2, 0, 8, ""), 2: (3, 2, 8, "0,3")}
+    assert report == {1: (2, 0, 8, ""), 2: (3, 2, 8, "0,3"), 3: (0, 0, 0, "")}
     out = ld.dedup_lines(docs)
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "a b\n\nc d e", 2: "new line\n", 3: None}
