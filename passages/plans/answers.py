@@ -14,6 +14,7 @@ from passages.functions.text import strip
 from passages.operators.context import answer_records, build_prompts, fit_budget, gather
 from passages.operators.embed import Model, batch_infer
 from passages.operators.fuse import hybrid_search
+from passages.operators.inference_log import infer_logged
 from passages.operators.lexical import LexicalIndex
 from passages.operators.rerank import NaiveBayesTable, classify, rerank
 
@@ -64,17 +65,23 @@ def answer_queries(
     index: LexicalIndex | None = None,
     config: RetrievalConfig = ASK,
     build_model: Callable[[], Model] | None = None,
+    log: str | None = None,
+    model: str = "model",
     **retrieval,
 ) -> DataFrame:
     """(query_id, question, sources, document_ids, answer), one row per query that is not blank.
 
     Blank and null questions are set aside first; `split_blank` gives them. Without a model the
-    answer is the prompt itself, ready for one.
+    answer is the prompt itself, ready for one. With `log`, a folder, replies are kept by the digest of `model` (its name)
+    and prompt, and a prompt that was answered before is not asked again.
     """
     queries, _ = split_blank(queries)
     hits = retrieve(queries, points, index, config, **retrieval)
     prompts = build_prompts(queries, gather(hits))
     if build_model is None:
         return answer_records(prompts, "prompt")
-    answered = batch_infer(prompts, build_model, "prompt", "reply", T.StringType())
+    if log is None:
+        answered = batch_infer(prompts, build_model, "prompt", "reply", T.StringType())
+    else:
+        answered = infer_logged(prompts, build_model, "prompt", "reply", T.StringType(), log, model)
     return answer_records(answered, "reply")

@@ -39,3 +39,24 @@ ANSWERS = T.StructType(
         T.StructField("answer", T.StringType()),
     ]
 )
+
+FILES = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("modificationTime", T.TimestampType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("content", T.BinaryType()),
+    ]
+)
+
+REPORT = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("n_chunks", T.LongType()),
+        T.StructField("n_valid", T.LongType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("ingest_batch", T.LongType()),
+    ]
+)

@@ -2,6 +2,7 @@
 
     <path>/meta     one row per version: data folder, dimension, metric
     <path>/<data>   points, partitioned by ingest_batch
+    <path>/<data>-ranges   of compacted points: first and last id and number of rows of every file
 
 Writing a batch again replaces that batch, so a retry changes nothing; batch numbers give the
 order in which writes count. Compaction writes a new data folder, all of it in batch -1, and then
@@ -147,16 +148,49 @@ def compact(spark: SparkSession, path: str) -> None:
     meta = _existing(spark, path)
     version = meta.version + 1
     folder = f"points-{version}"
+    # Ranges of ids: a page of ids lies in few files, and files are told apart by their smallest and largest id.
     (
         read_points(spark, path)
         .withColumn("ingest_batch", F.lit(BASE_BATCH))
+        .repartitionByRange("id")
+        .sortWithinPartitions("id")
         .write.mode("overwrite")
         .partitionBy("ingest_batch")
         .parquet(f"{path}/{folder}")
     )
+    written = spark.read.schema(POINTS).parquet(f"{path}/{folder}").select(F.input_file_name().alias("file"), "id")
+    ranges = written.groupBy("file").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("id").alias("n"))
+    ranges.write.mode("overwrite").parquet(f"{path}/{folder}-ranges")
     _append_meta(spark, path, version, folder, meta.dim, meta.metric)
 
 
+def scroll_page(spark: SparkSession, path: str, cursor: str | None = None, limit: int = SCROLL_LIMIT) -> DataFrame:
+    """`scroll` of a stored collection. Of a compacted one without later batches, only the files that hold the page are
+    read: that of the cursor and, as each has its row count, as many after it as the page can reach into."""
+    data_dir = _existing(spark, path).data_dir
+    if not _is_compacted(spark, path):
+        return scroll(read_points(spark, path), cursor, limit)
+    ranges = spark.read.parquet(f"{path}/{data_dir}-ranges")
+    ahead = ranges if cursor is None else ranges.where(F.col("last") >= cursor)
+    files, rows = [], 0
+    # A file has a row at least, so the page and its next cursor lie in the first limit + 2 files.
+    for r in ahead.orderBy("first").limit(limit + 2).collect():
+        files.append(r.file)
+        rows += r.n if len(files) > 1 or cursor is None else 0  # rows of the first file may lie before the cursor
+        if rows > limit:
+            break
+    points = spark.read.schema(POINTS).parquet(*files) if files else spark.createDataFrame([], POINTS)
+    return scroll(points, cursor, limit)
+
+
+def _is_compacted(spark: SparkSession, path: str) -> bool:
+    """Whether all rows are those of the last compaction."""
+    log = _log(spark, path)
+    if _existing(spark, path).version == 0:
+        return False
+    return log.where(F.col("ingest_batch") > BASE_BATCH).select("ingest_batch").isEmpty()
+
+
 def all_documents(points: DataFrame) -> DataFrame:
     """(id, text, source); a missing source reads "Unknown"."""
     return points.select("id", "text", known_source().alias("source"))
