@@ -341,6 +341,15 @@ ORACLE_SQL: dict[str, str] = {
               FROM chunk WHERE id >= '8')
         WHERE r <= 100""",
     ),
+    "scroll_compacted": _query(
+        "chunk",
+        """SELECT id, md5(text) AS text_md5, source, next_cursor
+        FROM (SELECT *, row_number() OVER (ORDER BY id) AS r,
+                nth_value(id, 101) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+                  AS next_cursor
+              FROM chunk WHERE id >= '8')
+        WHERE r <= 100""",
+    ),
     "all_documents": _query("chunk", "SELECT id, md5(text) AS text_md5, source FROM chunk"),
     "upsert_latest": """SELECT doc_id AS id,
             md5(CASE WHEN quality IS NULL THEN text ELSE text || ' ' || quality END) AS text_md5,
@@ -361,6 +370,10 @@ ORACLE_SQL: dict[str, str] = {
             (length(text) - length(replace(text, chr(10), '')))::DOUBLE AS v2,
             ('0x' || md5(text)[1:2])::INTEGER::DOUBLE AS v3, NULL::VARCHAR AS error
         FROM documents""",
+    "embed_logged": """SELECT doc_id, length(text)::DOUBLE AS v0, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS v1,
+            (length(text) - length(replace(text, chr(10), '')))::DOUBLE AS v2,
+            ('0x' || md5(text)[1:2])::INTEGER::DOUBLE AS v3, NULL::VARCHAR AS error
+        FROM documents""",
     "embed_batch_failure": _query(
         "judged", "SELECT id AS chunk_id, source, error IS NULL AS valid, error FROM judged"
     ),

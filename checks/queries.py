@@ -7,12 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passages.config import ASK, INGEST, SERVICE, RetrievalConfig
 from passages.functions import classify as labels
 from passages.functions import text as tx
 from passages.operators import chunk, context, embed, fuse, lexical, postings, quantized, rerank, vector
+from passages.operators.inference_log import infer_logged
 from passages.plans import answers, ingest
+from passages.session import new_folder
 from passages.sources import collection, files, pages, tables
 
 DIM = 64
@@ -133,6 +136,17 @@ def scroll_page(spark, sf):
     return page.select("id", digest(), "source", "next_cursor")
 
 
+def scroll_compacted(spark, sf):
+    """The same page of a collection that is stored and compacted: read from the files that hold it."""
+    path = new_folder(spark, "collection")
+    collection.ensure_collection(spark, path, 1)
+    points = _stored_chunks(spark, sf).select("id", F.array(F.lit(1.0).cast("float")).alias("embedding"), "text", "source")
+    collection.upsert(points, path, 0)
+    collection.compact(spark, path)
+    page = collection.scroll_page(spark, path, "8")
+    return page.select("id", digest(), "source", "next_cursor")
+
+
 def all_documents(spark, sf):
     return collection.all_documents(_stored_chunks(spark, sf)).select("id", digest(), "source")
 
@@ -197,6 +211,15 @@ def embed_model(spark, sf):
     return done.select("doc_id", *(F.col("embedding")[k].cast("double").alias(f"v{k}") for k in range(MEASURES)), "error")
 
 
+def embed_logged(spark, sf):
+    """Vectors by way of the log: the second run finds every text there."""
+    log, kind = new_folder(spark, "log"), T.ArrayType(T.FloatType())
+    docs = documents(spark, sf)
+    for _ in range(2):
+        done = infer_logged(docs, measuring_embedder, "text", "embedding", kind, log, "measures", error_col="error")
+    return done.select("doc_id", *(F.col("embedding")[k].cast("double").alias(f"v{k}") for k in range(MEASURES)), "error")
+
+
 def embed_batch_failure(spark, sf):
     done = ingest.embedded_chunks(documents(spark, sf), INGEST, refusing_embedder, MEASURES)
     return done.select("chunk_id", "source", F.col("embedding").isNotNull().alias("valid"), "error")
@@ -541,6 +564,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         page_concat,
         page_chunks,
         scroll_page,
+        scroll_compacted,
         all_documents,
         upsert_latest,
         chunk_fixed,
@@ -548,6 +572,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_recursive_invariants,
         embed_hash,
         embed_model,
+        embed_logged,
         embed_batch_failure,
         valid_embeddings,
         vector_topk,

@@ -123,11 +123,18 @@ def recursive_points(
     build_model: BuildModel | None = None,
 ) -> DataFrame:
     """Recursive chunks, embedded: the points of the index build, with `error` where there is no vector."""
-    chunks = with_chunk_ids(chunk_recursive(_named(docs), config.chunk_size, config.chunk_overlap))
-    embedded = embed_with(chunks, build_model, size=dim)
+    embedded = recursive_chunks(docs, config, build_model, dim)
     return as_points(embedded if build_model is None else cut_lineage(embedded))
 
 
+def recursive_chunks(
+    docs: DataFrame, config: RetrievalConfig = ASK, build_model: BuildModel | None = None, dim: int = VECTOR_SIZE
+) -> DataFrame:
+    """Recursive chunks with `embedding`, and `error` where there is none; a text that is refused costs only itself."""
+    chunks = with_chunk_ids(chunk_recursive(_named(docs), config.chunk_size, config.chunk_overlap))
+    return embed_with(chunks, build_model, size=dim)
+
+
 def build_index(
     docs: DataFrame,
     path: str,
@@ -210,9 +217,45 @@ def ingest_folder(
     (doc_id, source, n_chunks, n_valid, status), one row per file: doc_id stands for the path, so files of one name are
     apart. Texts and vectors are made once.
     """
+    return _store_folder(
+        spark, root, path, build_reader, suffix, batch, dim, metric,
+        lambda docs: embedded_chunks(docs, config, build_model, dim),
+    )
+
+
+def index_folder(
+    spark: SparkSession,
+    root: str,
+    path: str,
+    build_reader: BuildModel,
+    suffix: str = ".pdf",
+    config: RetrievalConfig = ASK,
+    batch: int = 0,
+    dim: int = VECTOR_SIZE,
+    metric: str = "cosine",
+    build_model: BuildModel | None = None,
+) -> DataFrame:
+    """Folder in, index out: as `ingest_folder`, with the recursive chunks of `build_index`."""
+    return _store_folder(
+        spark, root, path, build_reader, suffix, batch, dim, metric,
+        lambda docs: recursive_chunks(docs, config, build_model, dim),
+    )
+
+
+def _store_folder(
+    spark: SparkSession,
+    root: str,
+    path: str,
+    build_reader: BuildModel,
+    suffix: str,
+    batch: int,
+    dim: int,
+    metric: str,
+    embedded: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
     scan = files.scan_files(spark, root, suffix)
     texts = cut_lineage(files.read_texts(scan, build_reader))
-    chunks = cut_lineage(embedded_chunks(texts.select("doc_id", "text", "source"), config, build_model, dim))
+    chunks = cut_lineage(embedded(texts.select("doc_id", "text", "source")))
     collection.ensure_collection(spark, path, dim, metric)
     collection.upsert(as_points(chunks), path, batch)
     empty = files.empty_files(scan).select(

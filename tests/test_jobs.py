@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passages.config import ASK
 from passages.operators import inference_log
+from passages.operators.chunk import split_recursive
 from passages.operators.inference_log import infer_logged, read_log
 from passages.plans.answers import answer_queries
+from passages.plans.ingest import index_folder
 from passages.sources import collection
 from passages.streaming.ingest import outcomes, stream_folder
 
@@ -139,6 +142,24 @@ def test_pages_of_a_compacted_collection(spark, compacted):
     assert pages(spark, compacted, 150) == sorted([f"{i:04d}" for i in range(400)] + ["0001x"])
 
 
+def test_a_folder_becomes_an_index_in_one_call(spark, tmp_path):
+    root, path = tmp_path / "in", str(tmp_path / "points")
+    (root / "deep").mkdir(parents=True)
+    texts = {"one.pdf": "first paragraph here\n\n" + "word " * 150, "deep/two.pdf": "short"}
+    for name, text in texts.items():
+        (root / name).write_bytes(text.encode())
+    (root / "bad.pdf").write_bytes(b"\xff")
+    (root / "none.pdf").write_bytes(b"")
+    report = index_folder(spark, str(root), path, lambda: lambda contents: [bytes(c).decode() for c in contents])
+    told = {r.source: (r.n_chunks, r.n_valid, r.status) for r in report.collect()}
+    parts = {k.rsplit("/", 1)[-1]: split_recursive(t, ASK.chunk_size, ASK.chunk_overlap) for k, t in texts.items()}
+    assert told == {k: (len(v), len(v), "stored") for k, v in parts.items()} | {
+        "bad.pdf": (0, 0, "error"), "none.pdf": (0, 0, "no text")
+    }
+    stored = {(r.source, r.text) for r in collection.read_points(spark, path).collect()}
+    assert stored == {(k, text) for k, v in parts.items() for text in v} and len(parts["one.pdf"]) > 1
+
+
 def test_a_replayed_stream_leaves_what_one_run_leaves(spark, tmp_path):
     root, path, state = tmp_path / "in", str(tmp_path / "points"), tmp_path / "state"
     (root / "deep").mkdir(parents=True)
