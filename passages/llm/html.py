@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -67,7 +68,8 @@ NOT_ITSELF = re.compile(r"(?<!\S)(?:(?:no|non|has|have|with|without)[_-]\S*|comm
 ARTICLE_TAGS = frozenset(["article", "main"])
 PARAGRAPHS = frozenset("p td pre blockquote li dd h1 h2 h3 h4 h5 h6".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^<>]*\Z", re.S)
+SPECIAL = re.compile(r"[>\"']")
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>]|$)""", re.I)
 WHITE = re.compile(r"\s+")
@@ -120,6 +122,66 @@ def _side_words(markup: str) -> str:
     return " ".join(v for v in values if SIDE_WORDS.search(v))
 
 
+class Tokens:
+    """The tags, comments and declarations of a page, each place of which is looked at a bounded number of times.
+
+    A tag ends at the first > outside of quotes; one that does not end is text. The places outside of
+    quotes that a tag without an end has passed are remembered: a tag that begins or comes there has no end either.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.endless: bytearray | None = None
+
+    def after(self, at: int) -> tuple[int, int] | None:
+        """Start and end of the next one from a place on."""
+        page = self.page
+        start = page.find("<", at)
+        while start >= 0:
+            end = self._end(start)
+            if end:
+                return start, end
+            start = page.find("<", start + 1)
+        return None
+
+    def _end(self, start: int) -> int:
+        page, first = self.page, self.page[start + 1 : start + 2]
+        if first in LETTERS or first == "/" and page[start + 2 : start + 3] in LETTERS:
+            end = self._tag_end(start + (2 if first != "/" else 3))
+            if end or page.find("<", start + 1) >= 0 or page.find(">", start + 1) >= 0:
+                return end
+            return len(page)
+        if first not in ("!", "?"):
+            return 0
+        close, skip = ">", 2
+        if page.startswith("<!--", start):
+            close, skip = "-->", 4
+        elif page.startswith("<![CDATA[", start):
+            close, skip = "]]>", 9
+        end = page.find(close, start + skip)
+        return end + len(close) if end >= 0 else len(page)
+
+    def _tag_end(self, at: int) -> int:
+        page, passed = self.page, []
+        while at < len(page) and not (self.endless and self.endless[at]):
+            found = SPECIAL.search(page, at)
+            if not found:
+                passed.append((at, len(page)))
+                break
+            if found[0] == ">":
+                return found.end()
+            passed.append((at, found.end()))
+            close = page.find(found[0], found.end())
+            if close < 0:
+                break
+            at = close + 1
+        if self.endless is None:
+            self.endless = bytearray(len(page))
+        for a, b in passed:
+            self.endless[a:b] = b"\x01" * (b - a)
+        return 0
+
+
 class Tree:
     """Elements and text blocks of a page, in page order."""
 
@@ -130,14 +192,15 @@ class Tree:
         self.here = self.root
         self.pending: list[tuple[Element, str, bool]] = []
         self.links = 0
-        at = 0
+        self.open: Counter[str] = Counter()
+        at, tokens = 0, Tokens(page)
         while at < len(page):
-            found = TOKEN.search(page, at)
-            self._text(page[at : found.start() if found else len(page)])
+            found = tokens.after(at)
+            self._text(page[at : found[0] if found else len(page)])
             if not found:
                 break
-            at = found.end()
-            markup = found[0]
+            at = found[1]
+            markup = page[found[0] : at]
             if markup[1] in "!?":
                 continue
             tag = NAME.match(markup)[1].lower()
@@ -189,15 +252,19 @@ class Tree:
             end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
             return end.end() if end else len(page)
         self.here = element
+        self.open[tag] += 1
         self.links += tag == "a"
         return at
 
     def _leave(self) -> None:
         self.links -= self.here.tag == "a"
+        self.open[self.here.tag] -= 1
         self.here = self.here.parent
 
     def _close_to(self, tags: set[str], fence: set[str]) -> None:
         """Closes the nearest open element of these tags, unless a fence stands before it."""
+        if not any(self.open[tag] for tag in tags):
+            return
         up = self.here
         while up is not self.root and up.tag not in tags and up.tag not in fence:
             up = up.parent
@@ -210,6 +277,8 @@ class Tree:
     def _close(self, tag: str) -> None:
         if tag in BLOCK:
             self._end_block()
+        if not self.open[tag]:
+            return
         up = self.here
         while up is not self.root and up.tag != tag:
             # The end of an inline element does not end the block around it.
@@ -304,7 +373,7 @@ def main_text(page: str | None) -> str:
         if holder.parent is not None:
             holder.parent.score += points / 2
             scored[id(holder.parent)] = holder.parent
-    _gather(blocks)
+    _gather(tree, blocks)
     density = lambda e: e.link_chars / e.chars if e.chars else 0.0
     # Page order decides between equal scores; the root stands for a page without any container.
     best = max(scored.values(), key=lambda e: e.score * (1 - min(1.0, density(e))))
@@ -325,24 +394,22 @@ def main_text(page: str | None) -> str:
             plain = sibling.chars > 0 and density(sibling) < 0.25 and not of_page
             if sibling is not best and not sibling.side and (sibling.score * (1 - density(sibling)) >= least or plain):
                 kept.add(id(sibling))
-    out = []
-    for block in blocks:
-        up = block.element
-        while up is not None and id(up) not in kept:
-            up = up.parent
-        if up is not None:
-            out.append(block.text)
-    return "\n".join(out)
+    inside: set[int] = set()
+    for e in tree.elements:  # in page order, so after those around them
+        if id(e) in kept or e.parent is not None and id(e.parent) in inside:
+            inside.add(id(e))
+    return "\n".join(block.text for block in blocks if id(block.element) in inside)
 
 
-def _gather(blocks: list[Block]) -> None:
+def _gather(tree: Tree, blocks: list[Block]) -> None:
     """Characters and link characters of every element with all inside it."""
     for block in blocks:
-        up = block.element
-        while up is not None:
-            up.chars += len(block.text)
-            up.link_chars += min(block.link_chars, len(block.text))
-            up = up.parent
+        block.element.chars += len(block.text)
+        block.element.link_chars += min(block.link_chars, len(block.text))
+    for e in reversed(tree.elements):  # what is inside an element comes after it
+        if e.parent is not None:
+            e.parent.chars += e.chars
+            e.parent.link_chars += e.link_chars
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 import re
+import time
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from passages.llm.html import extract, main_text
+from passages.llm.html import Tokens, extract, main_text
 from passages.llm.queries import QUERIES
 
 LONG = "A sentence of the article, long enough to count, with commas, and more words than a menu has. " * 3
@@ -77,3 +80,40 @@ def test_odd_tables(spark):
     assert out.columns == ["page_id", "text", "main_text"]
     assert sorted(r.main_text for r in out.collect()) == ["", "x", "x"]
     assert extract(pages.limit(0)).count() == 0
+
+
+#: What a token is, as one pattern (which looks at places again and again).
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^<>]*\Z",
+    re.S,
+)
+
+
+@settings(max_examples=2_000, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "/", "a", "b ", '"', "'", "!", "-", "--", "[CDATA[", "]]", "?", "<a", "</p", "\n", "="]), max_size=25))
+def test_tokens_equal_the_pattern(parts):
+    page = "".join(parts)
+    tokens, at, found = Tokens(page), 0, []
+    while (token := tokens.after(at)) is not None:
+        found.append(token)
+        at = token[1]
+    assert found == [m.span() for m in TOKEN.finditer(page)]
+
+
+def test_hostile_pages_take_seconds():
+    pages = ["<div>x " * 150_000, '<a "' * 250_000, '<a "' * 250_000 + '>"', "<a ' " * 200_000 + '"', "<a " * 300_000 + '"']
+    pages += ["<div>x " * 60_000 + "</section>" * 60_000, "<ul><li>x " * 60_000, "<b>x " * 60_000 + "</i>" * 60_000]
+    for page in pages:
+        began = time.time()
+        main_text(page)
+        assert time.time() - began < 20, page[:20]
+
+
+def test_scores_decide_where_no_tag_does():
+    """Two containers without article, main or telling classes: length, commas and links decide."""
+    links = "".join(f'<p><a href="/{k}">A headline, with commas, and a good many words in it, number {k}</a></p>' for k in range(40))
+    story = "".join(f"<p>{LONG}</p>" for _ in range(3))
+    page = f'<html><body><div id="x1">{links}</div><div id="x2">{story}</div><div id="x3"><a href="/">One more link</a></div></body></html>'
+    assert main_text(page) == "\n".join([LONG.strip()] * 3)
+    deeper = f'<body><table><tr><td><div>{links}</div></td><td><div><div>{story}</div></div></td></tr></table></body>'
+    assert main_text(deeper) == "\n".join([LONG.strip()] * 3)
