@@ -142,9 +142,9 @@ def plan_mix(sized: DataFrame, shards: int = SHARDS, limit: int = LIMIT) -> Plan
         .groupBy("source", "bucket")
         .agg(F.sum("size").alias("in_bucket"))
         .withColumn("bucket_start", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)))
-        .select(F.struct("source", "bucket").alias("bucket_key"), "bucket_start")
+        .select(_key("source").alias("source_key"), "bucket", "bucket_start")
     )
-    return Plan(found.select(F.struct("source").alias("source_key"), *found.columns[1:]), starts, bits)
+    return Plan(found.select(_key("source").alias("source_key"), *found.columns[1:]), starts, bits)
 
 
 def _place() -> Column:
@@ -155,28 +155,32 @@ def _bucket(bits: int) -> Column:
     return F.shiftright(_place(), 62 - bits) if bits else F.lit(0).cast("long")
 
 
+def _key(source: str) -> Column:
+    """The source as a join key, in which a null equals another."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
+
+
 def place_documents(sized: DataFrame, plan: Plan) -> DataFrame:
     """sized(doc_id, source, size, ...) with the quotas of its source and `begin`, the number of
     words before the document in its source.
 
-    Structs are the join keys, as a null inside a struct equals another.
+    Rows move once: the window and the join with the starts of the buckets have the same keys.
     """
     inside = (
-        W.partitionBy("source", "bucket").orderBy(_place(), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy("source_key", "bucket").orderBy(_place(), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     )
     ordered = (
         sized.withColumn("bucket", _bucket(plan.bits))
+        .withColumn("source_key", _key("source"))
         .withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .withColumn("source_key", F.struct("source"))
-        .withColumn("bucket_key", F.struct("source", "bucket"))
     )
     few = plan.quotas.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     found = F.broadcast(plan.quotas) if few else plan.quotas
     return (
-        ordered.join(plan.starts, "bucket_key")
+        ordered.join(plan.starts, ["source_key", "bucket"])
         .withColumn("begin", F.col("bucket_start") + F.col("before"))
         .join(found, "source_key")
-        .drop("bucket", "before", "source_key", "bucket_key", "bucket_start")
+        .drop("bucket", "before", "source_key", "bucket_start")
     )
 
 
