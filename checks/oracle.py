@@ -5,6 +5,8 @@ Named parts are joined into one WITH query per key; every part reads whole table
 
 from __future__ import annotations
 
+from checks.recursive import recursive_sql
+
 # Fixed values shared with the engine under test.
 TOKEN = r"[ \t\n\r]*(?:[\p{L}\p{N}_]+|[^ \t\n\r\p{L}\p{N}_])"
 DOC_TOKENS = (
@@ -360,6 +362,10 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT doc_id, source, chunk_no, length(text)::INTEGER AS n_chars, md5(text) AS text_md5 FROM chunk",
     ),
     "chunk_ids": _query("chunk", "SELECT id AS chunk_id, doc_id, chunk_no FROM chunk"),
+    "chunk_recursive": recursive_sql(500, 50),
+    "build_index_summary": f"""SELECT coalesce(source, 'Unknown') AS source, count(*) AS n_points, count(*) AS n_fitting,
+            max(c.n_chars) AS longest
+        FROM ({recursive_sql(500, 50)}) AS c JOIN documents USING (doc_id) GROUP BY ALL""",
     "chunk_recursive_invariants": r"""SELECT doc_id, true AS within_size, true AS found_in_text,
             md5(regexp_replace(text, '[\s\p{Z}]+', '', 'g')) AS squeezed_md5
         FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]')""",

@@ -177,6 +177,11 @@ def chunk_ids(spark, sf):
     return chunks(spark, sf).select("chunk_id", "doc_id", "chunk_no")
 
 
+def chunk_recursive(spark, sf):
+    cut = chunk.chunk_recursive(documents(spark, sf), 500, 50)
+    return cut.select("doc_id", "chunk_no", F.length("text").alias("n_chars"), digest())
+
+
 def chunk_recursive_invariants(spark, sf):
     docs = documents(spark, sf)
     cut = chunk.chunk_recursive(docs, 500, 50)
@@ -569,6 +574,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         upsert_latest,
         chunk_fixed,
         chunk_ids,
+        chunk_recursive,
         chunk_recursive_invariants,
         embed_hash,
         embed_model,
