@@ -1,6 +1,7 @@
 """Benchmark passages in documents, by greedy string tiling.
 
-Words (lower case, cut at white space and ASCII punctuation) are hashed; every run of MIN_MATCH
+Words (lower case; runs of letters, digits and the marks on them, in any script) are hashed; in scripts that are written
+without spaces every character is a word. Every run of MIN_MATCH
 words of a document is looked up among those of the benchmark (rolling hashes), which gives seeds. For
 a document and an item that share seeds, the longest match of unmarked words is marked in both, again and again,
 until none of MIN_MATCH words is left. The share of the item's words that the tiles cover decides,
@@ -9,13 +10,15 @@ so passages whose sentences were put in another order are caught as well.
 The benchmark is a query set: it is held against all documents in blocks of at most BLOCK_BYTES of
 text, one scan of the documents per block. Documents are never shuffled.
 
-Cases: null and empty texts and items with fewer than MIN_MATCH words match nothing; repeated items are one;
+Cases: null and empty texts, and items with fewer than MIN_MATCH words, match nothing (so short a string is no
+passage: it stands in clean texts); texts of any length are searched whole; repeated items are one;
 rows of the same doc_id are judged each for itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,34 +34,72 @@ LEAST_COVERAGE = 500  # thousandths of the item's words
 BLOCK_BYTES = 8_000_000
 FILTER_BITS = 22
 
-CUT = ta.SPACE.copy()
-CUT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+#: Classes of characters: what parts words, what words are made of, and what is a word by itself.
+PARTS, WITHIN, ALONE = range(3)
+#: Scripts without spaces between words, by first and last code point: Thai, Lao, Tibetan, Myanmar, Khmer, kana, ideographs.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF),
+)
 
 RESULT = "item_id long, item_words long, matched_words long, n_tiles long, longest_tile long, coverage long"
 
 
+def character_classes() -> np.ndarray:
+    """The class of every code point."""
+    found = np.array([chr(c).isalnum() or unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)], np.uint8)
+    for first, last in UNSPACED:
+        found[first : last + 1] *= ALONE
+    return found
+
+
+def cut_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and the number of words before each text (and in all)."""
+    if not (data >= 0x80).any():
+        return ta.runs(classes[data] > 0, offsets)
+    first = np.flatnonzero(ta.code_points(data))
+    padded = np.r_[data, np.zeros(3, np.uint8)].astype(np.int32)
+    b = [padded[first + k] for k in range(4)]
+    tail = [x & 0x3F for x in b]
+    code = np.select(
+        [b[0] < 0x80, b[0] < 0xE0, b[0] < 0xF0],
+        [b[0], (b[0] & 0x1F) << 6 | tail[1], (b[0] & 0x0F) << 12 | tail[1] << 6 | tail[2]],
+        (b[0] & 0x07) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3],
+    )
+    kind = classes[code]
+    within = kind == WITHIN
+    before, after = np.r_[False, within[:-1]], np.r_[within[1:], False]
+    borders = np.searchsorted(first, offsets)
+    filled = np.diff(borders) > 0
+    before[borders[:-1][filled]] = False
+    after[borders[1:][filled] - 1] = False
+    start = first[(kind == ALONE) | within & ~before]
+    end = np.r_[first[1:], len(data)][(kind == ALONE) | within & ~after]
+    return start, end, np.searchsorted(start, offsets)
+
+
 class Hashes:
     """Word hashes of a text column, slice by slice."""
 
-    def __init__(self):
-        self.hasher = ta.Hasher(5)
+    def __init__(self, classes: np.ndarray):
+        self.hasher, self.classes = ta.Hasher(5), classes
 
     def of(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for first, _, data, offsets in ta.slices(pc.utf8_lower(column.fill_null(""))):
-            start, end, before = ta.runs(~CUT[data], offsets)
+            start, end, before = cut_words(data, offsets, self.classes)
             yield first, self.hasher.between(self.hasher.prefix(data), start, end), before
 
 
 class Items:
     """A block of the benchmark: for every run of words the places where it occurs."""
 
-    VALUES = ("min_match", "sizes", "ids", "item", "place", "keys", "first", "count", "maybe")
+    VALUES = ("classes", "min_match", "sizes", "ids", "item", "place", "keys", "first", "count", "maybe")
 
     def __init__(self, ids: list[int], texts: pa.Array, min_match: int = MIN_MATCH):
-        self.min_match = min_match
+        self.min_match, self.classes = min_match, character_classes()
         hashes, sizes = [np.zeros(0, np.uint64)], []
         with np.errstate(over="ignore"):
-            for _, found, before in Hashes().of(texts):
+            for _, found, before in Hashes(self.classes).of(texts):
                 hashes.append(found)
                 sizes.append(np.diff(before))
             self.sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
@@ -186,7 +227,8 @@ def contaminated(
         shared = spark.sparkContext.broadcast(items.values())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hashes, known = Hashes(), Items.of_values(shared.value)
+            known = Items.of_values(shared.value)
+            hashes = Hashes(known.classes)
             for batch in batches:
                 with np.errstate(over="ignore"):
                     found = list(_matches(known, hashes, batch.column("text"), least))
@@ -209,7 +251,8 @@ def clean_documents(
         shared = spark.sparkContext.broadcast(items.values())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hashes, known = Hashes(), Items.of_values(shared.value)
+            known = Items.of_values(shared.value)
+            hashes = Hashes(known.classes)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 with np.errstate(over="ignore"):

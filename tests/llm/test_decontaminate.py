@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from passages.llm import decontaminate as dc
+from passages.llm import text_arrays as ta
 from tests_llm_samples import documents, frame
 
 
@@ -76,6 +77,30 @@ def test_pairs_equal_brute_force(spark):
     assert want
 
 
+def test_words_of_any_script():
+    classes = dc.character_classes()
+    texts = ["Ça, déjà vu — “naïve” text…", "", "日本語のテキスト と words", "हिन्दी पाठ", "x", "тест №5 ёлка", "ภาษาไทย", "a_b-c", "😀 ok", "한국어 문장"]
+    column = pa.array([t.lower() for t in texts])
+    got = []
+    for _, _, data, offsets in ta.slices(column):
+        start, end, before = dc.cut_words(data, offsets, classes)
+        found = [data[a:b].tobytes().decode() for a, b in zip(start, end)]
+        got += [found[a:b] for a, b in zip(before[:-1], before[1:])]
+    assert got[0] == ["ça", "déjà", "vu", "naïve", "text"] and got[1] == [] and got[7] == ["a", "b", "c"] and got[8] == ["ok"]
+    assert got[2] == [*"日本語のテキスト", "と", "words"] and got[6] == list("ภาษาไทย") and got[3] == ["हिन्दी", "पाठ"]
+    assert got[5] == words(texts[5]) and got[9] == words(texts[9]) and got[4] == ["x"]
+
+
+def test_items_of_any_script_are_found(spark):
+    chinese, thai = "这是一个测试问题和它的答案", "นี่คือคำถามทดสอบ"
+    quoted = "She said “never mind” and left – it was late, after all"
+    plain = 'she said "never mind" and left - it was late; after all'
+    rows = [(1, f"前言。{chinese}。后记", None, None, 0), (2, f"a {plain} z", None, None, 0), (3, f"x{thai} y", None, None, 0), (4, "别的文章", None, None, 0)]
+    benchmark = spark.createDataFrame([(1, chinese), (2, quoted), (3, thai)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.coverage) for r in dc.contaminated(frame(spark, rows), benchmark).collect()}
+    assert found == {(1, 1, 1000), (2, 2, 1000), (3, 3, 1000)}
+
+
 def test_clean_documents(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     moved = "zeta eta theta iota kappa, then: Alpha beta gamma delta epsilon"
