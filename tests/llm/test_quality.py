@@ -45,6 +45,22 @@ def test_small_groups_take_the_fences_of_larger_ones(spark):
     assert got == {("=en", "=a"): 50, ("=en", "=b"): 50, ("=fr", "=c"): 50}
 
 
+def test_groups_of_other_clean_levels_have_other_fences(spark):
+    """Prose without symbols, and code in which every text has some: what is junk in one is plain in the other."""
+    prose = [(k, " ".join(f"word{(k * 31 + i * 7) % 997}" for i in range(60)), "en", "prose", 0) for k in range(100)]
+    code = [
+        (1_000 + k, " ".join(f"w{(k * 17 + i * 5) % 997}" + ("=&a" if i % 6 < k % 4 else "") for i in range(60)), "en", "code", 0)
+        for k in range(100)
+    ]
+    strange = [(900, " ".join(f"w{i}" + ("&&" if i % 3 == 0 else "") for i in range(60)), "en", s, 0) for s in ("prose",)]
+    strange += [(901, strange[0][1], "en", "code", 0)]
+    docs = frame(spark, prose + code + strange)
+    fences = {r.source_key: r.high_symbols for r in q.fences(q.sketches(q.measure(docs))).collect()}
+    assert fences["=code"] > 3 * fences["=prose"]
+    kept = {r.doc_id for r in q.quality_report(docs).where("kept").collect()}
+    assert kept == {r[0] for r in prose + code} | {901}
+
+
 def test_odd_tables(spark):
     assert q.quality_report(frame(spark, [])).count() == 0 and q.quality_filter(frame(spark, [])).count() == 0
     got = {r.doc_id: (r.base_failed, r.kept) for r in q.quality_report(frame(spark, [(1, None, None, None, None)])).collect()}
