@@ -209,41 +209,65 @@ def shard_of(seat: Column) -> Column:
     return F.size(F.filter(ends, lambda end: end <= seat))
 
 
-def spans(placed: DataFrame) -> DataFrame:
-    """Adds `spans`: per block the document reaches into, its words there and how often they are taken."""
-    last = (F.col("begin") + F.col("size") - 1)
-    blocks = F.sequence(F.expr("begin div block"), F.expr("(begin + size - 1) div block"))
-    one = lambda j: F.struct(
-        (F.greatest(F.col("begin"), j * F.col("block")) - F.col("begin")).alias("first_word"),
-        (
-            F.least(last + 1, (j + 1) * F.col("block")) - F.greatest(F.col("begin"), j * F.col("block"))
-        ).alias("n_words"),
-        times(j).alias("times"),
-        rank(j).alias("seat"),
-    )
-    empty = F.array().cast("array<struct<first_word:bigint,n_words:bigint,times:bigint,seat:bigint>>")
-    return placed.withColumn("spans", F.when(F.col("size") > 0, F.transform(blocks, one)).otherwise(empty))
+def floor_sums(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of (a * j + b) // m over j < n, for whole numbers from 0 (m from 1), by the steps of Euclid."""
+    n, m, a, b = (np.array(x, np.int64) for x in np.broadcast_arrays(n, m, a, b))
+    out = np.zeros(n.shape, np.int64)
+    n, m, a, b, flat = n.ravel(), m.ravel(), a.ravel(), b.ravel(), out.reshape(-1)
+    at = np.arange(len(n))
+    while len(at):
+        flat[at] += n * (n - 1) // 2 * (a // m) + n * (b // m)
+        top = a % m * n + b % m
+        go = top >= m
+        at, n, m, a, b = at[go], top[go] // m[go], a[go] % m[go], m[go], top[go] % m[go]
+    return out
 
 
-def shard_words() -> Column:
-    """Words of the document in each shard (repeats counted), from `spans` and `starts`."""
-    def in_shard(start: Column, end: Column) -> Column:
-        seats_of = lambda s: _seats_before(end, s["seat"]) - _seats_before(start, s["seat"])
-        return F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["n_words"] * seats_of(s))
+def words_on_seats(
+    begin: np.ndarray, size: np.ndarray, block: np.ndarray, blocks: np.ndarray, bound: np.ndarray
+) -> np.ndarray:
+    """How many words of a document lie on seats below `bound`, repeats counted, however many blocks it has.
 
-    ends = F.slice("starts", F.lit(2), F.size("starts") - 1)
-    return F.transform(ends, lambda end, k: in_shard(F.get("starts", k), end))
+    Block j has the rank r(j) = (p * j + SEED) mod blocks and the seats r(j), r(j) + blocks and so on. Below bound = q * blocks + rest
+    each block has q seats, and one more if r(j) < rest; how many blocks of a range have that is a difference of floor sums.
+    """
+    n = np.maximum(blocks, 1)
+    step = np.select([n % p != 0 for p in STEPS], STEPS, 1)
+    rounds, rest = bound // n, bound % n
+    first, last = begin // block, (begin + np.maximum(size, 1) - 1) // block
+    more = lambda j: (step * j + SEED) % n < rest
+    upto = lambda j: floor_sums(j, n, step, SEED % n) - floor_sums(j, n, step, SEED % n - rest + n) + j
+    several = last > first
+    of_first = np.where(several, (first + 1) * block - begin, size)
+    of_last = np.where(several, begin + size - last * block, 0)
+    between = np.where(several, upto(np.maximum(last, first + 1)) - upto(first + 1), 0)
+    return size * rounds + of_first * more(first) + of_last * more(last) + block * between
+
+
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Placed documents to taken and shard_words."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        numbers = [batch.column(c).to_numpy()[:, None] for c in ("begin", "size", "block", "blocks")]
+        starts = batch.column("starts").flatten().to_numpy().reshape(batch.num_rows, -1)
+        words = words_on_seats(*numbers, starts)
+        by_shard = np.diff(words, axis=1)
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(by_shard.ravel()), by_shard.shape[1])
+        columns = [batch.column(c) for c in ("doc_id", "size", "source_size", "target")]
+        columns += [pa.array(words[:, -1]), batch.column("source"), lists.cast(pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "source_size", "target", "taken", "source", "shard_words"])
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken (words in the mix, repeats counted), source and
     shard_words (the words taken by shard)."""
     sized = stored(word_counts(docs, "doc_id", "source"))
-    taken = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["n_words"] * s["times"])
-    placed = spans(place_documents(sized, plan_mix(sized)))
-    return placed.select(
-        "doc_id", "size", "source_size", "target", taken.alias("taken"), "source", shard_words().alias("shard_words")
-    )
+    placed = place_documents(sized, plan_mix(sized))
+    kinds = [sized.schema[c].dataType.simpleString() for c in ("doc_id", "source")]
+    columns = "size long, source_size long, target double, taken long, source {}, shard_words array<long>".format(kinds[1])
+    needed = placed.select("doc_id", "size", "source_size", "target", "source", "begin", "block", "blocks", "starts")
+    return needed.mapInArrow(_taken, f"doc_id {kinds[0]}, {columns}")
 
 
 def _copies(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ from fractions import Fraction
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import numpy as np
 from pyspark.sql import functions as F
 
 from passages.llm import mixing as mx
@@ -53,6 +54,53 @@ def test_report(spark):
         assert size == of_source and abs(told - target) < 1e-6 and abs(taken - target) < 0.02 * target
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 60), st.integers(1, 50), st.integers(0, 200), st.integers(0, 200))
+def test_floor_sums(n, m, a, b):
+    assert mx.floor_sums(np.array([n]), np.array([m]), np.array([a]), np.array([b])).tolist() == [sum((a * j + b) // m for j in range(n))]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 9), st.integers(1, 40), st.integers(0, 200), st.integers(0, 300), st.integers(0, 130))
+def test_words_on_seats_equal_counting(block, blocks, begin, size, bound):
+    """Seat by seat: seat s lies on the block whose rank is s mod blocks."""
+    begin, rank = begin % (block * blocks), lambda j: (1_000_003 * j + mx.SEED) % blocks
+    size = min(size, block * blocks - begin)
+    bound = min(bound, 3 * blocks)
+    seats = {j: sum(s % blocks == rank(j) for s in range(bound)) for j in range(blocks)}
+    want = sum(seats[w // block] for w in range(begin, begin + size))
+    got = mx.words_on_seats(*(np.array([[x]]) for x in (begin, size, block, blocks)), np.array([[bound]]))
+    assert got.tolist() == [[want]]
+
+
+def test_a_document_of_very_many_blocks():
+    """A hundred million words in blocks of one word, beside closed forms."""
+    n = 100_000_000
+    got = mx.words_on_seats(*(np.array([[x]]) for x in (0, n, 1, n)), np.array([[0, n // 3, n, 2 * n + 5, 3 * n]]))
+    assert got.tolist() == [[0, n // 3, n, 2 * n + 5, 3 * n]]
+
+
+def test_taken_words_equal_a_plain_mix(spark):
+    """Every source laid end to end in seeded order, its words counted seat by seat."""
+    docs = frame(spark, documents(120, seed=9))
+    rows = mx.mix_report(docs).collect()
+    sized = mx.word_counts(docs, "doc_id", "source")
+    order = {r.doc_id: r.p for r in sized.select("doc_id", mx._place().alias("p")).collect()}
+    totals = {}
+    for r in rows:
+        totals[r.source] = totals.get(r.source, 0) + r["size"]
+    for source, _, _, block, blocks, seats, starts in mx.quotas(list(totals.items())):
+        step = next((p for p in mx.STEPS if blocks and blocks % p), 1)
+        begin = 0
+        for r in sorted((r for r in rows if r.source == source), key=lambda r: (order[r.doc_id], r.doc_id)):
+            ranks = [(step * (w // block) + mx.SEED) % blocks for w in range(begin, begin + r["size"])]
+            often = [len(range(x, seats, blocks)) for x in ranks]
+            assert r.taken == sum(often)
+            shards = [sum(len(range(x, b, blocks)) - len(range(x, a, blocks)) for x in ranks) for a, b in zip(starts, starts[1:])]
+            assert r.shard_words == shards
+            begin += r["size"]
+
+
 def test_documents(spark):
     docs = frame(spark, documents(200, seed=3)).withColumn("begin", F.lit(1)).withColumn("times", F.lit("x"))
     out = mx.mix_documents(docs)
