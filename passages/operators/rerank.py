@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline as MlPipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,6 +64,16 @@ class NaiveBayesTable:
     weights: DataFrame
     words: int
 
+    def write(self, path: str) -> None:
+        self.weights.write.mode("overwrite").parquet(f"{path}/weights")
+        one = self.weights.sparkSession.createDataFrame([(self.priors, self.words)], "priors array<double>, words long")
+        one.coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> NaiveBayesTable:
+        model = spark.read.parquet(f"{path}/model").first()
+        return NaiveBayesTable(list(model.priors), spark.read.parquet(f"{path}/weights"), model.words)
+
     def score(self, df: DataFrame, salt: int = 64) -> DataFrame:
         """Adds `probabilities`. The words of equal texts are counted together and shared out."""
         keyed = df.withColumn("_key", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))

@@ -170,6 +170,16 @@ def test_blank_questions_are_not_answered(spark, points):
     assert [r.question for r in records] == ["cats run"] and records[0].answer
 
 
+def test_a_stored_naive_bayes_scores_the_same(spark, tmp_path):
+    known = spark.createDataFrame([("a a b", 0.0), ("b c", 1.0), ("c d", 2.0)], "text string, label double")
+    model = reranking.train_naive_bayes(known)
+    model.write(str(tmp_path / "bayes"))
+    loaded = reranking.NaiveBayesTable.load(spark, str(tmp_path / "bayes"))
+    texts = spark.createDataFrame([("a b x",), ("c",), (None,)], "text string")
+    rows = [sorted(map(str, reranking.classify(texts, m, ["p", "q", "r"], 0.4).collect())) for m in (model, loaded)]
+    assert rows[0] == rows[1] and loaded.words == model.words == 4
+
+
 def test_naive_bayes_counts_every_word(spark, monkeypatch):
     """More words than 2^20, of which the rarest decide."""
     many = spark.range(110).select(
