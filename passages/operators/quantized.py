@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from passages.config import VECTOR_SIZE
 from passages.functions import vectors
 from passages.operators import topk
-from passages.operators.vector import as_metric, dense_scorer, matrix_of, of_length, query_cells, unit_rows
+from passages.operators.vector import as_metric, matrix_of, of_length, query_cells, unit_rows
 from passages.session import new_folder
 
 STEPS = 127
