@@ -11,7 +11,7 @@
 
 Encoding: the byte-level pattern never matches across white space that follows a plain character, nor from an ASCII letter
 to a mark or digit, so a piece between such places is encoded alike wherever it stands. So a task encodes each distinct piece once
-and puts texts together from pieces; at most PIECES of them are remembered. Other kinds of
+and puts texts together from pieces; two generations of PIECES of them are remembered. Other kinds of
 tokenizers get whole texts.
 
 Cases: a null or empty text has the end id alone; equal doc_ids stay neighbours, each row a document of its own, ordered by text
@@ -41,14 +41,14 @@ from passages.llm.storage import shared_folder
 from passages.operators.order import running_offset
 
 SHARD_TOKENS = 1 << 20
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 23
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 MARK = np.zeros(256, bool)
 MARK[0x21:0x7F] = True
 MARK &= ~LETTER
-#: Pieces of text that a task remembers with their ids.
-PIECES = 600_000
+#: Pieces of text that a task remembers with their ids; those of the generation before it are looked at too.
+PIECES = 400_000
 JOINED = 128
 END = 2
 DIGESTS = "n_tokens long, ids_crc32 long"
@@ -80,12 +80,7 @@ class Encoder:
             self.bytes_of[token["id"]] = len(token["content"].encode())
         self.tokens = [t["content"].encode() for t in told.get("added_tokens", [])]
         self.alphabet = size
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.ends = np.zeros(PIECES + 1, np.int64)
+        self.known, self.older = Known(), Known()
 
     def of(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, number of ids of each text) slice by slice; a null is empty."""
@@ -119,44 +114,66 @@ class Encoder:
         free = np.zeros(len(distinct), bool)
         free[place] = joins
         numbers = self._numbers(distinct, free)
-        number = numbers[place]
-        first, count = self.ends[number], self.ends[number + 1] - self.ends[number]
-        stops = np.cumsum(count)
-        ids = self.ids[np.repeat(first - (stops - count), count) + np.arange(int(stops[-1]))]
-        per_text = np.r_[0, stops][np.searchsorted(starts, offsets)]
+        ids, count = self.known.of(numbers[place])
+        per_text = np.r_[0, np.cumsum(count)][np.searchsorted(starts, offsets)]
         return ids, np.diff(per_text)
 
     def _numbers(self, pieces: list[bytes], free: np.ndarray) -> np.ndarray:
         """The number under which each distinct piece is known; unknown ones are encoded."""
-        numbers = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        new = np.flatnonzero(numbers < 0).tolist()
-        if len(self.known) + len(new) > PIECES:
-            self.forget()
-            new = range(len(pieces))
-            if len(pieces) > PIECES:
-                self.ends = np.zeros(len(pieces) + 1, np.int64)
+        numbers = self.known.find(pieces)
+        new = np.flatnonzero(numbers < 0)
+        if len(self.known.number) + len(new) > PIECES:
+            self.older, self.known = self.known, Known()
+            new = np.arange(len(pieces))
+        if not len(new):
+            return numbers
+        earlier = self.older.find([pieces[k] for k in new.tolist()])
+        again, new = new[earlier >= 0], new[earlier < 0]
+        if len(again):
+            numbers[again] = self.known.add([pieces[k] for k in again.tolist()], *self.older.of(earlier[earlier >= 0]))
         if len(new):
-            by = [k for k in new if not free[k]]
-            alone = [pieces[k] for k in by]
-            by += [k for k in new if free[k]]
-            joined = [pieces[k] for k in by[len(alone) :]]
+            alone, joins = new[~free[new]], new[free[new]]
+            new = np.r_[alone, joins]
+            names = [pieces[k] for k in new.tolist()]
+            joined = names[len(alone) :]
             # Pieces that may stand side by side go to the tokenizer many at a time.
-            texts = alone + [b"".join(joined[k : k + JOINED]) for k in range(0, len(joined), JOINED)]
+            texts = names[: len(alone)] + [b"".join(joined[k : k + JOINED]) for k in range(0, len(joined), JOINED)]
             found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
             ids = np.array([i for e in found for i in e.ids], np.int32)
-            ends = np.cumsum([len(p) for p in alone + joined])
-            reach = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "left") + 1
-            numbers[by] = len(self.known) + np.arange(len(by))
-            self._remember(alone + joined, ids, np.diff(np.r_[0, reach]))
+            reach = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p) for p in names]), "left") + 1
+            numbers[new] = self.known.add(names, ids, np.diff(np.r_[0, reach]))
         return numbers
 
-    def _remember(self, pieces: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
-        n, used = len(self.known), int(self.ends[len(self.known)])
+
+class Known:
+    """The ids of numbered pieces."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.ends = np.zeros(1 << 16, np.int64)
+
+    def find(self, pieces: list[bytes]) -> np.ndarray:
+        """Their numbers, or -1."""
+        return np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def add(self, pieces: list[bytes], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        n, more = len(self.number), len(pieces)
+        used = int(self.ends[n])
         if used + len(ids) > len(self.ids):
-            self.ids = np.r_[self.ids[:used], np.zeros(2 * (used + len(ids)), np.int32)]
+            self.ids = np.r_[self.ids[:used], np.zeros(used + 2 * len(ids), np.int32)]
+        if n + more >= len(self.ends):
+            self.ends = np.r_[self.ends[: n + 1], np.zeros(n + 2 * more, np.int64)]
         self.ids[used : used + len(ids)] = ids
-        self.ends[n + 1 : n + 1 + len(pieces)] = used + np.cumsum(counts)
-        self.known.update(zip(pieces, range(n, n + len(pieces))))
+        self.ends[n + 1 : n + 1 + more] = used + np.cumsum(counts)
+        self.number.update(zip(pieces, range(n, n + more)))
+        return n + np.arange(more)
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after the other, and how many each has."""
+        first, count = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
+        stops = np.cumsum(count)
+        return self.ids[np.repeat(first - (stops - count), count) + np.arange(int(stops[-1]))], count
 
 
 def plain_ends(data: np.ndarray) -> np.ndarray:
