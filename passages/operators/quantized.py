@@ -32,6 +32,9 @@ TIE = 1e-6
 #: Relative error of a product in single precision, for each entry.
 SINGLE = 1.2e-7
 ROWS = 4_096
+#: Scores that a task holds at a time, and candidates that it keeps before it hands them on.
+CELLS = 1_000_000
+ROOM = 2_000_000
 INDEX = "codes binary, scale float, error float, square double"
 
 
@@ -97,24 +100,28 @@ class Survivors:
         self.edge = np.full(queries, -np.inf)
         self.lows = np.full((queries, k), -np.inf)
         self.parts: list[tuple] = []
-
-    def add(self, ids: pa.Array, middle: np.ndarray, reach: np.ndarray, tie: np.ndarray) -> None:
-        low = middle - reach
-        if not np.isfinite(self.edge).all():
-            self._raise(low)
-        row, query = np.nonzero(middle + reach >= (self.edge - tie)[None, :])
-        keep = low[row, query]
-        better = keep > self.edge[query]
+        self.held = 0
+
+    def add(self, ids: pa.Array, middle: np.ndarray, reach: np.ndarray, tie: np.ndarray, first: int = 0) -> None:
+        """Rows against a block of queries, of which `first` is the number of the first; `tie` is for all queries."""
+        here = slice(first, first + middle.shape[1])
+        if not np.isfinite(self.edge[here]).all():
+            self._raise(middle - reach, here)
+        high = middle + reach
+        row, query = np.nonzero(high >= (self.edge[here] - tie[here])[None, :])
+        keep = middle[row, query] - reach[row, query]
+        better = keep > self.edge[query + first]
         if better.any():
-            self._merge(query[better], keep[better])
+            self._merge(query[better] + first, keep[better])
         if len(row):
-            self.parts.append((query, ids.take(pa.array(row)), keep, (middle + reach)[row, query]))
+            self.parts.append((query + first, ids.take(pa.array(row)), keep, high[row, query]))
+            self.held += len(row)
 
-    def _raise(self, low: np.ndarray) -> None:
+    def _raise(self, low: np.ndarray, here: slice) -> None:
         """Before any bound is known: the k-th best lower bound of the rows at hand, so that few rows pass."""
         if len(low) >= self.k:
-            self.edge = np.maximum(self.edge, np.partition(low, len(low) - self.k, axis=0)[len(low) - self.k])
-            self.edge = np.nextafter(self.edge, -np.inf)
+            best = np.partition(low, len(low) - self.k, axis=0)[len(low) - self.k]
+            self.edge[here] = np.maximum(self.edge[here], np.nextafter(best, -np.inf))
 
     def _merge(self, query: np.ndarray, low: np.ndarray) -> None:
         touched = np.unique(query)
@@ -133,7 +140,16 @@ class Survivors:
 
     def shrink(self, tie: np.ndarray) -> int:
         self.parts = list(self.rows(tie))
-        return sum(len(p[0]) for p in self.parts)
+        self.held = sum(len(p[0]) for p in self.parts)
+        return self.held
+
+    def take(self, tie: np.ndarray) -> Iterator[tuple]:
+        """The rows that are left so far, as one part; they are no longer held."""
+        left = list(self.rows(tie))
+        self.parts, self.held = [], 0
+        if left:
+            query, ids, low, high = zip(*left)
+            yield np.concatenate(query), pa.concat_arrays(ids), np.concatenate(low), np.concatenate(high)
 
 
 def candidates(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosine", dim: int = VECTOR_SIZE) -> DataFrame:
@@ -155,20 +171,27 @@ def candidates(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosi
             return
         # A difference of distances of TIE is one of 2 * distance * TIE between their squares.
         size = np.sqrt((q * q).sum(axis=1))
-        found, room, largest = Survivors(len(q), k), 64 * k * len(q), 0.0
+        found, largest = Survivors(len(q), k), 0.0
         tie = np.full(len(q), 2 * TIE)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for query, ids, low, high in found.take(tie):
+                columns = [query_ids.take(pa.array(query)), ids, pa.array(low), pa.array(high + tie[query])]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "low", "high"])
+
         for batch in batches:
             for top in range(0, batch.num_rows, ROWS):
                 part = batch.slice(top, ROWS)
                 if metric == "euclid":
                     largest = max(largest, float(np.sqrt(part.column("square").to_numpy().max(initial=0.0))))
                     tie = 4 * TIE * (largest + size + 1)
-                found.add(part.column("id"), *bounds_of(part, q, metric), tie)
-                if sum(len(p[0]) for p in found.parts) > room:
-                    room = max(room, 2 * found.shrink(tie))
-        for query, ids, low, high in found.rows(tie):
-            columns = [query_ids.take(pa.array(query)), ids, pa.array(low), pa.array(high + tie[query])]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "low", "high"])
+                step = max(1, CELLS // max(1, part.num_rows))
+                for first in range(0, len(q), step):
+                    found.add(part.column("id"), *bounds_of(part, q[first : first + step], metric), tie, first)
+                    # The bounds stay, so rows that are handed on early only add to those that the next stage drops.
+                    if found.held > ROOM and found.shrink(tie) > ROOM // 2:
+                        yield from rows()
+        yield from rows()
 
     left = index.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, low double, high double")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("low").desc()))

@@ -81,3 +81,22 @@ def test_scores_lie_within_their_bounds(dim, n, metric, seed):
         part = x[n - len(batch) :]
         true = part @ q.T if metric == "dot" else 2 * part @ q.T - (part * part).sum(axis=1)[:, None]
         assert (np.abs(true - middle) <= reach + 1e-9 * np.abs(true)).all()
+
+
+def test_scores_of_a_task_are_bounded_however_many_queries(spark, data, monkeypatch):  # noqa: F811
+    whole = quantized.bounds_of
+
+    def small(table, q, metric):
+        if table.num_rows * len(q) > 40:
+            raise ValueError("too many scores at a time")
+        return whole(table, q, metric)
+
+    monkeypatch.setattr(quantized, "bounds_of", small)
+    monkeypatch.setattr(quantized, "ROWS", 9)
+    monkeypatch.setattr(quantized, "CELLS", 40, raising=False)
+    monkeypatch.setattr(quantized, "ROOM", 12, raising=False)
+    corpus, wanted = data
+    stored = points(spark, corpus).coalesce(2)
+    for metric in ("cosine", "euclid"):
+        hits = knn_quantized(queries(spark, wanted), build_quantized_index(stored, DIM, metric), stored, 5, metric, DIM)
+        assert found(hits) == brute(corpus, wanted, 5, metric)
