@@ -232,7 +232,7 @@ def bm25_hits(
 def _scan_tokens(queries: DataFrame, index: LexicalIndex, k: int, normalize: bool) -> DataFrame:
     weighted = _weighted_queries(queries, index, normalize)
     return topk.top_k(
-        index.docs, weighted, bm25_scorer, k, word_cells(queries, normalize)
+        index.docs, weighted, topk.Scorer(bm25_scorer), k, word_cells(queries, normalize)
     )
 
 

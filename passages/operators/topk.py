@@ -1,7 +1,8 @@
 """Top k of a large table for every row of a query table, without forming the pairs.
 
 A task scores one Arrow batch of the corpus after the other against a block of queries as one
-matrix and keeps the k best rows per query, which it emits at its end. Spark then ranks those partial results per query. The
+matrix. Of a matrix only the scores are looked at that reach the k-th best so far; the k best rows per query are
+emitted at its end. Spark then ranks those partial results per query. The
 shuffle carries k rows per query and task, whatever the size of the corpus, and the corpus
 itself does not move.
 
@@ -30,14 +31,102 @@ BROADCAST_CELLS = 8_000_000
 BROADCAST_HITS = 500_000
 CORPUS_BLOCK_ROWS = 50_000
 
-# Sides of one score matrix in a task.
+# Sides of one score matrix in a task, and entries of the vectors that it is made from.
 ROWS_PER_MATRIX = 10_000
 QUERIES_PER_MATRIX = 256
+CELLS_PER_BLOCK = 500_000
+# Rows of the first matrix; the next ones double, so that the best scores are known early.
+FIRST_ROWS = 512
+# Scores are rounded to six digits, so those this close may tie.
+TIE = 1e-6
 
-Scorer = Callable[[pa.Table, pa.Table], np.ndarray]
 Usable = Callable[[pa.Table], pa.Table]
 
 
+class Scorer:
+    """Scores of corpus rows against queries, larger is better, from a function of two tables.
+
+    A scorer may instead give quick scores that are off by no more than `slack`, on a scale of its own, and the
+    exact ones of the few rows that these leave.
+    """
+
+    #: Entries per corpus row, which bound the rows that a task works on at a time.
+    width = 1
+
+    def __init__(self, score: Callable[[pa.Table, pa.Table], np.ndarray] | None = None):
+        self.score = score
+
+    def corpus(self, table: pa.Table):
+        """What the scores need of these rows, made once for all queries."""
+        return table
+
+    def queries(self, table: pa.Table):
+        return table
+
+    def quick(self, x, q) -> tuple[np.ndarray, np.ndarray | float]:
+        """(rows x queries) quick scores, and by how much those of each query may be off."""
+        return self.score(x, q), 0.0
+
+    def least(self, edge: np.ndarray) -> np.ndarray:
+        """The quick score, but for the slack, that a row needs to round to the score `edge`."""
+        return edge - TIE - 1e-12 * np.abs(edge)
+
+    def edge(self, quick: np.ndarray) -> np.ndarray:
+        """The score of a quick score."""
+        return quick
+
+    def exact(self, x, q, row: np.ndarray, query: np.ndarray, quick: np.ndarray) -> np.ndarray:
+        """Scores of the pairs (row, query)."""
+        return quick[row, query]
+
+    def copies(self, x, k: int) -> np.ndarray | None:
+        """The rows that are left when of equal rows only the first k stay; None: all."""
+        return None
+
+
+class Best:
+    """The k best scores of each query so far: a row below the k-th of them cannot be a hit."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores = np.full((queries, k), -np.inf)
+
+    def edge(self, first: int, n: int) -> np.ndarray:
+        return self.scores[first : first + n, -1]
+
+    def add(self, query: np.ndarray, score: np.ndarray) -> None:
+        better = score > self.scores[query, -1]
+        query, score = query[better], score[better]
+        if not len(query):
+            return
+        touched = np.unique(query)
+        owner = np.r_[np.repeat(touched, self.k), query]
+        value = np.r_[self.scores[touched].ravel(), score]
+        order = np.lexsort((-value, owner))
+        at = np.searchsorted(owner[order], touched)[:, None] + np.arange(self.k)
+        self.scores[touched] = value[order][at]
+
+
+def candidates(scorer: Scorer, x, q, rows: int, best: Best, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, rounded score) of all rows that can be hits of the block of queries that starts at `first`."""
+    quick, slack = scorer.quick(x, q)
+    edge = best.edge(first, quick.shape[1])
+    if rows > best.k and not np.isfinite(edge).all():
+        known = np.where(np.isnan(quick), -np.inf, quick)
+        of_these = np.partition(known, rows - best.k, axis=0)[rows - best.k]
+        edge = np.maximum(edge, scorer.edge(of_these.astype(float) - slack))
+    reach = quick >= np.nextafter((scorer.least(edge) - slack).astype(quick.dtype), quick.dtype.type(-np.inf))
+    if rows <= best.k:
+        reach |= np.isnan(quick)
+    row, query = np.divmod(np.flatnonzero(reach), quick.shape[1])
+    score = round_scores(scorer.exact(x, q, row, query, quick))
+    if rows > best.k:
+        number = ~np.isnan(score)
+        row, query, score = row[number], query[number], score[number]
+    best.add(query + first, score)
+    return row, query, score
+
+
 def round_scores(scores: np.ndarray) -> np.ndarray:
     """Half away from zero, as round() does in SQL, so that ties are ties."""
     scale = 10.0**SCORE_DIGITS
@@ -57,25 +146,53 @@ def best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _local_best(
-    corpus: pa.Table, queries: pa.Table, scorer: Scorer, k: int, usable: Usable | None
+    corpus: pa.Table, queries: pa.Table, scorer: Scorer, best: Best, seen: int = 0
 ) -> Iterator[pa.RecordBatch]:
-    if usable is not None:
-        corpus, queries = usable(corpus), usable(queries)
-    for top in range(0, corpus.num_rows, ROWS_PER_MATRIX):
-        part = corpus.slice(top, ROWS_PER_MATRIX)
-        by_id = pc.sort_indices(part["id"]).to_numpy()
+    """Rows that can be among the k best, after `seen` other rows of the corpus."""
+    top, most = 0, max(1, min(ROWS_PER_MATRIX, CELLS_PER_BLOCK // scorer.width))
+    while top < corpus.num_rows:
+        part = corpus.slice(top, min(most, max(FIRST_ROWS, seen + top)))
+        top += part.num_rows
+        part = part.take(pc.sort_indices(part["id"]))
+        x = scorer.corpus(part)
+        few = scorer.copies(x, best.k)
+        if few is not None:
+            part = part.take(pa.array(few))
+            x = scorer.corpus(part)
         for start in range(0, queries.num_rows, QUERIES_PER_MATRIX):
             block = queries.slice(start, QUERIES_PER_MATRIX)
-            scores = round_scores(scorer(part, block))[by_id]
-            rows, columns = best_rows(scores, k)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    block["query_id"].take(pa.array(columns)).combine_chunks(),
-                    part["id"].take(pa.array(by_id[rows])).combine_chunks(),
-                    pa.array(scores[rows, columns], pa.float64()),
-                ],
-                names=["query_id", "id", "score"],
-            )
+            rows, columns, scores = candidates(scorer, x, scorer.queries(block), part.num_rows, best, start)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        block["query_id"].take(pa.array(columns)).combine_chunks(),
+                        part["id"].take(pa.array(rows)).combine_chunks(),
+                        pa.array(scores, pa.float64()),
+                    ],
+                    names=["query_id", "id", "score"],
+                )
+
+
+def _kept(
+    tables: Iterator[pa.Table], queries: pa.Table, scorer: Scorer, k: int, usable: Usable | None
+) -> list[pa.RecordBatch]:
+    """The k best rows of each query, of all tables."""
+    if usable is not None:
+        queries = usable(queries)
+    known = Best(queries.num_rows, k)
+    best: list[pa.RecordBatch] = []
+    rows, seen, room = 0, 0, 2 * k * max(1, queries.num_rows)
+    for table in tables:
+        if usable is not None:
+            table = usable(table)
+        for part in _local_best(table, queries, scorer, known, seen):
+            best.append(part)
+            rows += part.num_rows
+            if rows > room:
+                best = _best_of(best, k)
+                rows = sum(b.num_rows for b in best)
+        seen += table.num_rows
+    return _best_of(best, k)
 
 
 def _best_of(parts: list[pa.RecordBatch], k: int) -> list[pa.RecordBatch]:
@@ -125,8 +242,7 @@ def top_k(
 ) -> DataFrame:
     """Best k corpus rows per query.
 
-    corpus has `id`, queries has `query_id`; the other columns are for `scorer`, which gives
-    a (corpus rows x queries) array, larger is better. `query_cells` is the counted number of
+    corpus has `id`, queries has `query_id`; the other columns are for `scorer`. `query_cells` is the counted number of
     array entries in the query table and decides on the number of slices. `usable` drops
     rows that cannot be scored; it runs in the task, where the vector is at hand already.
     """
@@ -165,16 +281,8 @@ def _scan(
     shared = corpus.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[pa.RecordBatch] = []
-        rows, room = 0, 2 * k * max(1, shared.value.num_rows)
-        for batch in batches:
-            for part in _local_best(pa.Table.from_batches([batch]), shared.value, scorer, k, usable):
-                best.append(part)
-                rows += part.num_rows
-                if rows > room:
-                    best = _best_of(best, k)
-                    rows = sum(b.num_rows for b in best)
-        yield from _best_of(best, k)
+        tables = (pa.Table.from_batches([batch]) for batch in batches)
+        yield from _kept(tables, shared.value, scorer, k, usable)
 
     return corpus.mapInArrow(run, schema)
 
@@ -196,7 +304,7 @@ def meet(
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
 
     def run(corpus: pa.Table, queries: pa.Table) -> pa.Table:
-        batches = list(_local_best(corpus, queries, scorer, k, usable))
+        batches = _kept(iter([corpus]), queries, scorer, k, usable)
         if batches:
             return pa.Table.from_batches(batches)
         return pa.table(

@@ -21,7 +21,12 @@ from passages.session import cut_lineage
 
 
 # Differences of vectors that a task holds at a time.
-DIFFERENCES = 4_000_000
+DIFFERENCES = 1_000_000
+
+# Relative rounding of a number, and the products beyond which single precision may overflow or vanish.
+SINGLE = 1.2e-7
+DOUBLE = 2.3e-16
+LARGE = 1e12
 
 
 def known_source(source: str | Column = "source") -> Column:
@@ -68,25 +73,72 @@ def of_length(width: int) -> topk.Usable:
     return usable
 
 
-def dense_scorer(width: int, metric: str) -> topk.Scorer:
-    """Corpus vectors against query vectors; a distance is negated, larger is better."""
-
-    def score(corpus: pa.Table, queries: pa.Table) -> np.ndarray:
-        x = matrix_of(corpus["embedding"], width)
-        q = matrix_of(queries["embedding"], width)
-        if metric == "dot":
-            return x @ q.T
-        if metric == "cosine":
-            return unit_rows(x) @ unit_rows(q).T
-        out = np.empty((len(x), len(q)))
-        step = max(1, DIFFERENCES // max(1, x.size))
-        for a in range(0, len(q), step):
-            # Differences first: the sum of squares less twice the product would cancel for near vectors.
-            apart = x[:, None, :] - q[None, a : a + step, :]
-            out[:, a : a + step] = -np.sqrt(np.einsum("ijk,ijk->ij", apart, apart))
+class DenseScorer(topk.Scorer):
+    """Corpus vectors against query vectors; a distance is negated, larger is better.
+
+    The quick scores are products in single precision, for a distance those of its square.
+    """
+
+    def __init__(self, width: int, metric: str):
+        self.width, self.metric = width, metric
+
+    def corpus(self, table: pa.Table) -> tuple:
+        x = matrix_of(table["embedding"], self.width)
+        x = unit_rows(x) if self.metric == "cosine" else x
+        squares = (x * x).sum(axis=1)
+        with np.errstate(over="ignore"):
+            return x, x.astype(np.float32), squares, np.sqrt(np.nanmax(squares, initial=0.0))
+
+    queries = corpus
+
+    def quick(self, x: tuple, q: tuple) -> tuple[np.ndarray, np.ndarray]:
+        size = np.sqrt(q[2])
+        with np.errstate(over="ignore", invalid="ignore"):
+            if x[3] * q[3] < LARGE and 1 / LARGE < x[3] * q[3]:
+                product, unit = x[1] @ q[1].T, SINGLE
+            else:
+                product, unit = x[0] @ q[0].T, DOUBLE
+            if self.metric != "euclid":
+                return product, unit * (self.width + 4) * x[3] * size
+            # The sum of squares less twice the product cancels for near vectors; the slack covers that.
+            product *= 2
+            product -= x[2].astype(product.dtype)[:, None]
+            product -= q[2].astype(product.dtype)[None, :]
+            return product, 2 * unit * (self.width + 8) * (x[3] + size) ** 2
+
+    def least(self, edge: np.ndarray) -> np.ndarray:
+        least = super().least(edge)
+        return -(least * least) if self.metric == "euclid" else least
+
+    def edge(self, quick: np.ndarray) -> np.ndarray:
+        return -np.sqrt(np.maximum(-quick, 0.0)) if self.metric == "euclid" else quick
+
+    def exact(self, x: tuple, q: tuple, row: np.ndarray, query: np.ndarray, quick: np.ndarray) -> np.ndarray:
+        out = np.empty(len(row))
+        step = max(1, DIFFERENCES // max(1, self.width))
+        for a in range(0, len(row), step):
+            here, there = x[0][row[a : a + step]], q[0][query[a : a + step]]
+            if self.metric == "euclid":
+                here = here - there
+                out[a : a + step] = -np.sqrt(np.einsum("ij,ij->i", here, here))
+            else:
+                out[a : a + step] = np.einsum("ij,ij->i", here, there)
         return out
 
-    return score
+    def copies(self, x: tuple, k: int) -> np.ndarray | None:
+        """Of equal vectors only the k first rows can be hits."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            mark = x[0] @ np.random.default_rng(1).random(self.width)
+        order = np.argsort(mark, kind="stable")
+        x = x[0][order]
+        same = np.r_[False, (x[1:] == x[:-1]).all(axis=1)]
+        starts = np.flatnonzero(~same)
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        return np.sort(order[place < k]) if (place >= k).any() else None
+
+
+def dense_scorer(width: int, metric: str) -> topk.Scorer:
+    return DenseScorer(width, metric)
 
 
 def as_metric(score: Column, metric: str) -> Column:

@@ -1,10 +1,19 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from passages.operators import topk
-from passages.operators.vector import knn_join, knn_lsh, semantic_search, split_by_dim, vector_topk
+from passages.operators.vector import (
+    dense_scorer,
+    knn_join,
+    knn_lsh,
+    of_length,
+    semantic_search,
+    split_by_dim,
+    vector_topk,
+)
 from passages.plans.ingest import ingest_fixed
 
 DIM = 8
@@ -187,3 +196,21 @@ def test_rounding_is_half_away_from_zero():
     found = topk.round_scores(np.array([0.0078125, -0.0078125, -0.0, 1 / 3]))
     assert found.tolist() == [0.007813, -0.007813, 0.0, 0.333333]
     assert not np.signbit(found[2])
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclid"])
+def test_few_pairs_are_scored_exactly_and_copies_count_once(monkeypatch, metric):
+    g = np.random.default_rng(5)
+    x = g.standard_normal((6_000, DIM)).astype(np.float32)
+    x[::3] = x[0]
+    corpus = pa.table({"id": np.arange(6_000), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    asked = pa.table({"query_id": np.arange(40), "embedding": corpus["embedding"].slice(0, 40)})
+    scorer, pairs = dense_scorer(DIM, metric), []
+    exact = scorer.exact
+    monkeypatch.setattr(scorer, "exact", lambda x, q, row, *more: pairs.append(len(row)) or exact(x, q, row, *more))
+    best = pa.Table.from_batches(topk._kept(iter([corpus]), asked, scorer, 5, of_length(DIM)))
+    hits = best.to_pandas().sort_values(["query_id", "score", "id"], ascending=[True, False, True])
+    hits = {q: rows["id"].tolist() for q, rows in hits.groupby("query_id")}
+    wanted = brute(x, x[:40], 5, metric)
+    assert hits == wanted and (metric == "dot" or hits[0] == [0, 3, 6, 9, 12])
+    assert sum(pairs) < 0.05 * 6_000 * 40
