@@ -17,6 +17,9 @@ from passages.functions.text import words
 
 Model = Callable[[list], Sequence]
 
+# Entries of the sums that a task holds at a time.
+SUM_CELLS = 500_000
+
 
 def batch_infer(
     df: DataFrame,
@@ -84,17 +87,23 @@ def hash_embedding(text: Column, size: int = VECTOR_SIZE) -> Column:
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def add_up(words: pa.Array) -> pa.Array:
         n = len(words)
-        lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        bounds = np.r_[0, np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
         distinct = words.flatten().dictionary_encode()
         buckets, signs = _bucket_and_sign(distinct.dictionary, size)
         which = distinct.indices.to_numpy()
-        cells = np.repeat(np.arange(n, dtype=np.int64), lengths) * size + buckets[which]
-        sums = np.bincount(cells, weights=signs[which], minlength=n * size)
-        sums = sums.astype(np.float64).reshape(n, size)
-        norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-        scaled = np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0)
+        out = np.empty((n, size), np.float32)
+        # The sums are made for a few rows at a time; only the result has an entry per row of the batch and dimension.
+        step = max(1, SUM_CELLS // size)
+        for top in range(0, n, step):
+            rows = min(step, n - top)
+            entries = which[bounds[top] : bounds[top + rows]]
+            owner = np.repeat(np.arange(rows, dtype=np.int64), np.diff(bounds[top : top + rows + 1]))
+            sums = np.bincount(owner * size + buckets[entries], weights=signs[entries], minlength=rows * size)
+            sums = sums.astype(np.float64).reshape(rows, size)
+            norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            out[top : top + rows] = np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0)
         starts = pa.array(np.arange(0, n * size + 1, size, dtype=np.int32))
-        return pa.ListArray.from_arrays(starts, pa.array(scaled.astype(np.float32).ravel()))
+        return pa.ListArray.from_arrays(starts, pa.array(out.ravel()))
 
     return add_up(words(text))
 

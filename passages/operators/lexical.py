@@ -38,7 +38,10 @@ SCORE_UNITS = 1_000_000
 PARTS_PER_SCORE = PART_UNITS // SCORE_UNITS
 
 # Contributions that a task holds at a time.
-SPREAD_CELLS = 4_000_000
+SPREAD_CELLS = 500_000
+
+# Entries that a document counts for when rows are cut into matrices.
+TOKENS_PER_DOC = 500
 
 
 @dataclass(frozen=True)
@@ -232,7 +235,7 @@ def bm25_hits(
 def _scan_tokens(queries: DataFrame, index: LexicalIndex, k: int, normalize: bool) -> DataFrame:
     weighted = _weighted_queries(queries, index, normalize)
     return topk.top_k(
-        index.docs, weighted, topk.Scorer(bm25_scorer), k, word_cells(queries, normalize)
+        index.docs, weighted, topk.Scorer(bm25_scorer, TOKENS_PER_DOC), k, word_cells(queries, normalize)
     )
 
 

@@ -47,14 +47,12 @@ class Scorer:
     """Scores of corpus rows against queries, larger is better, from a function of two tables.
 
     A scorer may instead give quick scores that are off by no more than `slack`, on a scale of its own, and the
-    exact ones of the few rows that these leave.
+    exact ones of the few rows that these leave. `width` is the number of entries per corpus row, which bounds the
+    rows that a task works on at a time.
     """
 
-    #: Entries per corpus row, which bound the rows that a task works on at a time.
-    width = 1
-
-    def __init__(self, score: Callable[[pa.Table, pa.Table], np.ndarray] | None = None):
-        self.score = score
+    def __init__(self, score: Callable[[pa.Table, pa.Table], np.ndarray], width: int = 1):
+        self.score, self.width = score, width
 
     def corpus(self, table: pa.Table):
         """What the scores need of these rows, made once for all queries."""
@@ -304,9 +302,12 @@ def meet(
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
 
     def run(corpus: pa.Table, queries: pa.Table) -> pa.Table:
-        batches = _kept(iter([corpus]), queries, scorer, k, usable)
+        # The k best for each row of the queries, also of those with one id.
+        numbered = queries.set_column(queries.schema.get_field_index("query_id"), "query_id", pa.array(np.arange(queries.num_rows)))
+        batches = _kept(iter([corpus]), numbered, scorer, k, usable)
         if batches:
-            return pa.Table.from_batches(batches)
+            found = pa.Table.from_batches(batches)
+            return found.set_column(0, "query_id", queries["query_id"].take(found["query_id"]))
         return pa.table(
             {
                 "query_id": queries["query_id"].slice(0, 0),

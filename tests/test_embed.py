@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passages.functions.classify import softmax, threshold_label
+from passages.operators import embed
 from passages.operators.embed import batch_infer, embed_texts, valid_embeddings
 from passages.operators.order import running_offset
 from passages.operators.vector import semantic_hits
@@ -107,3 +108,11 @@ def test_softmax_of_large_logits(spark):
     table = spark.createDataFrame([([1000.0, 1001.0],), ([0.0, 0.0],)], "x array<double>")
     found = [r.p for r in table.select(softmax(F.col("x")).alias("p")).collect()]
     np.testing.assert_allclose(found, [[1 / (1 + math.e), math.e / (1 + math.e)], [0.5, 0.5]])
+
+
+def test_sums_in_small_steps_are_the_same(spark, monkeypatch):
+    texts = ["one two three two", None, "", "two", "four one", "x y z x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    whole = {r.id: r.embedding for r in embed_texts(rows, size=64).collect()}
+    monkeypatch.setattr(embed, "SUM_CELLS", 2 * 64)
+    assert {r.id: r.embedding for r in embed_texts(rows, size=64).collect()} == whole
