@@ -40,6 +40,9 @@ PARTS_PER_SCORE = PART_UNITS // SCORE_UNITS
 # Contributions that a task holds at a time.
 SPREAD_CELLS = 500_000
 
+# (document, query) pairs whose sums a task holds at most.
+PAIRS_PER_TASK = 1_000_000
+
 # Entries that a document counts for when rows are cut into matrices.
 TOKENS_PER_DOC = 500
 
@@ -134,7 +137,13 @@ def _score_tokens(
     bounded = topk.fits_broadcast(word_cells(queries, normalize))
     words = query_terms(queries, normalize).join(index.terms.select("term", "idf"), "term")
     wanted = words.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
-    tokens = index.docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    docs = index.docs
+    if bounded and candidates is None:
+        # Documents move once, by their id; their words, counts and sums then stay in a task of a bounded number of pairs.
+        pairs = docs.count() * queries.count()
+        least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        docs = docs.repartition(max(least, -(-pairs // PAIRS_PER_TASK)), "id")
+    tokens = docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     if bounded:
         asked = query_terms(queries, normalize).select("term").distinct()
         tokens = tokens.join(F.broadcast(asked), "term", "left_semi")

@@ -161,3 +161,15 @@ def test_scores_do_not_depend_on_the_piece_size(monkeypatch, rng, cells):
         for q, (terms, weights) in enumerate(asked):
             plain = sum(w * doc.count(t) * 2.5 / (doc.count(t) + base) for t, w in zip(terms, weights))
             assert scores[i, q] == pytest.approx(plain, abs=1e-6)
+
+
+def test_scores_move_documents_once_into_tasks_of_bounded_pairs(spark, monkeypatch):
+    rows = [(i % 30, "red apple " + "green " * (i % 3)) for i in range(40)]
+    index = build_lexical_index(spark.createDataFrame(rows, "id long, text string"))
+    ask = spark.createDataFrame([(1, "red green"), (2, "apple apple")], "query_id long, query string")
+    few = sorted(map(tuple, bm25_scores(ask, index).collect()))
+    monkeypatch.setattr(lexical, "PAIRS_PER_TASK", 5)
+    scores = bm25_scores(ask, index)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(query_id" not in plan.replace("#", " ").split("Subquery")[0]
+    assert sorted(map(tuple, scores.collect())) == few and len(few) == 60
