@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from passages.config import OTHER_LABEL
 from passages.functions.classify import softmax, threshold_label
 from passages.functions.text import preprocess
+from passages.session import cut_lineage
 
 #: Weights are added as decimals, so that their order does not show.
 WEIGHT = "decimal(18,12)"
-#: Words of a model that travel whole; more meet the words of the texts in a salted join.
+TOTAL = "decimal(34,12)"
+#: Weights of a model that travel whole; those of rarer words meet the words of the texts in a salted join.
 BROADCAST_WORDS = 100_000
 
 
@@ -74,28 +76,51 @@ class NaiveBayesTable:
         model = spark.read.parquet(f"{path}/model").first()
         return NaiveBayesTable(list(model.priors), spark.read.parquet(f"{path}/weights"), model.words)
 
-    def score(self, df: DataFrame, salt: int = 64) -> DataFrame:
-        """Adds `probabilities`. The words of equal texts are counted together and shared out."""
-        keyed = df.withColumn("_key", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    def _split(self) -> tuple[DataFrame, DataFrame | None]:
+        """The weights that may travel whole, and the others: those of words that are rare in every class."""
+        if self.words <= BROADCAST_WORDS:
+            return self.weights, None
+        weight = F.greatest(*(F.col(f"w_{k}") for k in range(len(self.priors))), F.lit(None).cast(WEIGHT))
+        share = 1 - BROADCAST_WORDS / self.words
+        edge = self.weights.agg(F.percentile_approx(weight, share, 10_000)).first()[0]
+        return self.weights.where(weight > edge), self.weights.where(weight <= edge)
+
+    def score(self, df: DataFrame, salt: int = 8) -> DataFrame:
+        """Adds `probabilities`. The words of equal texts are counted together and shared out.
+
+        Weights of the heaviest words travel whole, so their sums are made on the row of the text; only a sum per text
+        and its other words are shuffled, and these meet their weights in a salted join.
+        """
+        keyed = df.withColumn("_key", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
         words = F.coalesce(F.col("words"), F.array().cast("array<string>"))
+        names = [f"w_{k}" for k in range(len(self.priors))]
+        known, others = self._split()
+        nothing = F.lit(0).cast(WEIGHT)
         # A null word per row counts the copies of a text.
-        counted = (
+        met = (
             _with_words(keyed.select("_key", "text"))
             .select("_key", F.explode(F.concat(words, F.array(F.lit(None).cast("string")))).alias("term"))
-            .groupBy("_key", "term")
-            .agg(F.count(F.lit(1)).alias("_tf"))
+            .join(F.broadcast(known.withColumn("_met", F.lit(True))), "term", "left")
         )
-        if self.words <= BROADCAST_WORDS:
-            met = counted.join(F.broadcast(self.weights), "term", "left")
-        else:
+        sums = [F.sum(F.coalesce(F.col(c), nothing)).cast(TOTAL).alias(c) for c in names]
+        copies = F.count_if(F.col("term").isNull()).alias("_copies")
+        if others is not None:
+            # No word holds a space: the sum of a text meets no weight, and is dealt by its text.
+            place = F.when(F.col("term").isNull() | F.col("_met"), F.concat(F.lit(" "), F.hex("_key"))).otherwise(F.col("term"))
+            counted = met.withColumn("_place", place).groupBy("_key", "_place").agg(
+                F.count(F.lit(1)).cast("decimal(18,0)").alias("_tf"), copies, *sums
+            )
             dealt = counted.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salt)).cast("int"))
-            copies = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
-            met = dealt.join(self.weights.withColumn("_salt", copies), ["term", "_salt"], "left")
-        part = lambda c: F.col("_tf").cast("decimal(18,0)") * F.coalesce(F.col(c), F.lit(0).cast(WEIGHT))
-        names = [f"w_{k}" for k in range(len(self.priors))]
-        sums = met.groupBy("_key").agg(
-            F.sum(F.when(F.col("term").isNull(), F.col("_tf"))).alias("_copies"), *(F.sum(part(c)).alias(c) for c in names)
-        )
+            spread = others.select(
+                F.col("term").alias("_place"),
+                *(F.col(c).alias(f"_{c}") for c in names),
+                F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"),
+            )
+            met = dealt.join(spread, ["_place", "_salt"], "left")
+            part = lambda c: F.col(c) + (F.col("_tf") * F.coalesce(F.col(f"_{c}"), nothing)).cast(TOTAL)
+            sums = [F.sum(part(c)).cast(TOTAL).alias(c) for c in names]
+            copies = F.sum("_copies").alias("_copies")
+        sums = met.groupBy("_key").agg(copies, *sums)
         logits = F.array(*(F.lit(p) + F.col(c).cast("double") / F.col("_copies") for p, c in zip(self.priors, names)))
         return keyed.join(sums.select("_key", softmax(logits).alias("probabilities")), "_key", "left").drop("_key")
 
@@ -113,6 +138,8 @@ def train_naive_bayes(labelled: DataFrame) -> NaiveBayesTable:
         .groupBy("term")
         .agg(*(F.count(F.when(F.col("label") == k, 1)).alias(f"tf_{k}") for k in labels))
     )
+    # Read again for the totals, and for the weights of frequent and of rare words.
+    counts = cut_lineage(counts)
     found = counts.agg(F.count(F.lit(1)).alias("words"), *(F.sum(f"tf_{k}").alias(f"tf_{k}") for k in labels)).first()
     weights = counts.select(
         "term",

@@ -200,3 +200,17 @@ def test_naive_bayes_counts_every_word(spark, monkeypatch):
         asked = spark.createDataFrame([("a b z",), ("a b z",)], "text string")
         for r in classify(asked, small, ["low", "high"]).collect():
             assert abs(r.probabilities[0] - want[0] / sum(want)) < 1e-9 and r.predicted_tag == "low"
+
+
+def test_weights_of_rare_words_meet_in_a_join_and_the_others_travel(spark, monkeypatch):
+    known = [("a a a b b c d e", 0.0), ("a a b b f g", 1.0), ("a c", 1.0)]
+    model = reranking.train_naive_bayes(spark.createDataFrame(known, "text string, label double"))
+    asked = spark.createDataFrame([("a c z",), ("a c z",), ("f g",), ("",), (None,), ("z",)], "text string")
+    def scored():
+        return sorted((r.text or "", r.probabilities) for r in classify(asked, model, ["low", "high"]).collect())
+
+    whole = scored()
+    monkeypatch.setattr(reranking, "BROADCAST_WORDS", 2)
+    frequent, others = model._split()
+    assert frequent.count() <= 2 and frequent.count() + others.count() == model.words == 7
+    assert scored() == whole
