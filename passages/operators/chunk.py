@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,9 @@ from passages.operators.order import running_offset
 # Separators of the recursive splitter, tried in this order.
 SEPARATORS = ("\n\n", "\n", " ", "")
 
+# Characters of chunks that a task holds before it hands them on.
+HELD_CHARACTERS = 1_000_000
+
 
 def _check(size: int, overlap: int) -> int:
     if size <= 0 or overlap < 0 or overlap >= size:
@@ -136,13 +139,27 @@ def chunk_recursive(docs: DataFrame, size: int = 500, overlap: int = 50) -> Data
     """
     _check(size, overlap)
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: split_recursive(text, size, overlap))
-
-    return docs.where(F.length("text") > 0).select(
-        "doc_id", "source", F.posexplode(split("text")).alias("chunk_no", "text")
-    )
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "source")}
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, number, found, held = [], [], [], 0
+            for row, text in enumerate(batch.column("text")):
+                cut = split_recursive(text.as_py(), size, overlap)
+                owner += [row] * len(cut)
+                number += range(len(cut))
+                found += cut
+                held += sum(map(len, cut))
+                # Handed on after every few texts, so that a task holds no more of them than it was given.
+                if held >= HELD_CHARACTERS or row == batch.num_rows - 1:
+                    named = [batch.column(c).take(pa.array(owner, pa.int64())) for c in kinds]
+                    columns = [*named, pa.array(number, pa.int32()), pa.array(found, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, [*kinds, "chunk_no", "text"])
+                    owner, number, found, held = [], [], [], 0
+
+    named = ", ".join(f"{c} {kind}" for c, kind in kinds.items())
+    texts = docs.where(F.length("text") > 0).select(*kinds, "text")
+    return texts.mapInArrow(split, f"{named}, chunk_no int, text string")
 
 
 def chunk_pages(pages: DataFrame, size: int = 1000, overlap: int = 50) -> DataFrame:

@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from passages.operators import chunk
 from passages.operators.chunk import (
     chunk_fixed,
     chunk_pages,
@@ -150,3 +151,10 @@ def test_pages_cut_like_their_concatenation(spark, rng, size, overlap):
     rng.shuffle(rows)
     table = spark.createDataFrame(rows, "doc_id long, page_no long, text string")
     assert by_doc(chunk_pages(table, size, overlap), 12) == [windows(t, size, overlap) for t in whole]
+
+
+def test_chunks_are_handed_on_after_every_few_texts(spark, monkeypatch):
+    texts = ["one two three four", None, "", "x" * 25, " ", "five six\n\nseven"]
+    whole = sorted(map(tuple, chunk_recursive(docs(spark, texts).coalesce(1), 12, 2).select("doc_id", "chunk_no", "text").collect()))
+    monkeypatch.setattr(chunk, "HELD_CHARACTERS", 10)
+    assert sorted(map(tuple, chunk_recursive(docs(spark, texts).coalesce(1), 12, 2).select("doc_id", "chunk_no", "text").collect())) == whole and whole
