@@ -7,12 +7,17 @@ The rows that are left, a few more than k for each query, are scored on the stor
 the exact search, and the share of rows that are scored twice follows from e alone, also for vectors that are
 spread evenly, where buckets prune nothing.
 
-The first pass reads a byte for each entry. Neither bytes nor vectors are shuffled: bounds and ids are.
+Rows that lie close together, such as the members of a crowd of near copies, all have overlapping bounds at one byte. So what
+s * c leaves out is kept as one byte more per entry, and a row that is not ruled out at one byte is judged again at two: few
+are left of a crowd, however large it is.
+
+The first pass reads two bytes for each entry. Neither bytes nor vectors are shuffled: bounds and ids are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,11 @@ ROWS = 4_096
 #: Scores that a task holds at a time, and candidates that it keeps before it hands them on.
 CELLS = 1_000_000
 ROOM = 2_000_000
-INDEX = "codes binary, scale float, error float, square double"
+#: Candidates in a batch that a task hands on.
+HANDED = 100_000
+#: Relative error of a product in double precision, for each entry.
+DOUBLE = 2.3e-16
+INDEX = "codes binary, scale float, error float, square double, fine binary, rest float"
 
 
 def quantized_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,8 +57,18 @@ def quantized_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.nextafter(error.astype(np.float32), np.float32(np.inf))
 
 
+def fine_rows(x: np.ndarray, codes: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of what `quantized_rows` leaves out, in steps of scale / (2 * STEPS), and the lengths (rounded up) that these leave."""
+    step = (scale.astype(float) / (2 * STEPS))[:, None]
+    left = x - codes * scale[:, None].astype(float)
+    fine = np.clip(np.rint(left / step), -STEPS, STEPS).astype(np.int8)
+    left = left - fine * step
+    rest = np.sqrt((left * left).sum(axis=1)) * (1 + 1e-6)
+    return fine, np.nextafter(rest.astype(np.float32), np.float32(np.inf))
+
+
 def build_quantized_index(points: DataFrame, dim: int = VECTOR_SIZE, metric: str = "cosine") -> DataFrame:
-    """(id, codes, scale, error, square) of the points (id, embedding) of the dimension; write it to keep it.
+    """(id, codes, scale, error, square, fine, rest) of the points (id, embedding) of the dimension; write it to keep it.
 
     Points are narrowed on their row. Missing vectors, other lengths and entries that are no finite numbers are left out.
     """
@@ -65,23 +84,30 @@ def build_quantized_index(points: DataFrame, dim: int = VECTOR_SIZE, metric: str
             x, ids = x[good], table["id"].filter(pa.array(good)).combine_chunks()
             x = unit_rows(x) if metric == "cosine" else x
             codes, scale, error = quantized_rows(x)
+            fine, rest = fine_rows(x, codes, scale)
             bounds = pa.py_buffer((dim * np.arange(len(x) + 1)).astype(np.int32))
-            packed = pa.Array.from_buffers(pa.binary(), len(x), [None, bounds, pa.py_buffer(np.ascontiguousarray(codes))])
-            columns = [ids, packed, pa.array(scale), pa.array(error), pa.array((x * x).sum(axis=1))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "codes", "scale", "error", "square"])
+            packed, finer = (
+                pa.Array.from_buffers(pa.binary(), len(x), [None, bounds, pa.py_buffer(np.ascontiguousarray(c))]) for c in (codes, fine)
+            )
+            columns = [ids, packed, pa.array(scale), pa.array(error), pa.array((x * x).sum(axis=1)), finer, pa.array(rest)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "codes", "scale", "error", "square", "fine", "rest"])
 
     return points.select("id", "embedding").mapInArrow(run, f"id {kind}, {INDEX}")
 
 
+def codes_of(table: pa.RecordBatch, column: str, dim: int) -> np.ndarray:
+    packed = table.column(column)
+    first = packed.offset * dim
+    return np.frombuffer(packed.buffers()[2], np.int8)[first : first + len(table) * dim].reshape(-1, dim)
+
+
 def bounds_of(table: pa.RecordBatch, q: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """(middle, reach): the score of row and query, larger is better, lies within reach of the middle.
 
     For euclid the score is 2 * product - square, which falls with the distance.
     """
     dim = q.shape[1]
-    data = table.column("codes").buffers()[2]
-    first = table.column("codes").offset * dim
-    codes = np.frombuffer(data, np.int8)[first : first + len(table) * dim].reshape(-1, dim)
+    codes = codes_of(table, "codes", dim)
     scale, error = (table.column(c).to_numpy().astype(float) for c in ("scale", "error"))
     middle = (codes.astype(np.float32) @ q.T.astype(np.float32)).astype(float) * scale[:, None]
     size = np.sqrt((q * q).sum(axis=1))
@@ -92,6 +118,30 @@ def bounds_of(table: pa.RecordBatch, q: np.ndarray, metric: str) -> tuple[np.nda
     return middle, reach
 
 
+class Finer:
+    """Middle and reach, as `bounds_of` gives them, of pairs of a row and a query at two bytes for each entry."""
+
+    def __init__(self, table: pa.RecordBatch, dim: int, metric: str):
+        self.metric = metric
+        scale, self.rest = (table.column(c).to_numpy().astype(float) for c in ("scale", "rest"))
+        step = (scale / (2 * STEPS))[:, None]
+        self.x = codes_of(table, "codes", dim) * scale[:, None] + codes_of(table, "fine", dim) * step
+        self.rounding = DOUBLE * (dim + 4) * np.sqrt((self.x * self.x).sum(axis=1))
+        self.square = table.column("square").to_numpy()
+
+    def __call__(self, q: np.ndarray, row: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        middle = np.empty(len(row))
+        step = max(1, CELLS // max(1, q.shape[1]))
+        for a in range(0, len(row), step):
+            part = slice(a, a + step)
+            middle[part] = np.einsum("ij,ij->i", self.x[row[part]], q[query[part]])
+        reach = (self.rest + self.rounding)[row] * np.sqrt((q * q).sum(axis=1))[query]
+        if self.metric == "euclid":
+            # The square is that of the stored vector, rounded.
+            return 2 * middle - self.square[row], 2 * reach + 4 * DOUBLE * q.shape[1] * self.square[row]
+        return middle, reach
+
+
 class Survivors:
     """Rows that can still be among the k best of a query, with the k best lower bounds so far."""
 
@@ -102,20 +152,31 @@ class Survivors:
         self.parts: list[tuple] = []
         self.held = 0
 
-    def add(self, ids: pa.Array, middle: np.ndarray, reach: np.ndarray, tie: np.ndarray, first: int = 0) -> None:
-        """Rows against a block of queries, of which `first` is the number of the first; `tie` is for all queries."""
+    def add(
+        self, ids: pa.Array, middle: np.ndarray, reach: np.ndarray, tie: np.ndarray, first: int = 0, finer: Callable | None = None
+    ) -> None:
+        """Rows against a block of queries, of which `first` is the number of the first; `tie` is for all queries.
+
+        `finer` gives nearer (middle, reach) of pairs (row, query), for those that the given ones do not rule out.
+        """
         here = slice(first, first + middle.shape[1])
         if not np.isfinite(self.edge[here]).all():
             self._raise(middle - reach, here)
         high = middle + reach
         row, query = np.nonzero(high >= (self.edge[here] - tie[here])[None, :])
-        keep = middle[row, query] - reach[row, query]
-        better = keep > self.edge[query + first]
+        if finer is None:
+            keep, top = middle[row, query] - reach[row, query], high[row, query]
+        else:
+            near, off = finer(row, query)
+            keep, top = near - off, near + off
+        query = query + first
+        better = keep > self.edge[query]
         if better.any():
-            self._merge(query[better] + first, keep[better])
-        if len(row):
-            self.parts.append((query + first, ids.take(pa.array(row)), keep, high[row, query]))
-            self.held += len(row)
+            self._merge(query[better], keep[better])
+        use = top >= (self.edge - tie)[query]
+        if use.any():
+            self.parts.append((query[use], ids.take(pa.array(row[use])), keep[use], top[use]))
+            self.held += int(use.sum())
 
     def _raise(self, low: np.ndarray, here: slice) -> None:
         """Before any bound is known: the k-th best lower bound of the rows at hand, so that few rows pass."""
@@ -144,19 +205,31 @@ class Survivors:
         return self.held
 
     def take(self, tie: np.ndarray) -> Iterator[tuple]:
-        """The rows that are left so far, as one part; they are no longer held."""
-        left = list(self.rows(tie))
+        """The rows that are left so far, in parts of some HANDED; they are no longer held."""
+        few, rows = [], 0
+
+        def joined() -> tuple:
+            query, ids, low, high = zip(*few)
+            return np.concatenate(query), pa.concat_arrays(ids), np.concatenate(low), np.concatenate(high)
+
+        for part in self.rows(tie):
+            few.append(part)
+            rows += len(part[0])
+            if rows >= HANDED:
+                yield joined()
+                few, rows = [], 0
+        if few:
+            yield joined()
         self.parts, self.held = [], 0
-        if left:
-            query, ids, low, high = zip(*left)
-            yield np.concatenate(query), pa.concat_arrays(ids), np.concatenate(low), np.concatenate(high)
 
 
 def candidates(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosine", dim: int = VECTOR_SIZE) -> DataFrame:
     """(query_id, id) of all rows that can be among the k best: the first pass.
 
-    queries (query_id, embedding) of the dimension; a count has shown that they may travel whole.
+    queries (query_id, embedding) of the dimension; a count has shown that they may travel whole. An index that was stored
+    without `fine` is judged at one byte alone.
     """
+    two = "fine" in index.columns
     wanted = queries.toArrow()
     numbers = matrix_of(wanted["embedding"], dim)
     good = np.isfinite(numbers).all(axis=1)
@@ -186,8 +259,10 @@ def candidates(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosi
                     largest = max(largest, float(np.sqrt(part.column("square").to_numpy().max(initial=0.0))))
                     tie = 4 * TIE * (largest + size + 1)
                 step = max(1, CELLS // max(1, part.num_rows))
+                near = Finer(part, dim, metric) if two else None
                 for first in range(0, len(q), step):
-                    found.add(part.column("id"), *bounds_of(part, q[first : first + step], metric), tie, first)
+                    asked = q[first : first + step]
+                    found.add(part.column("id"), *bounds_of(part, asked, metric), tie, first, near and partial(near, asked))
                     # The bounds stay, so rows that are handed on early only add to those that the next stage drops.
                     if found.held > ROOM and found.shrink(tie) > ROOM // 2:
                         yield from rows()
@@ -222,7 +297,8 @@ def scored_candidates(
 ) -> DataFrame:
     """(query_id, id, score), larger is better, of every row that the first pass leaves.
 
-    Candidates are stored and counted; slices of them that may travel whole meet the points where these lie.
+    Candidates are stored and counted; slices of them that may travel whole meet the points where these lie, one slice after
+    the other: their scores are stored, so that no task ever has more than one slice at hand.
     """
     vectors.check_metric(metric)
     wanted = queries.where(F.size("embedding") == dim).select("query_id", "embedding")
@@ -237,12 +313,18 @@ def scored_candidates(
     slices = max(1, -(-found.count() // topk.BROADCAST_HITS))
     vectors_of = wanted.withColumnRenamed("embedding", "asked")
     narrow = points.select("id", "embedding")
-    out = None
+    small, schema = _small(vectors_of, dim), topk.partial_schema(index, queries)
+
+    def scored(part: DataFrame) -> DataFrame:
+        met = narrow.join(F.broadcast(part), "id").join(small, "query_id")
+        return met.mapInArrow(_exact(metric, dim), schema)
+
+    if slices == 1:
+        return scored(found)
     for s in range(slices):
         part = found.where(F.pmod(F.xxhash64("query_id", "id"), F.lit(slices)) == s)
-        met = narrow.join(F.broadcast(part), "id").join(_small(vectors_of, dim), "query_id")
-        out = met if out is None else out.unionByName(met)
-    return out.mapInArrow(_exact(metric, dim), topk.partial_schema(index, queries))
+        scored(part).write.mode("overwrite").parquet(f"{folder}-scored/part={s}")
+    return spark.read.schema(schema).parquet(f"{folder}-scored").select(schema.names)
 
 
 def _small(queries: DataFrame, dim: int) -> DataFrame:

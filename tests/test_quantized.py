@@ -100,3 +100,47 @@ def test_scores_of_a_task_are_bounded_however_many_queries(spark, data, monkeypa
     for metric in ("cosine", "euclid"):
         hits = knn_quantized(queries(spark, wanted), build_quantized_index(stored, DIM, metric), stored, 5, metric, DIM)
         assert found(hits) == brute(corpus, wanted, 5, metric)
+
+
+def test_few_members_of_a_crowd_of_near_copies_are_candidates(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal((6, 32))
+    vectors = (np.repeat(centre, 300, axis=0) + 0.05 * rng.standard_normal((1_800, 32))).tolist()
+    stored, ask = points(spark, vectors), queries(spark, vectors[::20])
+    for metric in ("cosine", "dot", "euclid"):
+        index = build_quantized_index(stored, 32, metric)
+        exact = sorted(map(tuple, knn_join(ask, stored, 5, metric, 32).collect()))
+        assert sorted(map(tuple, knn_quantized(ask, index, stored, 5, metric, 32).collect())) == exact
+        assert scored_candidates(ask, index, stored, 5, metric, 32).count() <= 10 * 90
+        plain = index.drop("fine", "rest")
+        assert sorted(map(tuple, knn_quantized(ask, plain, stored, 5, metric, 32).collect())) == exact
+
+
+def test_slices_of_candidates_do_not_travel_together(spark, data, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(topk, "BROADCAST_HITS", 20)
+    corpus, wanted = data
+    stored = points(spark, corpus)
+    index = build_quantized_index(stored, DIM)
+    scored = scored_candidates(queries(spark, wanted), index, stored, 5, "cosine", DIM)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.count() > 20 and "BroadcastHashJoin" not in plan
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 40), st.integers(1, 6), st.sampled_from(["dot", "euclid"]), st.integers(0, 10_000))
+def test_scores_lie_within_their_finer_bounds(dim, n, metric, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim)) * 10.0 ** rng.integers(-3, 4, (n, 1))
+    x[rng.random((n, dim)) < 0.2] = 0
+    q = rng.standard_normal((3, dim))
+    codes, scale, error = quantized.quantized_rows(x)
+    fine, rest = quantized.fine_rows(x, codes, scale)
+    assert (rest <= scale / (4 * quantized.STEPS) * np.sqrt(dim) * 1.001).all()
+    ends = pa.py_buffer((dim * np.arange(n + 1)).astype(np.int32))
+    packed, finer = (pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(c)]) for c in (codes, fine))
+    columns = [packed, pa.array(scale), pa.array((x * x).sum(axis=1)), finer, pa.array(rest)]
+    table = pa.RecordBatch.from_arrays(columns, ["codes", "scale", "square", "fine", "rest"])
+    row, query = (a.ravel() for a in np.indices((n, 3)))
+    middle, reach = quantized.Finer(table, dim, metric)(q, row, query)
+    true = (x @ q.T if metric == "dot" else 2 * x @ q.T - (x * x).sum(axis=1)[:, None])[row, query]
+    assert (np.abs(true - middle) <= reach + 1e-12 * np.abs(true)).all()
