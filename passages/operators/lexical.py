@@ -6,6 +6,7 @@ negative idf is replaced by a quarter of the mean idf of the vocabulary.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
@@ -15,9 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passages.functions.cuts import cut_words, parts_of
 from passages.functions.text import document_tokens, query_tokens
 from passages.operators import topk
 from passages.operators.vector import known_source
+from passages.session import cut_lineage
 
 if TYPE_CHECKING:
     from passages.operators.postings import InvertedIndex
@@ -49,7 +52,10 @@ TOKENS_PER_DOC = 500
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """docs(id, tokens), terms(term, df, idf) and one row stats(n, avgdl)."""
+    """docs(id, tokens), terms(term, df, idf) and one row stats(n, avgdl).
+
+    An index that was just built has the `text` of its docs as well, so that their tokens need not be made.
+    """
 
     docs: DataFrame
     terms: DataFrame
@@ -62,7 +68,7 @@ class LexicalIndex:
         return _score_tokens(queries, self, normalize, candidates)
 
     def write(self, path: str) -> None:
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        self.docs.select("id", "tokens").write.mode("overwrite").parquet(f"{path}/docs")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
@@ -72,24 +78,38 @@ class LexicalIndex:
 
 
 def build_lexical_index(points: DataFrame) -> LexicalIndex:
-    docs = points.select("id", document_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    stats = docs.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens").cast("double")).alias("avgdl")
+    """Texts are read once for the counts; these stay where `cut_lineage` puts them."""
+    text = F.coalesce("text", F.lit(""))
+    docs = points.select("id", text.alias("text"), document_tokens(text).alias("tokens"))
+    counts = cut_lineage(word_counts(docs.select("text")))
+    stats = counts.where("term is null").agg(
+        F.coalesce(F.sum("df"), F.lit(0)).alias("n"), (F.sum("words").cast("double") / F.sum("df")).alias("avgdl")
     )
-    return LexicalIndex(docs, term_stats(docs, stats), stats)
-
-
-def term_stats(docs: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, df, idf). Counts are combined before the shuffle, so a hot term is a few rows."""
-    # The explicit filter keeps this part of the plan the same for the lookup and for the mean,
-    # so that it runs once.
-    counted = (
-        docs.select(F.explode(F.array_distinct("tokens")).alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
+    terms = weigh_terms(counts.where("term is not null").select("term", "df"), stats.select("n").scalar())
+    return LexicalIndex(docs, terms, stats)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(term, df, words): how many texts hold each word. The row without a term has the number of texts and of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["term", "df", "words"]
+        for batch in batches:
+            column = batch.column(0)
+            for first, end in parts_of(column):
+                doc, words = cut_words(column.slice(first, end - first))
+                size = len(words.dictionary)
+                # A word counts once for each text that holds it.
+                held = np.sort(words.indices.to_numpy().astype(np.int64) * (end - first) + doc)
+                held = held[np.flatnonzero(np.diff(held, prepend=-1))] // (end - first)
+                df = pa.array(np.bincount(held, minlength=size).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([words.dictionary.cast(pa.string()), df, pa.nulls(size, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([end - first]), pa.array([len(doc)])], names)
+
+    # Counts of a part are combined before the shuffle, so a hot term is a few rows.
+    return texts.mapInArrow(run, "term string, df long, words long").groupBy("term").agg(
+        F.sum("df").alias("df"), F.sum("words").alias("words")
     )
-    return weigh_terms(counted, stats.select("n").scalar())
 
 
 def weigh_terms(counted: DataFrame, n: Column) -> DataFrame:
@@ -184,13 +204,35 @@ def _entries(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(joined)), lengths), joined.flatten()
 
 
+def words_of(corpus: pa.Table) -> tuple[int, np.ndarray, pa.DictionaryArray]:
+    """(documents, the document of every word, the words) of a table with `text` or `tokens`."""
+    if "text" in corpus.column_names:
+        return corpus.num_rows, *cut_words(corpus["text"].combine_chunks())
+    doc_no, words = _entries(corpus["tokens"])
+    return corpus.num_rows, doc_no, words.dictionary_encode()
+
+
+class WordScorer(topk.Scorer):
+    """BM25 scores of the words of a text."""
+
+    def __init__(self):
+        super().__init__(score_words, TOKENS_PER_DOC)
+
+    def corpus(self, table: pa.Table) -> tuple:
+        return words_of(table)
+
+
 def bm25_scorer(corpus: pa.Table, queries: pa.Table) -> np.ndarray:
+    return score_words(words_of(corpus), queries)
+
+
+def score_words(corpus: tuple[int, np.ndarray, pa.DictionaryArray], queries: pa.Table) -> np.ndarray:
     """(documents x queries) BM25 scores of one batch against one block of queries.
 
     Only words of the block are counted, and each count is spread over the queries that hold
     the word, so the work follows the matches and not the size of the vocabulary.
     """
-    n, m = corpus.num_rows, queries.num_rows
+    (n, doc_no, words), m = corpus, queries.num_rows
     scores = np.zeros(n * m)
     query_no, terms = _entries(queries["terms"])
     vocabulary = pc.unique(terms)
@@ -200,11 +242,11 @@ def bm25_scorer(corpus: pa.Table, queries: pa.Table) -> np.ndarray:
     weights = queries["weights"].combine_chunks().flatten().to_numpy()[by_term]
     first = np.searchsorted(term_no[by_term], np.arange(len(vocabulary) + 1))
 
-    doc_no, words = _entries(corpus["tokens"])
     lengths = np.bincount(doc_no, minlength=n)
-    found = pc.index_in(words, vocabulary)
-    known = found.is_valid().to_numpy(zero_copy_only=False)
-    cells = doc_no[known] * len(vocabulary) + found.drop_null().to_numpy()
+    number = pc.fill_null(pc.index_in(words.dictionary.cast(vocabulary.type), vocabulary), -1).to_numpy()
+    found = number[words.indices.to_numpy()]
+    known = found >= 0
+    cells = doc_no[known] * len(vocabulary) + found[known]
     cells, tf = np.unique(cells, return_counts=True)
     if len(cells) == 0:
         return scores.reshape(n, m)
@@ -243,9 +285,9 @@ def bm25_hits(
 
 def _scan_tokens(queries: DataFrame, index: LexicalIndex, k: int, normalize: bool) -> DataFrame:
     weighted = _weighted_queries(queries, index, normalize)
-    return topk.top_k(
-        index.docs, weighted, topk.Scorer(bm25_scorer, TOKENS_PER_DOC), k, word_cells(queries, normalize)
-    )
+    # The words of joined tokens are these tokens.
+    text = "text" if "text" in index.docs.columns else F.array_join("tokens", " ").alias("text")
+    return topk.top_k(index.docs.select("id", text), weighted, WordScorer(), k, word_cells(queries, normalize))
 
 
 def lexical_search(

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passages.functions.cuts import cut_words
 from passages.operators import lexical, topk
 from passages.session import drop_folder, new_folder
 
@@ -39,12 +40,6 @@ LISTED_WORDS = 2_000
 #: Scores are whole numbers of 1e-6; bounds are added in another order than scores.
 BOUND_SLACK = 1e-5
 
-# ASCII letters in lower case and digits; everything else parts words.
-WORD_BYTES = np.full(256, 0x20, np.uint8)
-for _first, _last in ((48, 58), (97, 123)):
-    WORD_BYTES[_first:_last] = np.arange(_first, _last)
-WORD_BYTES[65:91] = np.arange(97, 123)
-
 #: Rows of a bucket are dealt to one task more for each so many documents.
 DEAL_DOCS = 4_000_000
 
@@ -80,27 +75,6 @@ class InvertedIndex:
 # Building
 
 
-def cut_words(column: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
-    """The document of every word of a text column without nulls, and the words."""
-    _, offsets, data = column.buffers()
-    wide = pa.types.is_large_string(column.type)
-    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    letters = WORD_BYTES[data[offsets[0] : offsets[-1]]]
-    offsets = offsets.astype(np.int64) - offsets[0]
-    inside = letters != 0x20
-    before, after = np.r_[False, inside[:-1]], np.r_[inside[1:], False]
-    filled = np.diff(offsets) > 0
-    before[offsets[:-1][filled]] = False
-    after[offsets[1:][filled] - 1] = False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    bounds = np.r_[0, np.cumsum(ends - starts)].astype(np.int64)
-    words = pa.Array.from_buffers(
-        pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(letters[inside]))]
-    )
-    return np.searchsorted(offsets, starts, "right") - 1, words.dictionary_encode()
-
-
 def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.astype(np.int32)))
 

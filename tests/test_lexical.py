@@ -2,7 +2,9 @@ import math
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from passages.functions import cuts
 from passages.operators import lexical, topk
 from passages.operators.fuse import splice
 from passages.operators.lexical import (
@@ -173,3 +175,35 @@ def test_scores_move_documents_once_into_tasks_of_bounded_pairs(spark, monkeypat
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(query_id" not in plan.replace("#", " ").split("Subquery")[0]
     assert sorted(map(tuple, scores.collect())) == few and len(few) == 60
+
+
+def test_the_texts_are_read_once_for_the_counts(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(i):
+        read.add(1)
+        return [None, "", "Red apple red", "naïve 9x", "é", "apple " * 40][i % 6]
+
+    rows = spark.range(0, 60, 1, 3).select("id", seen.asNondeterministic()("id").alias("text"))
+    index = build_lexical_index(rows)
+    terms = {r.term: r.df for r in index.terms.collect()}
+    stats = index.stats.first()
+    assert terms == {"red": 10, "apple": 20, "na": 10, "ve": 10, "9x": 10}
+    assert (stats.n, stats.avgdl) == (60, 46 * 10 / 60)
+    assert read.value == 60
+    assert index.docs.select("tokens").where("size(tokens) = 40").count() == 10
+
+
+@pytest.mark.parametrize("size", [1, 40, 1 << 22])
+def test_counts_do_not_depend_on_the_parts(spark, monkeypatch, size):
+    monkeypatch.setattr(cuts, "CUT_BYTES", size)
+    texts = ["a b a", "", "B c" * 30, "é", "c", None] * 5
+    index = build_lexical_index(items(spark, texts).coalesce(1))
+    assert {r.term: r.df for r in index.terms.collect()} == {"a": 5, "b": 10, "c": 10, "cb": 5}
+    assert index.stats.first().n == 30
+
+
+def test_an_index_of_no_texts(spark):
+    index = build_lexical_index(items(spark, ["x"]).limit(0))
+    assert index.terms.count() == 0 and tuple(index.stats.first()) == (0, None)
