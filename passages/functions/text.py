@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The patterns that define tokens and the clean-up of reranker input.
 ASCII_WORD = "[a-zA-Z0-9]+"
 WORD = r"[\p{L}\p{N}]+"
+NO_WORD_BEYOND_ASCII = r"[^\x00-\x7F\p{L}\p{N}]+"
 TOKEN = r"[ \t\n\r]*(?:[\p{L}\p{N}_]+|[^ \t\n\r\p{L}\p{N}_])"
 TIGHT_PUNCTUATION = r"(?<=[\p{L}\p{N}_])([?.,!])(?![\s\p{Z}])"
 CAMEL_HUMP = "([a-z0-9])([A-Z])"
@@ -25,6 +26,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def word_text(text: Column) -> Column:
+    """Lower case, with a space for characters beyond ASCII that are no letters or digits.
+
+    What ASCII letters and digits and all characters beyond ASCII spell is then what `words` gives.
+    """
+    return F.regexp_replace(F.lower(text), NO_WORD_BEYOND_ASCII, " ")
+
+
 def query_tokens(text: Column, normalize: bool = False) -> Column:
     """Lower-case words cut at white space only, so that `foo?` never meets `foo`.
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passages.config import EMBED_BATCH, VECTOR_SIZE
-from passages.functions.text import words
+from passages.functions.cuts import ANY_SCRIPT, cut_words, parts_of
+from passages.functions.text import word_text
 
 Model = Callable[[list], Sequence]
 
@@ -71,41 +72,42 @@ def batch_infer(
 
 def _bucket_and_sign(words: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """From a word's md5 digest: hex digits 1-7 give the bucket, digit 8 the sign."""
-    digests = [hashlib.md5(w.encode()).hexdigest() for w in words.to_pylist()]
-    buckets = np.array([int(d[:7], 16) % size for d in digests], dtype=np.int64)
-    signs = np.array([-1.0 if d[7] >= "8" else 1.0 for d in digests])
-    return buckets, signs
+    binary = pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()
+    digests = b"".join([hashlib.md5(w).digest()[:4] for w in words.cast(binary).to_pylist()])
+    first = np.frombuffer(digests, ">u4").astype(np.int64)
+    return (first >> 4) % size, np.where(first & 8, -1.0, 1.0)
 
 
 def hash_embedding(text: Column, size: int = VECTOR_SIZE) -> Column:
     """Signed feature hashing into `size` dimensions, scaled to length one.
 
-    Words are cut in the JVM; one vectorised pass per Arrow batch hashes its distinct words and
-    adds them up. The vector stays on its row, so nothing is shuffled. No words: the zero vector.
+    The JVM turns letters to lower case and blanks what is none in scripts other than ASCII; one vectorised pass per
+    Arrow batch cuts its words (those of `words`), hashes the distinct ones and adds them up. The vector stays on its row, so nothing is shuffled. No words: the zero vector.
     """
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def add_up(words: pa.Array) -> pa.Array:
-        n = len(words)
-        bounds = np.r_[0, np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
-        distinct = words.flatten().dictionary_encode()
-        buckets, signs = _bucket_and_sign(distinct.dictionary, size)
-        which = distinct.indices.to_numpy()
+    def add_up(texts: pa.Array) -> pa.Array:
+        n = len(texts)
         out = np.empty((n, size), np.float32)
-        # The sums are made for a few rows at a time; only the result has an entry per row of the batch and dimension.
+        # Words are cut, and the sums made, for a few rows at a time; only the result has an entry per row of the batch and dimension.
         step = max(1, SUM_CELLS // size)
-        for top in range(0, n, step):
-            rows = min(step, n - top)
-            entries = which[bounds[top] : bounds[top + rows]]
-            owner = np.repeat(np.arange(rows, dtype=np.int64), np.diff(bounds[top : top + rows + 1]))
-            sums = np.bincount(owner * size + buckets[entries], weights=signs[entries], minlength=rows * size)
-            sums = sums.astype(np.float64).reshape(rows, size)
-            norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-            out[top : top + rows] = np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0)
+        for first, end in parts_of(texts):
+            doc, words = cut_words(texts.slice(first, end - first), ANY_SCRIPT)
+            buckets, signs = _bucket_and_sign(words.dictionary, size)
+            which = words.indices.to_numpy()
+            for top in range(0, end - first, step):
+                rows = min(step, end - first - top)
+                here = slice(*np.searchsorted(doc, (top, top + rows)))
+                cells = (doc[here] - top) * size + buckets[which[here]]
+                sums = np.bincount(cells, weights=signs[which[here]], minlength=rows * size)
+                sums = sums.astype(np.float64).reshape(rows, size)
+                norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+                unit = np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0)
+                out[first + top : first + top + rows] = unit
         starts = pa.array(np.arange(0, n * size + 1, size, dtype=np.int32))
         return pa.ListArray.from_arrays(starts, pa.array(out.ravel()))
 
-    return add_up(words(text))
+    return add_up(F.coalesce(word_text(text), F.lit("")))
 
 
 def embed_texts(

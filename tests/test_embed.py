@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passages.functions import text as tx
 from passages.functions.classify import softmax, threshold_label
 from passages.operators import embed
 from passages.operators.embed import batch_infer, embed_texts, valid_embeddings
@@ -116,3 +117,18 @@ def test_sums_in_small_steps_are_the_same(spark, monkeypatch):
     whole = {r.id: r.embedding for r in embed_texts(rows, size=64).collect()}
     monkeypatch.setattr(embed, "SUM_CELLS", 2 * 64)
     assert {r.id: r.embedding for r in embed_texts(rows, size=64).collect()} == whole
+
+
+def test_words_of_any_script_are_cut_once_from_the_text(spark):
+    texts = ["Don’t “Stop” – naïve CAFÉ", "İstanbul ΣΑΣ ǅ", "日本語、テスト。x", "a\u00a0b\u2028c\u0301d", "½ ² Ⅷ ٣x_y", "😀a😀", "\x00\x7fz", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts * 3)), "i int, text string").coalesce(1)
+    found = embed_texts(rows, size=64).withColumn("words", tx.words(F.col("text"))).collect()
+    for row in found:
+        sums = [0.0] * 64
+        for word in row.words or []:
+            digest = hashlib.md5(word.encode()).hexdigest()
+            sums[int(digest[:7], 16) % 64] += -1 if digest[7] in "89abcdef" else 1
+        length = math.sqrt(sum(s * s for s in sums))
+        np.testing.assert_allclose(row.embedding, [s / length if length else 0.0 for s in sums], atol=1e-7)
+    plan = embed_texts(rows, size=64)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan
