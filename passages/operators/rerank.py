@@ -96,10 +96,10 @@ class NaiveBayesTable:
         names = [f"w_{k}" for k in range(len(self.priors))]
         known, others = self._split()
         nothing = F.lit(0).cast(WEIGHT)
-        # A null word per row counts the copies of a text.
+        # A null word per row counts the copies of a text, so no list is empty (which a plain explode would test on a list made twice).
         met = (
             _with_words(keyed.select("_key", "text"))
-            .select("_key", F.explode(F.concat(words, F.array(F.lit(None).cast("string")))).alias("term"))
+            .select("_key", F.explode_outer(F.concat(words, F.array(F.lit(None).cast("string")))).alias("term"))
             .join(F.broadcast(known.withColumn("_met", F.lit(True))), "term", "left")
         )
         sums = [F.sum(F.coalesce(F.col(c), nothing)).cast(TOTAL).alias(c) for c in names]
@@ -133,8 +133,9 @@ def train_naive_bayes(labelled: DataFrame) -> NaiveBayesTable:
     rows = {int(r.label): r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = range(max(rows, default=-1) + 1)
     counts = (
-        _with_words(labelled)
-        .select(F.col("label").cast("int").alias("label"), F.explode("words").alias("term"))
+        # A text has a word at least, if only an empty one.
+        _with_words(labelled.where(F.col("text").isNotNull()))
+        .select(F.col("label").cast("int").alias("label"), F.explode_outer("words").alias("term"))
         .groupBy("term")
         .agg(*(F.count(F.when(F.col("label") == k, 1)).alias(f"tf_{k}") for k in labels))
     )

@@ -17,6 +17,7 @@ from passages.operators.fuse import hybrid_search
 from passages.operators.inference_log import infer_logged
 from passages.operators.lexical import LexicalIndex
 from passages.operators.rerank import NaiveBayesTable, classify, rerank
+from passages.session import cut_lineage
 
 
 def split_blank(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +52,8 @@ def retrieve(
     if config.use_rerank:
         tag = None
         if classifier is not None:
-            hits = classify(hits, classifier, classes, config.threshold)
+            # A classifier may read the hits more than once; they are a few rows per query, and dear.
+            hits = classify(cut_lineage(hits), classifier, classes, config.threshold)
             tag = F.col("predicted_tag")
         hits = rerank(hits, relevance, tag, config.rerank_k).withColumn("pos", F.col("rank") - 1)
     if config.apply_budget:

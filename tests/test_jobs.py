@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passages.config import ASK
-from passages.operators import inference_log
+from passages.config import ASK, RetrievalConfig
+from passages.operators import inference_log, rerank
 from passages.operators.chunk import split_recursive
 from passages.operators.inference_log import infer_logged, read_log
-from passages.plans.answers import answer_queries
+from passages.operators.embed import embed_texts
+from passages.plans.answers import answer_queries, retrieve
 from passages.plans.ingest import index_folder
 from passages.sources import collection
 from passages.streaming.ingest import outcomes, stream_folder
@@ -196,3 +197,28 @@ def test_a_replayed_stream_leaves_what_one_run_leaves(spark, tmp_path):
     run()
     assert told() == want
     assert sorted(map(tuple, collection.read_points(spark, path).select("id", "text", "ingest_batch").collect())) == points
+
+
+def test_words_of_labelled_texts_are_made_once(spark):
+    rows = [("good words", 1.0), ("", 0.0), (None, 1.0), ("bad words", 0.0)]
+    labelled = spark.createDataFrame(rows, "text string, label double")
+    plans = []
+    seen = rerank.cut_lineage
+    try:
+        rerank.cut_lineage = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or seen(df)
+        model = rerank.train_naive_bayes(labelled)
+    finally:
+        rerank.cut_lineage = seen
+    assert plans[0].count("regexp_extract_all") == 1
+    assert model.words == 4 and {r.term for r in model.weights.collect()} == {"good", "words", "bad", ""}
+
+
+def test_hits_are_searched_once_for_a_classifier(spark):
+    labelled = spark.createDataFrame([("good words", 1.0), ("bad words", 0.0)], "text string, label double")
+    texts = [(f"p{i}", f"good word{i}" if i % 2 else f"bad word{i}", None) for i in range(8)]
+    points = embed_texts(spark.createDataFrame(texts, "id string, text string, source string"), size=16)
+    asked = spark.createDataFrame([(1, "word1 good"), (2, "word2 bad")], "query_id long, query string")
+    model, config = rerank.train_naive_bayes(labelled), RetrievalConfig(use_rerank=True, rerank_k=5)
+    hits = retrieve(asked, points, None, config, model, ["low", "high"], dim=16)
+    assert "MapInArrow" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.query_id, r.pos) for r in hits.collect()) == [(q, k) for q in (1, 2) for k in range(5)]
