@@ -42,6 +42,7 @@ from passages.llm.storage import stored
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
+MERGE_TASKS = 16
 LEVEL_BITS = 8
 PROFILE = 256
 BLOCK_NUMBERS = 1_000_000
@@ -105,17 +106,17 @@ def count_sketch(docs: DataFrame, make, bits: int = SKETCH_BITS) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
-                found = np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
-                sums[part] = sums[part] + found if part in sums else found
+                at, found = _counted(counts.as_py())
+                sums.setdefault(part, np.zeros(size, np.int64))[at] += found
         if sums:
             yield _parts(sums)
 
     kind = "part int, counts binary"
-    parts = narrow.mapInArrow(count, kind).repartition(SKETCH_PARTS, "part").mapInArrow(add, kind).collect()
+    parts = narrow.mapInArrow(count, kind).repartition(MERGE_TASKS, "part").mapInArrow(add, kind).collect()
     levels = np.zeros(cells, np.uint8)
     for part, counts in parts:
-        total = np.frombuffer(zlib.decompress(bytes(counts)), np.int64)
-        levels[part * size : (part + 1) * size] = np.minimum(255, np.floor(4 * np.log2(total + 1)))
+        at, total = _counted(bytes(counts))
+        levels[part * size + at] = np.minimum(255, np.floor(4 * np.log2(total + 1)))
     return levels
 
 
@@ -124,10 +125,16 @@ ONCE = 4
 
 
 def _parts(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
-    blobs = [zlib.compress(c.astype(np.int64).tobytes(), 1) for c in counts.values()]
+    """The cells with a count, and their counts."""
+    used = [(np.flatnonzero(c), c) for c in counts.values()]
+    blobs = [zlib.compress(np.r_[at, c[at].astype(np.int64)].tobytes(), 1) for at, c in used]
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
 
 
+def _counted(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(zlib.decompress(blob), np.int64).reshape(2, -1))
+
+
 def in_order(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Hashes as numbers in the global order: level, then hash."""
     level = levels[hashes >> np.uint64(65 - len(levels).bit_length())].astype(np.uint64)
@@ -570,7 +577,7 @@ def filter_bits(rows: DataFrame) -> np.ndarray:
 
     kind = "part int, bits binary"
     out = np.zeros((parts, size // parts), np.uint8)
-    for part, blob in rows.select("a").mapInArrow(mark, kind).repartition(parts, "part").mapInArrow(merge, kind).collect():
+    for part, blob in rows.select("a").mapInArrow(mark, kind).repartition(MERGE_TASKS, "part").mapInArrow(merge, kind).collect():
         out[part] |= np.frombuffer(zlib.decompress(bytes(blob)), np.uint8)
     return out.reshape(-1)
 
